@@ -23,7 +23,7 @@ def wilson_low(wins: Column, n: Column, z: float = 1.96) -> Column:
     m = nonzero(n)
     p = wins / m
     spread = z * F.sqrt((p * (1 - p) + z * z / (4 * m)) / m)
-    return F.greatest(F.lit(0.0), (p + z * z / (2 * m) - spread) / (1 + z * z / m)) * 100
+    return F.when(m > 0, F.greatest(F.lit(0.0), (p + z * z / (2 * m) - spread) / (1 + z * z / m)) * 100)
 
 
 def benjamini_hochberg(df: DataFrame, by: list[str], p: str, key: list[str], q: float = 0.1) -> DataFrame:
@@ -141,7 +141,7 @@ def isotonic_buckets(df: DataFrame, by: list[str], score: str, win: str, buckets
     is over a handful of buckets in each group.
     """
     g = Window.partitionBy(*by)
-    below = F.count("*").over(g.orderBy(score).rangeBetween(Window.unboundedPreceding, -1e-12))
+    below = F.rank().over(g.orderBy(score)) - 1
     d = df.withColumn("_b", F.floor(below * buckets / F.count("*").over(g)))
     b = d.groupBy(*by, "_b").agg(F.count("*").alias("n"), F.sum(F.col(win).cast("double")).alias("wins"), F.min(score).alias("low"), F.max(score).alias("high"))
     w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)

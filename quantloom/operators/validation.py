@@ -32,7 +32,7 @@ def ic_summary(daily: DataFrame, date: str, windows: tuple[int, ...] = (20, 60,
     """Mean, ratio to the sample deviation, share of positive days, counts, and the mean over the last days of each window."""
     d = daily.withColumn("_age", F.row_number().over(Window.partitionBy("factor").orderBy(F.desc(date))))
     sd = F.stddev_samp("ic")
-    g = d.groupBy("factor").agg(F.count("*").alias("daily_count"), F.sum("n").alias("sample_count"), F.avg("ic").alias("ic_mean"), F.coalesce(F.avg("ic") / F.when(sd > 1e-12, sd), F.lit(0.0)).alias("icir"), F.avg((F.col("ic") > 0).cast("double")).alias("positive_rate"), *[F.avg(F.when(F.col("_age") <= w, F.col("ic"))).alias(f"ic_{w}") for w in windows])
+    g = d.groupBy("factor").agg(F.count("*").alias("daily_count"), F.sum("n").alias("sample_count"), F.avg("ic").alias("ic_mean"), F.coalesce(F.avg("ic") / F.when(sd > 1e-12, sd), F.lit(0.0)).alias("icir"), F.avg((F.round("ic", 9) > 0).cast("double")).alias("positive_rate"), *[F.avg(F.when(F.col("_age") <= w, F.col("ic"))).alias(f"ic_{w}") for w in windows])
     return g
 
 
