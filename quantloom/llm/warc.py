@@ -135,44 +135,58 @@ class RecordReader:
                 self.headers = None
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    reader, sha, head, chunk, body, http = RecordReader(), None, None, 0, 0, b""
-    for b in batches:
-        out = []
-        for value in b["value"]:
-            for h, piece, last in reader.feed(bytes(value) + _END):
-                kind, page = h["warc-type"], h.get("x-page-id")
-                if kind == "revisit":
-                    out.append((page and int(page), "revisit", h.get("x-refers-to-page"), 1, b"", True, int(h["x-payload-length"]), h["warc-payload-digest"][5:]))
-                    continue
-                if kind == "response" and head is not h:
-                    sha, head, origin, chunk, body, http = hashlib.sha1(), h, h, 0, 0, b""
-                if http is not None:  # still before the payload
-                    http += piece
-                    at = http.find(_END)
-                    if at < 0:
+def _read(chunk_bytes: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader, sha, origin, chunk, body, http, rest = RecordReader(), None, None, 0, 0, b"", bytearray()
+
+        def row(data: bytes, whole: bool):
+            nonlocal chunk, body
+            sha.update(data)
+            chunk, body = chunk + 1, body + len(data)
+            digest = base32_sha1(sha.digest()) if whole else sha.hexdigest()
+            if whole and (f"sha1:{digest}" != origin["warc-payload-digest"] or body != int(origin["x-payload-length"])):
+                raise ValueError(f"record {origin['warc-record-id']}: its payload is not the one that was written")
+            page = origin.get("x-page-id")
+            return page and int(page), "response", None, chunk, data, whole, body, digest
+
+        for b in batches:
+            out = []
+            for value in b["value"]:
+                for h, piece, last in reader.feed(bytes(value) + _END):
+                    kind = h["warc-type"]
+                    if kind == "revisit":
+                        page, first = h.get("x-page-id"), h.get("x-refers-to-page")
+                        out.append((page and int(page), "revisit", first and int(first), 1, b"", True, int(h["x-payload-length"]), h["warc-payload-digest"][5:]))
                         continue
-                    piece, http = http[at + 4 :], None
-                sha.update(piece)
-                chunk, body = chunk + 1, body + len(piece)
-                whole = last and (kind == "response" and "warc-segment-number" not in h or "warc-segment-total-length" in h)
-                digest = base32_sha1(sha.digest()) if whole else sha.hexdigest()
-                if whole and (f"sha1:{digest}" != origin["warc-payload-digest"] or body != int(origin["x-payload-length"])):
-                    raise ValueError(f"record {origin['warc-record-id']}: its payload is not the one that was written")
-                page = origin.get("x-page-id")
-                out.append((page and int(page), "response", None, chunk, piece, whole, body, digest))
-        if out:
-            rows = pd.DataFrame(out, columns=["page_id", "record_type", "refers_to", "chunk_no", "chunk", "complete", "bytes_so_far", "digest_so_far"])
-            rows["page_id"], rows["refers_to"] = rows["page_id"].astype("Int64"), rows["refers_to"].astype("Int64")
-            yield rows
-
-
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+                    if kind == "response" and origin is not h:
+                        sha, origin, chunk, body, http, rest = hashlib.sha1(), h, 0, 0, b"", bytearray()
+                    if http is not None:  # still before the payload
+                        http += piece
+                        at = http.find(_END)
+                        if at < 0:
+                            continue
+                        piece, http = http[at + 4 :], None
+                    rest += piece
+                    while len(rest) > chunk_bytes:
+                        out.append(row(bytes(rest[:chunk_bytes]), False))
+                        del rest[:chunk_bytes]
+                    if last and (kind == "response" and "warc-segment-number" not in h or "warc-segment-total-length" in h):
+                        out.append(row(bytes(rest), True))
+                        rest = bytearray()
+            if out:
+                rows = pd.DataFrame(out, columns=["page_id", "record_type", "refers_to", "chunk_no", "chunk", "complete", "bytes_so_far", "digest_so_far"])
+                rows["page_id"], rows["refers_to"] = rows["page_id"].astype("Int64"), rows["refers_to"].astype("Int64")
+                yield rows
+
+    return run
+
+
+def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The chunk table of the archives under path: page_id, record_type, refers_to, chunk_no (from 1), chunk, complete,
     bytes_so_far, digest_so_far (hexadecimal state; of a complete record its base32 SHA-1). A revisit has one empty chunk
     with the figures of the payload that it refers to."""
     pieces = spark.read.option("lineSep", _END.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
-    return pieces.mapInPandas(_read, "page_id long, record_type string, refers_to long, chunk_no long, chunk binary, complete boolean, bytes_so_far long, digest_so_far string")
+    return pieces.mapInPandas(_read(chunk_bytes), "page_id long, record_type string, refers_to long, chunk_no long, chunk binary, complete boolean, bytes_so_far long, digest_so_far string")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
