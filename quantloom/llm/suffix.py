@@ -7,8 +7,8 @@ common position in its first `window` words, with `least_words - window + 1` wor
 Shape of the job: (1) one pass gives every kept suffix the hash of that many words; only hashes that occur in two texts or
 more go on. (2) Their documents are read again for each suffix's context, as word hashes: right, `least_words`; left,
 `window - 1`. (3) The suffixes are sorted over the whole cluster by range, on class, right context, left context reversed
-and identity, so that even a passage found in a third of all documents is spread over many tasks. Each suffix is compared
-with its nearest neighbours of other documents, and the match is extended left and right. What lies on either side of a
+and identity, and once more with the left context before the right, which brings the longest matches to the left together.
+Identity in the order means that even a passage found in a third of all documents is spread over many tasks. In both orders each suffix is compared with its nearest neighbours of other documents, and the match is extended left and right. What lies on either side of a
 partition border is compared on the driver: a few rows for each partition, however many rows there are. (4) Matched
 intervals of at least least_words merge into spans for each document.
 """
@@ -159,18 +159,20 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, window: i
     n = size["n"] or 0
     texts = own.join(broadcast_if_small(kept, 1, 16 * n + 64 * size["docs"]), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "positions", "keys")
     shape = "doc_id long, pos long, key long, right binary, left binary, n_right int, n_left int"
-    suffixes = texts.mapInPandas(_contexts(least_words, window), shape)
+    suffixes = materialize(texts.mapInPandas(_contexts(least_words, window), shape), "suffix-contexts")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS))
-    by = ["key", "right", "left", "doc_id", "pos"]
-    ordered = suffixes.repartitionByRange(parts, *by).sortWithinPartitions(*by)
-    found = materialize(ordered.mapInPandas(_neighbours(least_words), "part int, seat long, start long, stop long, " + shape), "suffix-found")
-
-    ends = found.where("part >= 0").select("part", "seat", *_SUFFIX).toPandas().sort_values(["part", "seat"])
-    pairs = [g for _, g in ends.groupby("part")]
-    border = [compare(pd.concat([a.iloc[-EDGE:], b.iloc[:EDGE]], ignore_index=True), least_words) for a, b in zip(pairs, pairs[1:], strict=False)]
-    border = pd.concat(border) if border else pd.DataFrame({"doc_id": [], "start": [], "stop": []})
-    border = spark.createDataFrame([tuple(map(int, r)) for r in border.itertuples(index=False)], "doc_id long, start long, stop long")
-    hits = found.where("part < 0").select("doc_id", "start", "stop").unionByName(border)
+    hits = None
+    for first, second in (("right", "left"), ("left", "right")):
+        by = ["key", first, second, "doc_id", "pos"]
+        ordered = suffixes.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+        found = materialize(ordered.mapInPandas(_neighbours(least_words), "part int, seat long, start long, stop long, " + shape), f"suffix-{first}")
+        ends = found.where("part >= 0").select("part", "seat", *_SUFFIX).toPandas().sort_values(["part", "seat"])
+        pairs = [g for _, g in ends.groupby("part")]
+        border = [compare(pd.concat([a.iloc[-EDGE:], b.iloc[:EDGE]], ignore_index=True), least_words) for a, b in zip(pairs, pairs[1:], strict=False)]
+        border = pd.concat(border) if border else pd.DataFrame({"doc_id": [], "start": [], "stop": []})
+        border = spark.createDataFrame([tuple(map(int, r)) for r in border.itertuples(index=False)], "doc_id long, start long, stop long")
+        both = found.where("part < 0").select("doc_id", "start", "stop").unionByName(border)
+        hits = both if hits is None else hits.unionByName(both)
     w = Window.partitionBy("doc_id").orderBy("start", "stop")
     reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") > F.col("reach"), 1).otherwise(0)).over(w)
