@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "x20_rolling_backtest"
-MODULES = ("market", "trading", "research", "live")
+MODULES = ("market", "trading", "research", "live", "rules")
 
 
 def _modules():
