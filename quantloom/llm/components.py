@@ -1,4 +1,4 @@
-"""Connected components by minimum-label propagation with pointer jumping, as Spark joins."""
+"""Connected components by contraction, as Spark joins."""
 
 from __future__ import annotations
 
@@ -11,21 +11,24 @@ from .common import materialize
 def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """edges(src, dst) -> (node, label): label is the smallest node reachable; nodes without an edge do not appear.
 
-    A round takes the smallest label among the neighbours, then the label of that label, so that chains shorten
-    geometrically. Each round is written to the shared folder. Minima are pre-aggregated before the shuffle; joins are
-    on plain keys, so Spark may split the edges of a hub. Empty edges give an empty table; self-loops keep their node.
+    In a round every node takes its smallest neighbour, if smaller, as parent, then its parent's parent; edges are renamed
+    to the parents and those within one parent are settled and dropped, so that what is joined shrinks from round to
+    round. Each round is written to the shared folder. Minima are pre-aggregated before the shuffle; joins are on plain keys
+    with one row for each on the parents' side, so Spark may split the edges of a hub. Empty edges give an empty table.
     """
     e = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src is not null and dst is not null")
-    both = materialize(e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), f"{name}-edges")
-    labels = materialize(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")), f"{name}-0")
+    e = materialize(e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), f"{name}-edges")
+    labels = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("label", F.col("node"))
+    live = e.where("src <> dst")
     for r in range(1, max_rounds + 1):
-        low = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("low"))
-        near = labels.join(low, "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = near.join(up, "label").select("node", "old", F.least("label", "up").alias("label"))
-        new = materialize(new, f"{name}-{r}")
-        changed = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
+        low = live.groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("p"))
+        parent = materialize(low.unionByName(live.select(F.col("dst").alias("v"), F.col("dst").alias("p")).distinct()).groupBy("v").agg(F.min("p").alias("p")), f"{name}-parent-{r}")
+        up = parent.select(F.col("v").alias("p"), F.col("p").alias("up"))
+        parent = materialize(parent.join(up, "p").select("v", F.col("up").alias("p")), f"{name}-up-{r}")
+        labels = materialize(labels.join(parent.select(F.col("v").alias("label"), F.col("p").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label")), f"{name}-labels-{r}")
+        a = live.join(parent.select(F.col("v").alias("src"), F.col("p").alias("a")), "src").select("a", "dst")
+        b = a.join(parent.select(F.col("v").alias("dst"), F.col("p").alias("b")), "dst").where("a <> b").select("a", "b")
+        live = materialize(b.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct(), f"{name}-edges-{r}")
+        if not live.limit(1).count():
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
