@@ -54,7 +54,7 @@ def with_factors(bars: DataFrame, key: str = "code", date: str = "trade_date", l
         return F.when((F.col("n") >= k) & (m > 0), (close / nonzero(m) - 1) * 100).otherwise(zero).alias(f"ma{k}_gap")
 
     n_ = F.col("n")
-    bull = (n_ >= 60) & (F.col("_ma5") > F.col("_ma10")) & (F.col("_ma10") > F.col("_ma20")) & (F.col("_ma20") > F.col("_ma60"))
+    bull = (n_ >= 60) & (F.round(F.col("_ma5") - F.col("_ma10"), 9) > 0) & (F.round(F.col("_ma10") - F.col("_ma20"), 9) > 0) & (F.round(F.col("_ma20") - F.col("_ma60"), 9) > 0)
     ready = [F.col(f"_c{k}") > 0 for k in (3, 5, 10, 20)] + [n_ >= 5, n_ >= 20, (n_ >= 10) & (F.col("_t5p") > 0), (n_ >= 20) & (F.col("_h20") > 0), n_ >= 21]
     coverage = sum((F.coalesce(c, F.lit(False)).cast("int") for c in ready), F.lit(0)) / len(ready)
     few = F.coalesce(F.col("_sd"), zero) * 100  # fewer than 20 returns: those there are
@@ -117,12 +117,13 @@ def with_trend_factors(bars: DataFrame, key: str = "code", date: str = "trade_da
     ret20, gap20 = (c / F.when(F.col("_c20") > 0, F.col("_c20")) - 1) * 100, (c / nonzero(F.col("_ma20")) - 1) * 100
     gap60 = F.when(F.col("bar_no") >= 60, (c / nonzero(F.col("_ma60")) - 1) * 100).otherwise(0.0)
     vol = F.col("_sd") * 100
+    ahead = F.round(F.col("_ma20") - F.col("_ma60"), 9)  # equal averages differ in their last bits
     return b.select(
         *bars.columns, F.coalesce(ret20, F.lit(0.0)).alias("trend_ret_20d"),
         F.coalesce((c / F.when(F.col("_c60") > 0, F.col("_c60")) - 1) * 100, F.lit(0.0)).alias("trend_ret_60d"),
         gap20.alias("trend_ma20_gap"), gap60.alias("trend_ma60_gap"),
         ((c / nonzero(F.col("_peak")) - 1) * 100).alias("drawdown_60d"),
         F.coalesce(ret20 / nonzero(vol), F.lit(0.0)).alias("risk_adjusted_momentum"),
-        ((gap20 > 0) & (F.col("_ma20") > F.col("_ma60"))).alias("uptrend"),
-        ((gap20 < 0) & (F.col("_ma20") < F.col("_ma60"))).alias("downtrend"),
+        ((gap20 > 0) & (ahead > 0)).alias("uptrend"),
+        ((gap20 < 0) & (ahead < 0)).alias("downtrend"),
     )

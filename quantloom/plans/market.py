@@ -167,7 +167,7 @@ SELECT code, trade_date, round((close / ((high + low + close) / 3) - 1) * 100, 6
         avg(close) OVER (w ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS m60, max(close) OVER (w ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS peak FROM bars {_W}),
 b AS (SELECT *, stddev_samp(r1) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS sd FROM a {_W})
 SELECT code, trade_date, round(coalesce((close / p60 - 1) * 100, 0), 6) AS trend_ret_60d, round((close / m20 - 1) * 100, 6) AS trend_ma20_gap, round(CASE WHEN bar_no >= 60 THEN (close / m60 - 1) * 100 ELSE 0 END, 6) AS trend_ma60_gap,
-  round((close / peak - 1) * 100, 6) AS drawdown_60d, round(coalesce((close / p20 - 1) * 100 / nullif(sd * 100, 0), 0), 6) AS risk_adjusted_momentum, (close / m20 - 1) * 100 > 0 AND m20 > m60 AS uptrend, (close / m20 - 1) * 100 < 0 AND m20 < m60 AS downtrend
+  round((close / peak - 1) * 100, 6) AS drawdown_60d, round(coalesce((close / p20 - 1) * 100 / nullif(sd * 100, 0), 0), 6) AS risk_adjusted_momentum, (close / m20 - 1) * 100 > 0 AND round(m20 - m60, 9) > 0 AS uptrend, (close / m20 - 1) * 100 < 0 AND round(m20 - m60, 9) < 0 AS downtrend
 FROM b WHERE bar_no >= 25"""),
     "s23_latest_factors": with_views(["factors"], f"SELECT code, trade_date, {FACTOR_LIST} FROM factors QUALIFY row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) = 1"),
     "w1_percentiles": with_views(["factors"], f"SELECT code, trade_date, {_pct('ret_5d')}, {_pct('ma20_gap')}, {_pct('volatility_20d', True)} FROM factors"),

@@ -38,7 +38,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
          CASE WHEN n > 10 AND p10 > 0 THEN (close / p10 - 1) * 100 ELSE 0 END AS ret_10d, CASE WHEN n > 20 AND p20 > 0 THEN (close / p20 - 1) * 100 ELSE 0 END AS ret_20d,
          CASE WHEN n >= 5 THEN (close / m5 - 1) * 100 ELSE 0 END AS ma5_gap, CASE WHEN n >= 10 THEN (close / m10 - 1) * 100 ELSE 0 END AS ma10_gap,
          CASE WHEN n >= 20 THEN (close / m20 - 1) * 100 ELSE 0 END AS ma20_gap, CASE WHEN n >= 60 THEN (close / m60 - 1) * 100 ELSE 0 END AS ma60_gap,
-         CASE WHEN n >= 60 AND m5 > m10 AND m10 > m20 AND m20 > m60 THEN 1.0::DOUBLE ELSE 0 END AS ma_bull_aligned,
+         CASE WHEN n >= 60 AND round(m5 - m10, 9) > 0 AND round(m10 - m20, 9) > 0 AND round(m20 - m60, 9) > 0 THEN 1.0::DOUBLE ELSE 0 END AS ma_bull_aligned,
          coalesce(t5 / nullif(CASE WHEN n >= 10 THEN t5q ELSE t5 END, 0), 0) AS vol_amount_5d, coalesce(volume / nullif(v5, 0), 0) AS vol_ma5_ratio, turnover_20d,
          CASE WHEN h20 > 0 AND close >= h20 * 0.995::DOUBLE THEN 1.0::DOUBLE ELSE 0 END AS breakout_20d, coalesce(sd, 0) * 100 AS volatility_20d
   FROM fx WHERE bar_no >= 6 AND close > 0"""),
