@@ -49,29 +49,66 @@ def blocks_of(text: str) -> list[str]:
     return out
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+class PieceIndex:
+    """Pieces by length and 64-bit polynomial hash, to look up a place in many words at once."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        groups: dict[int, list[tuple[str, int]]] = {}
+        for piece, i in vocabulary.items():
+            groups.setdefault(len(piece), []).append((piece, i))
+        self.size, self.tables = len(vocabulary), {}
+        for n, g in sorted(groups.items()):
+            h = prefix_hashes(letters([w for w, _ in g]))[:, n]
+            order = np.argsort(h)
+            self.tables[n] = (h[order], np.array([i for _, i in g], np.int64)[order])
+
+
+def letters(ws: list[str]) -> np.ndarray:
+    """Code points of equally long words, a row each."""
+    return np.frombuffer("".join(ws).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(ws), -1).astype(np.uint64)
+
+
+def prefix_hashes(codes: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
+    for j in range(codes.shape[1]):
+        out[:, j + 1] = out[:, j] * _BASE + codes[:, j] + np.uint64(1)
+    return out
+
+
 class Lattice:
-    """All pieces of equally long words: ids[i, j] has, for every word, the piece from i to j, or -1."""
+    """All pieces of equally long words: edges[i, j] = (words that have a piece from i to j, its id); unknown characters apart."""
 
-    def __init__(self, ws: list[str], vocabulary: dict[str, int], longest: int):
-        self.n, get = len(ws[0]), vocabulary.get
-        self.edges = {}
+    def __init__(self, ws: list[str], index: PieceIndex):
+        self.n, self.words, self.edges, self.unknown = len(ws[0]), len(ws), {}, {}
+        h = prefix_hashes(letters(ws)).T.copy()
+        power = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(self.n, _BASE))])
         for j in range(1, self.n + 1):
-            for i in range(max(0, j - longest), j):
-                ids = np.fromiter((get(w[i:j], -1) for w in ws), np.int32, len(ws))
-                if j - i == 1 or (ids >= 0).any():
-                    self.edges[i, j] = ids
-
-    def weights(self, p: np.ndarray, i: int, j: int) -> np.ndarray:
-        """p: (pieces + 2, languages), its last two rows an unknown character's probability and 0."""
-        ids = self.edges[i, j]
-        return p[np.where(ids >= 0, ids, len(p) - 2 if j - i == 1 else len(p) - 1)]
+            for k, (keys, ids) in index.tables.items():
+                if k > j:
+                    break
+                sub = h[j] - h[j - k] * power[k]
+                at = np.minimum(np.searchsorted(keys, sub), len(keys) - 1)
+                found = keys[at] == sub
+                got = np.flatnonzero(found)
+                if len(got):
+                    self.edges[j - k, j] = (got, ids[at[got]])
+                if k == 1:
+                    self.unknown[j] = np.flatnonzero(~found)
 
     def forward(self, p: np.ndarray) -> np.ndarray:
-        size = len(next(iter(self.edges.values())))
-        a = np.zeros((self.n + 1, size, p.shape[1]))
+        """p: (pieces, languages). Sums over all segmentations of each prefix: (length + 1, words, languages)."""
+        a = np.zeros((self.n + 1, self.words, p.shape[1]))
         a[0] = 1
-        for i, j in self.edges:
-            a[j] += a[i] * self.weights(p, i, j)
+        for j in range(1, self.n + 1):
+            u = self.unknown.get(j, slice(None))
+            a[j, u] += a[j - 1, u] * UNKNOWN
+            for i in range(j):
+                if (i, j) in self.edges:
+                    got, ids = self.edges[i, j]
+                    a[j, got] += a[i, got] * p[ids]
         return a
 
     def expected(self, p: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -79,14 +116,18 @@ class Lattice:
         a = self.forward(p)
         b = np.zeros_like(a)
         b[self.n] = 1
-        for i, j in sorted(self.edges, key=lambda e: -e[1]):
-            b[i] += b[j] * self.weights(p, i, j)
-        out, scale = np.zeros((len(p) - 2, p.shape[1])), count / a[self.n]
-        for (i, j), ids in self.edges.items():
-            got = ids >= 0
+        for j in range(self.n, 0, -1):
+            u = self.unknown.get(j, slice(None))
+            b[j - 1, u] += b[j, u] * UNKNOWN
+            for i in range(j):
+                if (i, j) in self.edges:
+                    got, ids = self.edges[i, j]
+                    b[i, got] += b[j, got] * p[ids]
+        out, scale = np.zeros(p.shape), count / a[self.n]
+        for (i, j), (got, ids) in self.edges.items():
+            e = a[i, got] * p[ids] * b[j, got] * scale[got]
             for k in range(p.shape[1]):
-                e = a[i, got, k] * p[ids[got], k] * b[j, got, k] * scale[got, k]
-                out[:, k] += np.bincount(ids[got], e, len(out))
+                out[:, k] += np.bincount(ids, e[:, k], len(out))
         return out
 
 
@@ -99,24 +140,19 @@ def by_length(ws) -> Iterator[list[str]]:
             yield g[i : i + 20_000]
 
 
-def padded(p: np.ndarray) -> np.ndarray:
-    return np.vstack([p, np.full(p.shape[1], UNKNOWN), np.zeros(p.shape[1])])
-
-
 def fit(counts: dict[str, np.ndarray], vocabulary: dict[str, int], languages: int, rounds: int = EM_ROUNDS) -> np.ndarray:
     """counts: block -> count by language. Piece probabilities (pieces, languages)."""
-    longest = max(map(len, vocabulary))
-    groups = [(g, Lattice(g, vocabulary, longest), np.array([counts[w] for w in g], float)) for g in by_length(sorted(counts))]
+    index = PieceIndex(vocabulary)
+    groups = [(Lattice(g, index), np.array([counts[w] for w in g], float)) for g in by_length(sorted(counts))]
     # Start: pieces as frequent as their occurrences, whatever the segmentation.
     seen = np.full((len(vocabulary), languages), 0.01)
-    for g, lat, c in groups:
-        for ids in lat.edges.values():
-            got = ids >= 0
+    for lat, c in groups:
+        for got, ids in lat.edges.values():
             for k in range(languages):
-                seen[:, k] += np.bincount(ids[got], c[got, k], len(seen))
+                seen[:, k] += np.bincount(ids, c[got, k], len(seen))
     p = seen / seen.sum(axis=0)
     for _ in range(rounds):
-        e = sum((lat.expected(padded(p), c) for _, lat, c in groups), np.full(p.shape, 0.01))
+        e = sum((lat.expected(p, c) for lat, c in groups), np.full(p.shape, 0.01))
         p = e / e.sum(axis=0)
     return p
 
@@ -153,8 +189,8 @@ def predict(docs: DataFrame, languages: list[str], p: np.ndarray, vocabulary_pat
     model = docs.sparkSession.sparkContext.broadcast(p.astype(np.float64))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, full = load_vocabulary(vocabulary_path), padded(model.value) if languages else None
-        longest, row, table = max(map(len, vocabulary)), {}, np.zeros((0, len(languages)))
+        index, p = PieceIndex(load_vocabulary(vocabulary_path)), model.value
+        row, table = {}, np.zeros((0, len(languages)))
         for b in batches:
             texts, names, scores, start = b["text"].tolist(), [], [], 0
             while start < len(texts):
@@ -163,14 +199,14 @@ def predict(docs: DataFrame, languages: list[str], p: np.ndarray, vocabulary_pat
                     t = texts[stop]
                     parts.append(blocks_of(t) if languages and isinstance(t, str) and _LETTER.search(t) else None)
                     held, stop = held + len(t or ""), stop + 1
-                new = set().union(*[p for p in parts if p]) - row.keys()
+                new = set().union(*[x for x in parts if x]) - row.keys()
                 if len(row) + len(new) > CACHE:
-                    row, table, new = {}, table[:0], set().union(*[p for p in parts if p])
+                    row, table, new = {}, table[:0], set().union(*[x for x in parts if x])
                 logs = [table]
                 for g in by_length(new):
                     at = len(row)
                     row.update(zip(g, range(at, at + len(g)), strict=True))
-                    logs.append(np.log(np.maximum(Lattice(g, vocabulary, longest).forward(full)[-1], 1e-300)))
+                    logs.append(np.log(np.maximum(Lattice(g, index).forward(p)[-1], 1e-300)))
                 table = np.concatenate(logs)
                 for ws in parts:
                     if not ws:
