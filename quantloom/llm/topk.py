@@ -24,71 +24,61 @@ from .common import materialize
 
 CANDIDATES = 1024  # in a block
 QUERIES = 1024  # in a block
-STEPS = 8  # parts in which lists are read
+PARTS = (0.125, 0.375, 1.0)  # shares of the lists after which bounds are compared
 
 
-def nra_block(x: np.ndarray, xid: np.ndarray, q: np.ndarray, qid: np.ndarray, k: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nra_block(x: np.ndarray, xid: np.ndarray, q: np.ndarray, qid: np.ndarray, k: int, parts: tuple[float, ...] = PARTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """x: (candidates, dims), q: (queries, dims), whole numbers as float64. The k best of the block for each query, its own
-    id left out: query, candidate, score. Ties to the smaller id."""
+    id left out: query, candidate, score. Ties to the smaller id.
+
+    What was read and what is unread of a list are masks over its entries, so the sums of all queries are matrix products.
+    """
     n, dims = x.shape
     order = np.argsort(-x, axis=0, kind="stable")  # the lists: candidates by falling value, one list a column
-    low, high = x.min(axis=0), x.max(axis=0)
-    out = ([], [], [])
-    active = np.arange(len(q))
-    read = np.zeros((len(q), n))  # contributions read so far
-    # Unread lists: sums of their least and of their frontier contributions, for every query and candidate.
-    least = np.repeat((np.minimum(q * low, q * high)).sum(axis=1)[:, None], n, axis=1)
-    cuts = np.linspace(0, n, min(steps, n) + 1).astype(int)
-    seen_top, seen_bottom = np.zeros((dims, n), bool), np.zeros((dims, n), bool)
-    for c in range(len(cuts) - 1):
-        lo, hi = cuts[c], cuts[c + 1]
+    low, high, every = x.min(axis=0), x.max(axis=0), np.arange(dims)
+    down, up = np.zeros((dims, n)), np.zeros((dims, n))  # entries read from the top and from the bottom
+    out, active, k, lo = ([], [], []), np.arange(len(q)), min(k, n), 0
+    for part in parts:
+        hi = max(lo, min(n, int(np.ceil(part * n))))
         for d in range(dims):
-            for rows, part, seen in ((active[q[active, d] > 0], order[lo:hi, d], seen_top), (active[q[active, d] < 0], order[n - hi : n - lo, d], seen_bottom)):
-                if len(rows):
-                    g, at = q[rows, d], np.ix_(rows, part)
-                    worst = g * np.where(g > 0, low[d], high[d])
-                    read[at] += g[:, None] * x[part, d]
-                    least[at] -= worst[:, None]
-            seen_top[d, order[lo:hi, d]] = True
-            seen_bottom[d, order[n - hi : n - lo, d]] = True
-        if hi < n:
-            top, bottom = x[order[hi - 1, np.arange(dims)], np.arange(dims)], x[order[n - hi, np.arange(dims)], np.arange(dims)]
-            pos, neg = np.maximum(q[active], 0), np.minimum(q[active], 0)
-            upper = read[active] + (pos * top) @ (~seen_top).astype(float) + (neg * bottom) @ (~seen_bottom).astype(float)
-        else:
-            upper = read[active]
-        lower = read[active] + (least[active] if hi < n else 0)
+            down[d, order[lo:hi, d]] = 1
+            up[d, order[n - hi : n - lo, d]] = 1
+        lo = hi
+        pos, neg = np.maximum(q[active], 0), np.minimum(q[active], 0)
+        read = pos @ (x.T * down) + neg @ (x.T * up)
         own = xid[None, :] == qid[active][:, None]
+        if hi == n:  # all is read
+            read[own] = -np.inf
+            for r, a in enumerate(active):
+                cut = np.partition(read[r], n - k)[n - k]
+                near = np.flatnonzero(read[r] >= cut)
+                keep = near[np.lexsort((xid[near], -read[r][near]))[:k]]
+                _emit(out, qid[a], xid[keep], read[r][keep])
+            break
+        # An unread entry gives at least what the list's far end gives, at most what its current entry gives.
+        lower = read + (pos * low) @ (1 - down) + (neg * high) @ (1 - up)
+        upper = read + (pos * x[order[hi - 1, every], every]) @ (1 - down) + (neg * x[order[n - hi, every], every]) @ (1 - up)
         lower[own] = upper[own] = -np.inf
-        kk = min(k, n)
-        best = np.argpartition(-lower, kk - 1, axis=1)[:, :kk]
+        best = np.argpartition(lower, n - k, axis=1)[:, n - k :]
         floor = np.take_along_axis(lower, best, axis=1).min(axis=1)
-        outside = upper.copy()
-        np.put_along_axis(outside, best, -np.inf, axis=1)
+        np.put_along_axis(upper, best, -np.inf, axis=1)
         # An outsider whose upper bound only equals the floor may win by its id: reading goes on.
-        stop = (outside.max(axis=1) < floor) & np.isfinite(floor) if hi < n else np.ones(len(active), bool)
-        if hi < n and stop.any():
-            for r in np.flatnonzero(stop):
-                a, m = active[r], best[r]
-                unread = np.where(q[a][:, None] > 0, ~seen_top[:, m], np.where(q[a][:, None] < 0, ~seen_bottom[:, m], False))
-                score = read[a, m] + (unread * q[a][:, None] * x[m].T).sum(axis=0)
-                out[0].append(np.full(len(m), qid[a]))
-                out[1].append(xid[m])
-                out[2].append(score)
-        elif hi == n:
-            for r, a in enumerate(active):
-                s = upper[r]
-                keep = np.lexsort((xid, -s))[:kk]
-                keep = keep[np.isfinite(s[keep])]
-                out[0].append(np.full(len(keep), qid[a]))
-                out[1].append(xid[keep])
-                out[2].append(s[keep])
+        stop = (upper.max(axis=1) < floor) & np.isfinite(floor)
+        for r in np.flatnonzero(stop):
+            _emit(out, qid[active[r]], xid[best[r]], x[best[r]] @ q[active[r]])
         active = active[~stop]
         if not len(active):
             break
     return tuple(np.concatenate(o) if o else np.zeros(0) for o in out)
 
 
+def _emit(out: tuple[list, list, list], query: int, ids: np.ndarray, scores: np.ndarray) -> None:
+    keep = np.isfinite(scores)
+    out[0].append(np.full(int(keep.sum()), query))
+    out[1].append(ids[keep])
+    out[2].append(scores[keep])
+
+
 def _matrix(vectors: list[bytes]) -> np.ndarray:
     rows = [np.frombuffer(v, np.float64) for v in vectors]
     width = max(map(len, rows))
