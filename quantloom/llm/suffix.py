@@ -152,7 +152,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, window: i
     spark = docs.sparkSession
     own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     anchors = materialize(own.mapInPandas(_anchors(least_words - window + 1, window, gram), "doc_id long, pos long, key long"), "suffix-anchors")
-    shared = anchors.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key")
+    # Written first: a join right above an aggregation has no shuffle of its own that Spark could split at a hot key.
+    shared = materialize(anchors.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key"), "suffix-shared")
     kept = anchors.join(shared, "key").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "key"))).alias("at"))
     kept = materialize(kept.select(F.col("doc_id").alias("_doc"), F.col("at.pos").alias("positions"), F.col("at.key").alias("keys")), "suffix-kept")
     size = kept.agg(F.sum(F.size("keys")).alias("n"), F.count("*").alias("docs")).first()
