@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import materialize, shared_dir
 
 CHUNK_BYTES = 1 << 20
 _END = b"\r\n\r\n"
@@ -93,7 +93,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, chunk_byte
     named = own.mapInPandas(_digests, shape)
     heads = own.drop("url").withColumn("url", F.lit(None).cast("string")).select("page_id", "url", "payload").mapInPandas(_digests, shape)
     heads = heads.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("response_id"))
-    ruled = named.join(heads, ["payload_digest", "payload_bytes"], "left")
+    # Written first: a join right above an aggregation has no shuffle of its own that Spark could split at a hot payload.
+    ruled = named.join(materialize(heads, "warc-heads"), ["payload_digest", "payload_bytes"], "left")
     # The text of a revisit is not needed any more.
     ruled = ruled.withColumn("response_id", F.coalesce("response_id", "page_id")).select("page_id", "url", F.when(F.col("page_id").eqNullSafe(F.col("response_id")), F.col("payload")).otherwise(F.lit(b"")).alias("payload"), "payload_bytes", "payload_digest", "response_id")
     rows = ruled.mapInPandas(_records(chunk_bytes, date), "record binary")
