@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 U64 = np.uint64
-_M1, _M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
+FACTORS = _M1, _M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,48 +1,69 @@
 """LM scoring by cross-entropy difference.
 
 Two interpolated bigram models, of a target corpus and of the whole collection as background, share one vocabulary and
-one list of bigrams: the words, and the pairs of words, that make up at least `least_share` of the collection's words. A
-share bounds a list at 1 / share entries whatever the input, so the models can be broadcast, and it is a property of the
-whole collection: counts are taken over every word of every text. A word outside the vocabulary is <unk>; a pair outside
-the list backs off to its second word. A text's score is the difference of its losses per token, target minus background;
-low scores are like the target.
+one list of bigrams: every word and every pair of words that the collection holds. Nothing is cut, so a text's score does
+not depend on how much else there is but by the counts. A text's score is the difference of its losses per token, target
+minus background; low scores are like the target.
+
+Shape of the job: (1) pairs are counted within the tasks, then over the cluster, and written; words are sums over their
+pairs. (2) A pair's two log-probabilities follow from its own count and those of its words: two joins of written tables.
+(3) The texts are read again as (text hash, pair, n) and joined with these by pair; a text's loss is the mean over its
+rows. Only the totals reach the driver.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, broadcast_if_small, materialize, mix, words
+from .common import FACTORS, U64, WordHashes, broadcast_if_small, materialize, mix, words
 
-LEAST_SHARE = 1e-6
 BIGRAM_WEIGHT = 0.6
 ALPHA = 0.5  # added to every word's count
 _START = U64(0x9AE16A3B2F90404F)
-_HELD = 2_000_000  # words counted together within a task
+_ODD = U64(0x9E3779B97F4A7C15)
+_INVERSE = tuple(U64(pow(int(x), -1, 1 << 64)) for x in (_ODD, *FACTORS))
+_HELD = 500_000  # words held together within a task
+
+
+def before(h: np.ndarray) -> np.ndarray:
+    """The word before each word; the first follows a start mark."""
+    return np.concatenate([[_START], h[:-1]])
 
 
 def bigrams(h: np.ndarray) -> np.ndarray:
-    """The hash of each word with the one before; the first follows a start mark."""
-    before = np.concatenate([[_START], h[:-1]])
-    return mix(before * U64(0x9E3779B97F4A7C15) + h)
+    """The hash of each word with the one before."""
+    return mix(before(h) * _ODD + h)
+
+
+def first_words(grams: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The words before, from the hashes of bigrams() and their second words: each of its steps can be undone."""
+    odd, m1, m2 = _INVERSE
+    x = grams ^ (grams >> U64(33))
+    x = x * m2
+    x = (x ^ (x >> U64(33))) * m1
+    return ((x ^ (x >> U64(33))) - h) * odd
+
+
+def _with_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        gram, h = (b[c].to_numpy(np.int64).view(U64) for c in ("gram", "w2"))
+        yield b.assign(w1=first_words(gram, h).view(np.int64))
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known, held, size = WordHashes(), [], 0
 
     def flush():
-        out = []
-        for order, make in ((1, lambda h: h), (2, bigrams)):
-            grams = np.concatenate([make(h) for h, _ in held])
-            target = np.concatenate([np.full(len(h), t, np.float64) for h, t in held])
-            u, at, n = np.unique(grams, return_inverse=True, return_counts=True)
-            out.append(pd.DataFrame({"n_words": order, "gram": u.view(np.int64), "n": n, "n_target": np.bincount(at, target, len(u)).astype(np.int64)}))
-        return out
+        grams, word = (np.concatenate([f(h) for h, _ in held]) for f in (bigrams, lambda h: h))
+        target = np.concatenate([np.full(len(h), t, np.float64) for h, t in held])
+        u, seat, at, n = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
+        return pd.DataFrame({"gram": u.view(np.int64), "w2": word[seat].view(np.int64), "n": n, "n_target": np.bincount(at, target, len(u)).astype(np.int64)})
 
     for b in batches:
         for text, t in zip(b["text"], b["is_target"], strict=True):
@@ -51,62 +72,34 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held.append((h, float(t)))
                 size += len(h)
             if size >= _HELD:
-                yield from flush()
+                yield flush()
                 held, size = [], 0
     if held:
-        yield from flush()
+        yield flush()
 
 
-def _totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts with words and words, of all and of the target."""
+def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts as rows of their hash, pair and number."""
+    known, held, size = WordHashes(), [], 0
+
+    def flush():
+        key, gram, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pd.DataFrame({"key": key, "gram": gram.view(np.int64), "n": n})
+
     for b in batches:
-        n, t = np.array([len(words(x)) for x in b["text"]], np.int64), b["is_target"].to_numpy(bool)
-        yield pd.DataFrame({"docs": [int((n > 0).sum())], "docs_target": [int((n[t] > 0).sum())], "n": [int(n.sum())], "n_target": [int(n[t].sum())]})
-
-
-def _table(grams: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(grams)
-    return grams[order], n[order], t[order]
-
-
-def look_up(sorted_grams: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Places in sorted_grams; its length where there is none."""
-    at = np.searchsorted(sorted_grams, grams)
-    found = at < len(sorted_grams)
-    found[found] = sorted_grams[at[found]] == grams[found]
-    return np.where(found, at, len(sorted_grams))
-
-
-def _score(model, bigram_weight: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, known = model.value, WordHashes()
-        words_, pairs = m["words"], m["pairs"]
-        for b in batches:
-            n, lt, lb = [], [], []
-            for text in b["text"]:
-                h = known.of(words(text))
-                n.append(len(h))
-                if not len(h):
-                    lt.append(None)
-                    lb.append(None)
-                    continue
-                w = look_up(words_, h)
-                pair = look_up(pairs, bigrams(h))
-                before = np.concatenate([[len(words_) + 1], w[:-1]])
-                stored = pair < len(pairs)
-                for side, out in (("t", lt), ("b", lb)):
-                    p = m["uni_" + side][w]
-                    context = m["ctx_" + side][before[stored]]
-                    p2 = p.copy()
-                    p2[stored] = np.where(context > 0, bigram_weight * m["pair_" + side][pair[stored]] / np.maximum(context, 1) + (1 - bigram_weight) * p[stored], p[stored])
-                    out.append(float(-np.log(p2).mean()))
-            lt, lb = np.array(lt, float), np.array(lb, float)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": n, "loss_target": lt, "loss_background": lb, "score": lt - lb})
-
-    return run
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, least_share: float = LEAST_SHARE, bigram_weight: float = BIGRAM_WEIGHT) -> DataFrame:
+        for key, text in zip(b["key"], b["text"], strict=True):
+            u, n = np.unique(bigrams(known.of(words(text))), return_counts=True) if text and text.strip() else ((), ())
+            if len(u):
+                held.append((np.full(len(u), key, np.int64), u, n.astype(np.int32)))
+                size += len(u)
+            if size >= _HELD // 2:
+                yield flush()
+                held, size = [], 0
+    if held:
+        yield flush()
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, bigram_weight: float = BIGRAM_WEIGHT) -> DataFrame:
     """docs(doc_id, text), target_ids(doc_id) -> doc_id, n_tokens, loss_target, loss_background, score; a row for a row.
 
     Losses are natural logarithms per token. Null texts and texts without words have 0 tokens and null losses. Without
@@ -117,19 +110,34 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, least_share
     ids = materialize(target_ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_target")).distinct(), "xent-target")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = own.join(broadcast_if_small(ids, 16), F.col("doc_id") == F.col("_target"), "left").select("text", F.col("_target").isNotNull().alias("is_target"))
-    sums = marked.mapInPandas(_totals, "docs long, docs_target long, n long, n_target long")
-    totals = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums.columns]).first()
-    all_n, all_t = totals["n"], totals["n_target"]
-    counts = marked.mapInPandas(_count, "n_words int, gram long, n long, n_target long").groupBy("n_words", "gram").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    kept = counts.where(F.col("n") >= max(1.0, least_share * all_n)).toPandas()  # at most 1 / least_share of either order
-    uni, bi = kept[kept["n_words"] == 1], kept[kept["n_words"] == 2]
-    g1, n1, t1 = _table(uni["gram"].to_numpy(np.int64).view(U64), uni["n"].to_numpy(float), uni["n_target"].to_numpy(float))
-    g2, n2, t2 = _table(bi["gram"].to_numpy(np.int64).view(U64), bi["n"].to_numpy(float), bi["n_target"].to_numpy(float))
-    model = {"words": g1, "pairs": g2}
-    for side, c1, c2, total, starts in (("b", n1, n2, all_n, totals["docs"]), ("t", t1, t2, all_t, totals["docs_target"])):
-        rest = total - c1.sum()  # <unk>
-        model[f"uni_{side}"] = np.append(c1 + ALPHA, rest + ALPHA) / (total + ALPHA * (len(c1) + 1))
-        model[f"ctx_{side}"] = np.concatenate([c1, [0.0, float(starts)]])  # as a context: words, <unk>, start
-        model[f"pair_{side}"] = c2
-    shared = spark.sparkContext.broadcast(model)
-    return own.mapInPandas(_score(shared, bigram_weight), "doc_id long, n_tokens long, loss_target double, loss_background double, score double").select("doc_id", "n_tokens", F.nanvl("loss_target", F.lit(None)).alias("loss_target"), F.nanvl("loss_background", F.lit(None)).alias("loss_background"), F.nanvl("score", F.lit(None)).alias("score"))
+    pairs = marked.mapInPandas(_count, "gram long, w2 long, n long, n_target long").groupBy("gram", "w2").agg(F.sum("n").alias("n_b"), F.sum("n_target").alias("n_t"))
+    pairs = materialize(pairs, "xent-pairs")
+    _release(spark)
+    unis = materialize(pairs.groupBy(F.col("w2").alias("w")).agg(F.sum("n_b").alias("c_b"), F.sum("n_t").alias("c_t")), "xent-words")
+    start = int(np.array([_START]).view(np.int64)[0])
+    size = unis.agg(F.count("*").alias("words"), *[F.coalesce(F.sum(f"c_{s}"), F.lit(0)).alias(s) for s in "bt"]).first()
+    named = pairs.mapInPandas(_with_first, "gram long, w2 long, n_b long, n_t long, w1 long")
+    starts = named.where(F.col("w1") == start).agg(*[F.coalesce(F.sum(f"n_{s}"), F.lit(0)).alias(s) for s in "bt"]).first()
+    second, first = (broadcast_if_small(unis.select(F.col("w").alias(w), *[F.col(f"c_{s}").alias(f"{w}_{s}") for s in "bt"]), 32, size["words"]) for w in ("w2", "w1"))
+    model = named.join(second, "w2").join(first, "w1", "left").select("gram", (F.col("w1") == start).alias("opens"), *[_log_probability(s, size[s], size["words"], F.when(F.col("w1") == start, starts[s]).otherwise(F.col(f"w1_{s}")), bigram_weight).alias(f"l_{s}") for s in "tb"])
+    model = materialize(model, "xent-model")
+    _release(spark)
+    keyed = own.select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("key"), "text")
+    rows = keyed.where("text is not null").select("key", "text").mapInPandas(_grams, "key long, gram long, n int").join(model, "gram")
+    # Equal texts share a key: their rows are as many times the same, which a mean does not see; each has one opening pair.
+    sums = rows.groupBy("key").agg(*[(-F.sum(F.col("n") * F.col(f"l_{s}")) / F.sum("n")).alias(f"loss_{x}") for s, x in (("t", "target"), ("b", "background"))], (F.sum("n") / F.sum(F.when(F.col("opens"), F.col("n")))).cast("long").alias("n_tokens"))
+    losses = materialize(sums, "xent-losses")
+    out = keyed.select("doc_id", "key").join(broadcast_if_small(losses, 32), "key", "left")
+    return out.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
+
+
+def _release(spark: SparkSession) -> None:
+    """Have Spark drop shuffle files that nothing refers to any more; else they stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _log_probability(side: str, total: int, vocabulary: int, context: Column, bigram_weight: float) -> Column:
+    """Of a pair's second word after its first: the pair's share of its context, interpolated with the word's smoothed share."""
+    p = (F.col(f"w2_{side}") + ALPHA) / (total + ALPHA * (vocabulary + 1))
+    return F.log(F.when(context > 0, bigram_weight * F.col(f"n_{side}") / context + (1 - bigram_weight) * p).otherwise(p))

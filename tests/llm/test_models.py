@@ -101,6 +101,19 @@ def test_cross_entropy_difference(spark):
     assert cross_entropy_difference(d.limit(0), spark.createDataFrame([], "doc_id long")).count() == 0
 
 
+def test_rare_words_stay_in_the_model_of_a_large_collection(spark):
+    rows = [(i, " ".join(["common", "filler"] * 200_000)) for i in range(3)] + [(10, "rare gem"), (11, "other find"), (12, "rare gem")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in cross_entropy_difference(d, spark.createDataFrame([(10,)], "doc_id long")).collect()}
+    n, v, docs = 1_200_006, 6, 6
+    uni = lambda c, total: (c + 0.5) / (total + 0.5 * (v + 1))
+    back = math.log(0.6 * 2 / docs + 0.4 * uni(2, n)) + math.log(0.6 + 0.4 * uni(2, n))
+    target = math.log(0.6 + 0.4 * uni(1, 2)) * 2
+    for i in (10, 12):  # equal texts
+        assert got[i]["n_tokens"] == 2 and math.isclose(got[i]["loss_background"], -back / 2, rel_tol=1e-9) and math.isclose(got[i]["loss_target"], -target / 2, rel_tol=1e-9)
+    assert got[11]["score"] > 0 > got[10]["score"]
+
+
 def test_rates_meet_the_targets(spark):
     rng = np.random.default_rng(0)
     p, n = rng.dirichlet([0.3, 0.3, 0.3], 400), rng.integers(1, 500, 400)
