@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,12 +84,46 @@ def index_quantiles(df: DataFrame, by: list[str], c: str, q: float) -> DataFrame
     return g.select(*by, F.get("v", F.least(last, F.floor(F.size("v") * q).cast("int"))).alias("floor_index"), F.get("v", F.round(last * q).cast("int")).alias("round_index"), "linear")
 
 
-def binomial_tail(df: DataFrame, n: str, k: str, most: int = 400) -> DataFrame:
-    """df with the chance of k or more heads in n fair throws; log factorials of a bounded table, no loop over rows."""
-    logs = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(most + 1)])
-    d = df.withColumn("_lf", logs)
-    term = F.transform(F.sequence(F.col(k).cast("int"), F.col(n).cast("int")), lambda i: F.exp(F.get("_lf", F.col(n).cast("int")) - F.get("_lf", i) - F.get("_lf", F.col(n).cast("int") - i) - F.col(n) * math.log(2)))
-    return d.withColumn("tail", F.least(F.lit(1.0), F.aggregate(term, F.lit(0.0), lambda a, x: a + x))).drop("_lf")
+def _stirling_error(x: np.ndarray) -> np.ndarray:
+    """log x! less Stirling's formula; from a table up to 15, where the series is too short."""
+    table = np.array([0.0] + [math.lgamma(i + 1) - (i + 0.5) * math.log(i) + i - 0.5 * math.log(2 * math.pi) for i in range(1, 16)])
+    y = np.maximum(x, 1.0)
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * y * y)) / (y * y)) / (y * y)) / y
+    return np.where(x < 16, table[np.minimum(x, 15).astype(int)], series)
+
+
+def fair_tail(n: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Chance of k or more heads in n fair throws, for any n: the first term beyond the middle, times the sum of the ratios
+    that follow it, which falls below double precision after some multiple of sqrt(n) terms."""
+    n, k = np.asarray(n, float), np.asarray(k, float)
+    upper = 2 * k > n
+    m = np.where(upper, k, n - k + 1)  # P(X >= k) = 1 - P(X >= n - k + 1)
+    inside = (m <= n) & (k > 0)
+    m = np.where(inside, m, n)
+    rest = n - m
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = (m - rest) / np.maximum(n, 1)
+        deviance = np.where(rest > 0, m * np.log1p(d) + rest * np.log1p(-d), n * math.log(2))
+        log_first = np.where(rest > 0, _stirling_error(n) - _stirling_error(m) - _stirling_error(rest) - deviance + 0.5 * np.log(n / (2 * math.pi * m * np.maximum(rest, 1))), -n * math.log(2))
+    total, term, i = np.ones_like(n), np.ones_like(n), m.copy()
+    while (go := term > 1e-17 * total).any():
+        term = np.where(go & (i < n), term * (n - i) / (i + 1), 0.0)
+        total, i = total + term, i + 1
+    beyond = np.where(inside, np.minimum(1.0, np.exp(log_first) * total), 0.0)
+    return np.where(k <= 0, 1.0, np.where(upper, beyond, 1 - beyond))
+
+
+def binomial_tail(df: DataFrame, n: str, k: str) -> DataFrame:
+    """df with the chance of k or more heads in n fair throws, for any n; null where n or k is."""
+
+    @F.pandas_udf("double")
+    def tail(a: pd.Series, b: pd.Series) -> pd.Series:
+        known = (a.notna() & b.notna()).to_numpy()
+        out = np.full(len(a), np.nan)
+        out[known] = fair_tail(a[known].to_numpy(float), b[known].to_numpy(float))
+        return pd.Series(out).where(known, None)
+
+    return df.withColumn("tail", tail(F.col(n).cast("long"), F.col(k).cast("long")))
 
 
 def consensus(df: DataFrame, key: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Literal cases of single operators."""
 
+import math
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -12,10 +13,12 @@ from quantloom.operators import execution as ex
 from quantloom.operators import factors as fx
 from quantloom.operators import filters as ft
 from quantloom.operators import joins as jn
+from quantloom.operators import policies as po
 from quantloom.operators import portfolio as pf
 from quantloom.operators import risk_events as rk
 from quantloom.operators import stats as st
 from quantloom.operators import validation as va
+from quantloom.plans import rules
 from quantloom.sources import ingest as ig
 
 BAR = "signal_id long, entry_price double, step int, trade_date date, open double, high double, low double, close double, prev_close double, turnover double"
@@ -183,3 +186,25 @@ def test_walk_forward_purges(spark):
     got = bt.walk_forward(d, 2, 10, 5).groupBy("fold", "part").agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("b")).collect()
     by = {(r["fold"], r["part"]): (r["a"], r["b"]) for r in got}
     assert all((by[f, "test"][0] - by[f, "train"][1]).days == 6 for f in (0, 1))
+
+
+def test_sign_test_of_any_number_of_throws(spark):
+    cases = [(1, 0), (1, 1), (7, 4), (31, 16), (150, 75), (400, 190), (400, 210), (400, 400), (401, 230), (3000, 1600), (100_001, 50_300)]
+    df = spark.createDataFrame([*cases, (5, None)], "n long, k long")
+    got = {(r["n"], r["k"]): r["tail"] for r in po.binomial_tail(df, "n", "k").collect()}
+    for n, k in cases:
+        term = total = math.comb(n, k)
+        for i in range(k, n):
+            term = term * (n - i) // (i + 1)
+            total += term
+            if not term:
+                break
+        assert math.isclose(got[n, k], total / 2**n if n < 1000 else float(total * 10**18 >> n) / 1e18, rel_tol=1e-9, abs_tol=1e-15)
+    assert got[5, None] is None
+
+
+def test_sign_test_query_takes_all_signals_of_a_code(spark, monkeypatch):
+    rows = [("hot", "settled", 0.1 if i % 5 < 3 else -0.1) for i in range(500)] + [("few", "settled", 0.1)] * 3
+    monkeypatch.setattr(rules, "_outcomes", lambda s, d: s.createDataFrame(rows, "code string, state string, net_return double"))
+    got = {r["code"]: (r["n"], r["k"], r["tail"]) for r in rules.q9_sign_test(spark, "").collect()}
+    assert got["few"] == (3, 3, 0.125) and got["hot"] == (500, 300, round(sum(math.comb(500, i) for i in range(300, 501)) / 2**500, 6))
