@@ -4,11 +4,16 @@ A softmax classifier on hashed words, fitted on a bounded sample of the labelled
 posteriors over the labelled domains. Rates r >= 0, one for each document, are then fitted so that the expected tokens
 of each domain, sum of r * tokens * posterior, meet target weights times the collection's tokens: minimise
 
-    1/2 sum_d ((E_d(r) - T_d) / N)^2  +  ridge/2 sum_i (tokens_i / N) (r_i - 1)^2      over r >= 0
-
-by accelerated projected gradient. A round is one Spark job that adds up E over all documents; what goes through the
-driver is one number for each domain. Rates are not stored between rounds: a document's rate follows from its posteriors
-and the rounds' residuals, so a task recomputes it and nothing is lost with an executor.
+    1/2 sum_i (tokens_i / N) (r_i - 1)^2  +  1/2 sum_d ((E_d(r) - T_d) / N)^2 / slack_d      over r >= 0
+
+where slack_d goes with the square of the domain's share (at most MOST_SLACK), so that a rare domain counts by the part of it that is too
+much or too little, as a common one does. The optimum has r_i = max(0, 1 - p_i . price) with one price for each domain,
+found by Newton steps on the concave dual. A round is one Spark job that tries some lengths of a step and adds up E and
+the curvature over all documents; what goes through the driver is a few numbers for each domain. It ends when every
+domain is within TOLERANCE of its target, relative to its share or target, whichever is larger; the slack is lowered
+until that is so. Where posteriors are soft on every document, only rates of 0 nearly everywhere and of hundreds for a
+few would get there: the slack is lowered only while the mean square of the rates stays below SPREAD times what the
+targets need with sure posteriors, and fit_prices returns what is left.
 """
 
 from __future__ import annotations
@@ -24,10 +29,15 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, materialize, words
 
 TRAIN_DOCS = 3000  # labelled documents that the classifier is fitted on, about
+DOMAIN_DOCS = 200  # of each domain at least, about, or all that there are
 BUCKETS = 1 << 15
 EPOCHS = 60
 ROUNDS = 30
-RIDGE = 0.02
+TOLERANCE = 0.02
+SLACKS = (1.0, 0.3, 0.1, 0.03, 0.01, 1e-3, 1e-4)  # times the square of a domain's share
+MOST_SLACK = 0.02  # of any domain
+SPREAD = 2.0
+STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001)
 TARGETS = {"clean": 0.90, "low": 0.10, "toxic": 0.0}
 
 
@@ -67,10 +77,13 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
     """docs(doc_id, text), labels(doc_id, quality, toxic) -> domains and weights. Domains: toxic; else clean or low by quality."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "low")
     known = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), domain.alias("domain")).where("domain is not null").groupBy("_id").agg(F.min("domain").alias("domain"))
-    n = known.count()
-    if not n:
+    known = materialize(known.join(docs.select(F.col("doc_id").alias("_id")), "_id", "left_semi"), "mixing-labels")
+    counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
+    if not counts:
         return [], np.zeros((BUCKETS + 1, 0))
-    sample = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(min(1.0, train_docs / n) * (1 << 30)))
+    drawn = {d: min(1.0, max(train_docs / sum(counts.values()), DOMAIN_DOCS / n)) for d, n in counts.items()}
+    share = F.create_map(*[F.lit(x) for d, s in drawn.items() for x in (d, int(s * (1 << 30)))])[F.col("domain")]
+    sample = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", "domain")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,7 +98,9 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
     domains = sorted(got["domain"].unique())
     rows = np.repeat(np.arange(len(got)), got["b"].map(len))
     cols, vals = np.concatenate([np.asarray(x, np.int64) for x in got["b"]]), np.concatenate([np.asarray(x, float) for x in got["v"]])
-    return domains, fit_softmax(rows, cols, vals, got["domain"].map(domains.index).to_numpy(), len(domains))
+    weights = fit_softmax(rows, cols, vals, got["domain"].map(domains.index).to_numpy(), len(domains))
+    weights[-1] -= np.log([drawn[d] for d in domains])  # a domain drawn more often is that much rarer in the table
+    return domains, weights
 
 
 def posteriors(docs: DataFrame, domains: list[str], weights: np.ndarray) -> DataFrame:
@@ -109,8 +124,65 @@ def posteriors(docs: DataFrame, domains: list[str], weights: np.ndarray) -> Data
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_tokens long, p array<double>")
 
 
+def rates_at(p: np.ndarray, price: np.ndarray) -> np.ndarray:
+    """The rates at these prices of the domains."""
+    return np.maximum(0.0, 1 - p @ price)
+
+
+def fit_prices(table: DataFrame, targets: np.ndarray, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """table(n_tokens, p) -> the prices, which determine every document's rate, and what is left of each domain's share less
+    its target, relative to the larger of the two. rounds: of one slack at most."""
+    k = len(targets)
+    total = table.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
+    if not total:
+        return np.zeros(k), np.zeros(k)
+
+    def sums(prices: list[np.ndarray]) -> list[tuple[float, float, np.ndarray, np.ndarray]]:
+        """At each of the prices: the dual's sum over documents, the rates' mean square, E, and the curvature."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros((len(prices), 2 + k + k * k))
+            for b in batches:
+                if len(b):
+                    p, w = _stack(b["p"]), b["n_tokens"].to_numpy(float) / total
+                    for i, price in enumerate(prices):
+                        r, on = rates_at(p, price), p @ price < 1
+                        out[i] += np.concatenate([[w @ (0.5 * (r - 1) ** 2 + r * (p @ price)), w @ r**2], (w * r) @ p, ((p * (w * on)[:, None]).T @ p).ravel()])
+            yield pd.DataFrame({"at": np.arange(out.size), "v": out.ravel()})
+
+        v = np.array([x["v"] for x in table.select("n_tokens", "p").mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).sort("at").collect()])
+        return [(x[0], x[1], x[2 : 2 + k], x[2 + k :].reshape(k, k)) for x in v.reshape(len(prices), -1)]
+
+    price = np.zeros(k)
+    value, square, e, curve = sums([price])[0]
+    most = SPREAD * max(1.0, (targets**2 / np.maximum(e, 1e-12)).sum())
+    kept = price, e
+    scale = np.maximum(np.maximum(e, targets), 1e-12)  # at price 0 every rate is 1, and e the shares
+    for slack in SLACKS:
+        soft = np.minimum(MOST_SLACK, slack * scale**2)
+        for _ in range(rounds):
+            slope = e - targets - soft * price
+            if np.abs(slope / scale).max() < tolerance / 100:
+                break
+            step = np.linalg.solve(curve + np.diag(soft), slope)
+            tried = [price + s * step for s in STEPS]
+            found = sums(tried)
+            dual = [v - x @ targets - 0.5 * soft @ x**2 for x, (v, *_) in zip(tried, found, strict=True)]
+            best = int(np.argmax(dual))
+            if dual[best] <= value - price @ targets - 0.5 * soft @ price**2:
+                break
+            price, (value, square, e, curve) = tried[best], found[best]
+        if square > most:
+            break
+        kept = price, e
+        if np.abs((e - targets) / scale).max() <= tolerance:
+            break
+    return kept[0], (kept[1] - targets) / scale
+
+
 def rates_after(p: np.ndarray, residuals: list[np.ndarray], ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """The rates after these residuals (of the look-ahead point), and the next look-ahead point."""
+    """Of the plain penalty with one ridge, by accelerated projected gradient: the rates after these residuals (of the
+    look-ahead point), and the next look-ahead point. It leaves rare domains far from their targets; see fit_prices."""
     r = y = np.ones(len(p))
     t, step = 1.0, 1 / (1 + ridge)
     for g in residuals:
@@ -124,7 +196,7 @@ def _stack(p: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, float) for x in p]) if len(p) else np.zeros((0, 0))
 
 
-def fit_rates(table: DataFrame, targets: np.ndarray, rounds: int = ROUNDS, ridge: float = RIDGE) -> list[np.ndarray]:
+def fit_rates(table: DataFrame, targets: np.ndarray, rounds: int, ridge: float) -> list[np.ndarray]:
     """table(n_tokens, p): the residuals of each round, which determine every document's rate."""
     total = table.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
     residuals: list[np.ndarray] = []
@@ -144,7 +216,7 @@ def fit_rates(table: DataFrame, targets: np.ndarray, rounds: int = ROUNDS, ridge
     return residuals
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, rounds: int = ROUNDS, ridge: float = RIDGE, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """docs(doc_id, text), labels(doc_id, quality, toxic) -> doc_id, n_tokens, p_clean, p_low, p_toxic (one for each target
     domain), rate: a row for a row of docs.
 
@@ -162,11 +234,11 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     goal = np.array([targets.get(d, 0.0) for d in domains])
     goal = goal / goal.sum() if goal.sum() else np.full(len(domains), 1 / len(domains))
     table = materialize(posteriors(own, domains, weights), "mixing-posteriors")
-    residuals = fit_rates(table, goal, rounds, ridge)
+    price, _ = fit_prices(table, goal, rounds, tolerance)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(rate=rates_after(_stack(b["p"]), residuals, ridge)[0] if len(b) else [])
+            yield b.assign(rate=rates_at(_stack(b["p"]), price) if len(b) else [])
 
     out = table.mapInPandas(run, "doc_id long, n_tokens long, p array<double>, rate double")
     return out.select("doc_id", "n_tokens", *[(F.col("p")[domains.index(d)] if d in domains else F.lit(None).cast("double")).alias(f"p_{d}") for d in sorted(targets)], "rate")

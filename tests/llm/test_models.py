@@ -6,7 +6,7 @@ import numpy as np
 
 from quantloom.llm.crossent import cross_entropy_difference
 from quantloom.llm.langid import UNKNOWN, Lattice, PieceIndex, accept_identified, fit, identify
-from quantloom.llm.mixing import fit_rates, mixed, mixing_rates, rates_after
+from quantloom.llm.mixing import TOLERANCE, fit_prices, fit_rates, mixed, mixing_rates, rates_after, rates_at, train
 
 
 def paths(word, p, at=0):
@@ -147,3 +147,31 @@ def test_mixing(spark):
     out = mixed(d, labels)
     assert out.columns == d.columns and out.where("doc_id is null").count() == 1
     assert {r["rate"] for r in mixing_rates(d, labels.limit(0)).collect()} == {1.0} and mixing_rates(d.limit(0), labels).count() == 0
+
+
+def test_a_rare_domain_meets_its_target(spark):
+    rng = np.random.default_rng(1)
+    p = np.vstack([[0.98, 0.0199, 0.0001]] * 700 + [[0.03, 0.9699, 0.0001]] * 290 + [[0.01, 0.01, 0.98]] * 10)
+    n = rng.integers(50, 500, 1000)
+    table = spark.createDataFrame([(int(k), [float(x) for x in r]) for k, r in zip(n, p, strict=True)], "n_tokens long, p array<double>").repartition(3)
+    goal = np.array([0.9, 0.1, 0.0])
+    price, left = fit_prices(table, goal)
+    r = rates_at(p, price)
+    e, share = (r * n) @ p / n.sum(), n @ p / n.sum()
+    assert np.allclose((e - goal) / np.maximum(share, goal), left) and np.abs(left).max() <= TOLERANCE
+    assert r[-1] < 0.02 and (r >= 0).all()
+
+
+def test_mixing_drops_one_toxic_document_in_a_hundred(spark):
+    rng = random.Random(5)
+    kinds = {"clean": "river stone cloud", "low": "buy click now", "toxic": "vile worthless scum"}
+    docs = [(i, " ".join(rng.choice(kinds[k].split()) for _ in range(40)), k) for i in range(1000) for k in ["toxic" if i % 100 == 0 else "low" if i % 4 == 1 else "clean"]]
+    labels = spark.createDataFrame([(i, int(k == "clean"), int(k == "toxic")) for i, _, k in docs], "doc_id long, quality int, toxic int")
+    d = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string")
+    domains, _ = train(d, labels, 100)
+    assert domains == ["clean", "low", "toxic"]
+    got = mixing_rates(d, labels).collect()
+    share = sum(r["n_tokens"] * r["p_toxic"] for r in got)
+    assert sum(r["rate"] * r["n_tokens"] * r["p_toxic"] for r in got) < 0.1 * share
+    toxic = {i for i, _, k in docs if k == "toxic"}
+    assert max(r["rate"] for r in got if r["doc_id"] in toxic) < 0.05
