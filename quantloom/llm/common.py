@@ -43,6 +43,15 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
 
 
+def reserved(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def words(text: str | None) -> list[bytes]:
     """A-Z lower-cased, then the maximal runs of bytes other than 20 and 09-0D (bytes.lower and bytes.split do just that)."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -51,7 +60,7 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash, computed once; emptied when it grows past its bound."""
 
-    BOUND = 500_000
+    BOUND = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:

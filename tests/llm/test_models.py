@@ -4,8 +4,8 @@ from collections import Counter
 
 import numpy as np
 
-from quantloom.llm.crossent import cross_entropy_difference
-from quantloom.llm.langid import UNKNOWN, Lattice, PieceIndex, accept_identified, fit, identify
+from quantloom.llm.crossent import ALPHA, PRIOR, VOCABULARY, cross_entropy_difference, load_model, pair_model
+from quantloom.llm.langid import SHORT, UNKNOWN, Lattice, LongWords, PieceIndex, accept_identified, fit, grouped, identify, load_vocabulary
 from quantloom.llm.mixing import TOLERANCE, fit_prices, fit_rates, mixed, mixing_rates, rates_after, rates_at, train
 
 
@@ -22,21 +22,50 @@ def paths(word, p, at=0):
     return total
 
 
+PIECES = ["▁", "▁a", "a", "b", "ab", "ba", "aba", "bb"]
+
+
 def test_forward_sums_all_segmentations():
-    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "aba", "bb"]
-    vocabulary = {w: i for i, w in enumerate(pieces)}
-    p = np.random.default_rng(0).dirichlet(np.ones(len(pieces)), 2).T
+    vocabulary = {w: i for i, w in enumerate(PIECES)}
+    index = PieceIndex(vocabulary)
+    p = np.random.default_rng(0).dirichlet(np.ones(len(PIECES)), 2).T
     words = ["▁abab", "▁aabb", "▁bxba"]
-    got = Lattice(words, PieceIndex(vocabulary)).forward(p)[-1]
-    for i, w in enumerate(words):
-        for k in range(2):
-            assert math.isclose(got[i, k], paths(w, {x: p[j, k] for x, j in vocabulary.items()}), rel_tol=1e-9)
+    for kind in (Lattice, LongWords):
+        got = np.exp(kind(words, index).totals(p))
+        for i, w in enumerate(words):
+            for k in range(2):
+                assert math.isclose(got[i, k], paths(w, {x: p[j, k] for x, j in vocabulary.items()}), rel_tol=1e-9)
     # EM does not lower the likelihood.
     counts = {w: np.array([3.0, 1.0]) for w in words}
-    like = lambda q: sum((np.log(Lattice([w], PieceIndex(vocabulary)).forward(q)[-1][0]) * counts[w]).sum() for w in words)
+    like = lambda q: sum((Lattice([w], index).totals(q)[0] * counts[w]).sum() for w in words)
     assert like(fit(counts, vocabulary, 2, 4)) >= like(fit(counts, vocabulary, 2, 1)) - 1e-6
 
 
+def test_long_words_are_summed_whole():
+    vocabulary = {w: i for i, w in enumerate(PIECES)}
+    index = PieceIndex(vocabulary)
+    rng = random.Random(1)
+    p = np.random.default_rng(2).dirichlet(np.ones(len(PIECES)), 2).T
+    ws = ["▁" + "".join(rng.choice("abx") for _ in range(n)) for n in (3, 9, 20, 23)]
+    c = np.random.default_rng(3).integers(1, 9, (4, 2)).astype(float)
+    long = LongWords(ws, index)
+    assert np.allclose(long.totals(p), np.concatenate([Lattice([w], index).totals(p) for w in ws]), rtol=1e-12)
+    assert np.allclose(long.expected(p, c), sum(Lattice([w], index).expected(p, c[i : i + 1]) for i, w in enumerate(ws)))
+    assert np.allclose(long.seen(c, len(PIECES)), sum(Lattice([w], index).seen(c[i : i + 1], len(PIECES)) for i, w in enumerate(ws)))
+    # A word beyond any double: the sum over all segmentations of n equal letters obeys a recurrence that logarithms carry.
+    one = {"a": 0, "aa": 1}
+    q = np.array([[0.3], [0.7]])
+    n, a = 5000, [1.0, 0.3]
+    scale = 0.0
+    for _ in range(n - 1):
+        a = [a[1], 0.3 * a[1] + 0.7 * a[0]]
+        if a[1] < 1e-200:
+            a, scale = [x * 1e200 for x in a], scale - 200 * math.log(10)
+    assert math.isclose(LongWords(["a" * n], PieceIndex(one)).totals(q)[0, 0], math.log(a[1]) + scale, rel_tol=1e-9, abs_tol=1e-9)
+    mixed = ["a" * k for k in (1, 5, SHORT, SHORT + 1, 60, 300)]
+    assert sorted(w for g in grouped(mixed) for w in g) == sorted(mixed) and all(len(g[-1]) > SHORT or len({*map(len, g)}) == 1 for g in grouped(mixed))
+
+
 def texts(n, seed):
     rng = random.Random(seed)
     stems = {"aa": ["the", "thing", "where", "ought", "shell"], "bb": ["der", "nicht", "schaft", "ungen", "ich"], "cc": ["le", "eaux", "quel", "ment", "oui"]}
@@ -63,55 +92,62 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in identify(none).collect()} == {"und"} and identify(docs.limit(0)).count() == 0
 
 
-def test_cross_entropy_difference(spark):
-    rng = random.Random(2)
-    docs = [(i, " ".join(rng.choice("abcdefgh" if i % 3 else "aabbxyz") for _ in range(rng.randrange(1, 40)))) for i in range(60)] + [(70, None), (71, " ")]
-    target = [i for i in range(0, 60, 3)]
-    d = spark.createDataFrame([(i, t, "q") for i, t in docs], "doc_id long, text string, is_target string")
-    got = {r["doc_id"]: r for r in cross_entropy_difference(d, spark.createDataFrame([(i,) for i in [*target, 0, None]], "doc_id long")).collect()}
-    every = {i: (t or "").split() for i, t in docs}
+def brute_losses(docs, target):
+    """Losses from the definition, a text at a time, with the pieces that the vocabulary gives each word."""
+    import sentencepiece
 
-    def model(ids):
+    sp = sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
+    size = sp.get_piece_size()
+    every = {i: [p for w in (t or "").encode().lower().split() for p in sp.encode(w.decode())] for i, t in docs}
+    out = {i: {"n_tokens": len(x)} for i, x in every.items()}
+    for side, ids in (("target", target), ("background", list(every))):
         uni, bi, ctx = Counter(), Counter(), Counter()
         for i in ids:
-            prev = "<s>"
-            for w in every[i]:
-                uni[w] += 1
-                bi[prev, w] += 1
-                prev = w
-            ctx["<s>"] += bool(every[i])
-        return uni, bi, ctx + uni
-
-    vocabulary, stored = set(model(every)[0]), set(model(every)[1])
-    for side, ids in (("target", target), ("background", list(every))):
-        uni, bi, ctx = model(ids)
+            for v, w in zip([size, *every[i]], every[i], strict=False):
+                uni[w], bi[v, w], ctx[v] = uni[w] + 1, bi[v, w] + 1, ctx[v] + 1
         n = sum(uni.values())
-        for i, ws in every.items():
-            if not ws:
-                assert got[i][f"loss_{side}"] is None and got[i]["n_tokens"] == 0
-                continue
-            total, prev = 0.0, "<s>"
-            for w in ws:
-                p = (uni[w] + 0.5) / (n + 0.5 * (len(vocabulary) + 1))
-                if (prev, w) in stored and ctx[prev]:
-                    p = 0.6 * bi[prev, w] / ctx[prev] + 0.4 * p
-                total, prev = total - math.log(p), w
-            assert math.isclose(got[i][f"loss_{side}"], total / len(ws), rel_tol=1e-9)
+        p = lambda v, w: (bi[v, w] + PRIOR * (uni[w] + ALPHA) / (n + ALPHA * size)) / (ctx[v] + PRIOR)  # noqa: B023, E731
+        for v in [size, *list(uni)[:3], 7]:
+            assert math.isclose(sum(p(v, w) for w in range(size)), 1, rel_tol=1e-9)
+        for i, x in every.items():
+            out[i][f"loss_{side}"] = -sum(math.log(p(v, w)) for v, w in zip([size, *x], x, strict=False)) / len(x) if x else None
+    return out
+
+
+def test_cross_entropy_difference(spark):
+    rng = random.Random(2)
+    word = lambda s: "".join(rng.choice(s) for _ in range(rng.randrange(1, 6)))
+    docs = [(i, " ".join(word("abcdefgh" if i % 3 else "aabbxyz") for _ in range(rng.randrange(1, 40)))) for i in range(60)] + [(70, None), (71, " "), (72, "É\u3000ﬁ \U0001f600!"), (73, "the word " * 3000)]
+    target = list(range(0, 60, 3))
+    d = spark.createDataFrame([(i, t, "q") for i, t in docs], "doc_id long, text string, is_target string").repartition(3)
+    ids = spark.createDataFrame([(i,) for i in [*target, 0, None]], "doc_id long")
+    want = brute_losses(docs, target)
+    for hot in (2_000_000, 40, 0):  # all pairs are sent; some are; none is
+        got = {r["doc_id"]: r for r in cross_entropy_difference(d, ids, hot).collect()}
+        assert len(got) == len(docs)
+        for i, x in want.items():
+            assert got[i]["n_tokens"] == x["n_tokens"]
+            for k in ("loss_target", "loss_background"):
+                assert got[i][k] is None if x[k] is None else math.isclose(got[i][k], x[k], rel_tol=1e-9), (i, k)
     assert np.mean([got[i]["score"] for i in target]) < np.mean([got[i]["score"] for i in range(60) if i not in target])
-    assert cross_entropy_difference(d.limit(0), spark.createDataFrame([], "doc_id long")).count() == 0
-
-
-def test_rare_words_stay_in_the_model_of_a_large_collection(spark):
-    rows = [(i, " ".join(["common", "filler"] * 200_000)) for i in range(3)] + [(10, "rare gem"), (11, "other find"), (12, "rare gem")]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in cross_entropy_difference(d, spark.createDataFrame([(10,)], "doc_id long")).collect()}
-    n, v, docs = 1_200_006, 6, 6
-    uni = lambda c, total: (c + 0.5) / (total + 0.5 * (v + 1))
-    back = math.log(0.6 * 2 / docs + 0.4 * uni(2, n)) + math.log(0.6 + 0.4 * uni(2, n))
-    target = math.log(0.6 + 0.4 * uni(1, 2)) * 2
-    for i in (10, 12):  # equal texts
-        assert got[i]["n_tokens"] == 2 and math.isclose(got[i]["loss_background"], -back / 2, rel_tol=1e-9) and math.isclose(got[i]["loss_target"], -target / 2, rel_tol=1e-9)
-    assert got[11]["score"] > 0 > got[10]["score"]
+    assert cross_entropy_difference(d.limit(0), ids.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_scored_one_by_one(spark):
+    d = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "a b"), (None, None), (None, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long")
+    for hot in (100, 0):
+        got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["loss_background"] or 0, 9)) for r in cross_entropy_difference(d, none, hot).collect())
+        assert [x[:2] for x in got] == [("1", 1), ("1", 2), ("1", 2), ("None", 0), ("None", 0), ("None", 2)]
+        assert got[1] == got[2] and got[5][2] == got[1][2]
+
+
+def test_the_model_keeps_every_pair(spark):
+    rows = [("common filler " * 50_000, False)] * 3 + [("rare gem", True), ("other find", False)]
+    d = spark.createDataFrame(rows, "text string, is_target boolean")
+    file = spark.sparkContext.broadcast(load_model())
+    got = pair_model(d, file, 32_000)
+    assert got.where("n_b = 1").count() >= 4 and got.agg({"n_b": "max"}).first()[0] > 100_000
 
 
 def test_rates_meet_the_targets(spark):
