@@ -4,7 +4,8 @@ from collections import Counter
 
 import numpy as np
 
-from quantloom.llm.suffix import repeated_passages
+from quantloom.llm.common import mix
+from quantloom.llm.suffix import Powers, Runs, minimisers, repeated_passages
 from quantloom.llm.topk import nra_block, top_k
 from quantloom.llm.urls import ORDER, RULES, judge_urls
 
@@ -28,6 +29,14 @@ def brute_spans(docs, least):
     return out
 
 
+def covered(spans):
+    return {(i, x) for i, a, b in spans for x in range(a, b)}
+
+
+def spans_of(df):
+    return {(r["doc_id"], r["start_word"], r["end_word"]) for r in df.collect()}
+
+
 def test_passages_are_those_of_brute_force(spark):
     rng = random.Random(6)
     word = lambda: f"w{rng.randrange(3000)}"
@@ -38,15 +47,36 @@ def test_passages_are_those_of_brute_force(spark):
         if i % 2:
             t += rng.choice(common) + [word() for _ in range(rng.randrange(80))]
         docs.append((i, " ".join(t)))
-    docs += [(200, docs[1][1]), (201, None), (202, ""), (203, " ".join(common[2] + common[2]))]
-    d = spark.createDataFrame([(i, t, 1) for i, t in docs] + [(None, docs[1][1], 1)], "doc_id long, text string, start_word int")
-    got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in repeated_passages(d).collect()}
+    docs += [(200, docs[1][1]), (201, None), (202, ""), (203, " ".join(common[2] + common[2])), (204, " ".join(common[0] * 40 + common[1] * 30))]
+    d = spark.createDataFrame([(i, t, 1) for i, t in docs] + [(None, docs[1][1], 1), (1, docs[1][1], 1)], "doc_id long, text string, start_word int").repartition(3)
     want = brute_spans(docs, 50)
-    covered = lambda spans: {(i, x) for i, a, b in spans for x in range(a, b)}
-    assert covered(got) == covered(want) and len(want) > 40
+    assert len(want) > 40
+    for rows in (100_000, 40):  # borders of partitions on several levels
+        assert covered(spans_of(repeated_passages(d, rows=rows))) == covered(want)
     assert repeated_passages(d.limit(0)).count() == 0
 
 
+def test_a_doc_id_with_several_texts(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    passage, other = text(80), text(60)
+    rows = [(1, f"{text(600)} {passage}"), (1, f"{text(3)} {passage}"), (2, f"{passage} {text(9)}"), (3, other), (3, other), (4, text(20))]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 83, 80), (1, 600, 680, 80), (2, 0, 80, 80)]
+
+
+def test_minimisers_are_the_first_least_of_each_window():
+    rng = np.random.default_rng(0)
+    for n, kinds in ((7, 9), (8, 9), (40, 2), (400, 50), (3000, 10**6)):
+        h = mix(rng.integers(0, kinds, n).astype(np.uint64))
+        runs = Runs(h, Powers())
+        g = [int(runs.of(np.array([i]), 8)[0]) for i in range(n - 7)]
+        want = {i + int(np.argmin(np.array(g[i : i + 25], np.uint64))) for i in range(max(1, len(g) - 24))} if g else set()
+        assert minimisers(runs, n).tolist() == sorted(want)
+        for i in range(0, n - 8, 7):
+            assert g[i] == int(Runs(h[i : i + 8], Powers()).of(np.array([0]), 8)[0])
+
+
 def brute_top(rows, every, k):
     v = {i: np.floor(256 * np.array(x, float)) for i, x in rows}
     out = []
