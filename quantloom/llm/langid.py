@@ -2,33 +2,40 @@
 
 A text's probability under a language is the sum over all its segmentations into pieces of a fixed public vocabulary,
 each segmentation being worth the product of its pieces' probabilities; a forward pass sums them. Pieces do not cross
-white space (a word starts with the vocabulary's word mark) nor the ends of 32-character blocks of a longer word, so the
-forward sums of the words multiply, and equal words of a task share one pass. Characters outside the vocabulary are pieces
-of their own with a fixed small probability. Piece probabilities of each language come from expectation-maximisation
-over the same sums, on a bounded sample of labelled texts; predictions cover every text whole.
+white space (a word starts with the vocabulary's word mark), so the forward sums of the words multiply, and equal words of
+a task share one pass. Characters outside the vocabulary are pieces of their own with a fixed small probability. Piece
+probabilities of each language come from expectation-maximisation over the same sums, on a bounded sample of labelled
+texts; predictions cover every text whole.
+
+Words of up to SHORT characters go through the pass in plain numbers, many of one length at once; longer ones, of any
+length, in logarithms, so that nothing underflows and no word is cut.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, materialize, reserved
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 TRAIN_DOCS = 400  # labelled documents of each language that the model is fitted on, about
 EM_ROUNDS = 3
-BLOCK = 32
+SHORT = 24  # characters; at 1e-12 or more each, the product stays within a double
+LEAST = 1e-12  # of a piece's probability
 UNKNOWN = 1e-6  # probability of a character outside the vocabulary
 MARK = "▁"
-CACHE = 300_000  # words kept by a task
-_LETTER = re.compile(r"[^\W\d_]")
+CACHE = 100_000  # words kept by a task
+TOGETHER = 1_000_000  # characters of texts looked at together
+AT_ONCE = 8_000  # short words in a lattice
+LONG_AT_ONCE = 200_000  # characters of long words in a pass
+_LETTER = regex.compile(r"\p{L}")
 
 
 def load_vocabulary(path: str = VOCABULARY) -> dict[str, int]:
@@ -40,13 +47,9 @@ def load_vocabulary(path: str = VOCABULARY) -> dict[str, int]:
     return {p: i for i, p in enumerate(pieces)}
 
 
-def blocks_of(text: str) -> list[str]:
-    """The words of a text, marked; longer words in blocks."""
-    out = []
-    for w in text.lower().split():
-        w = MARK + w
-        out.extend([w] if len(w) <= BLOCK else [w[i : i + BLOCK] for i in range(0, len(w), BLOCK)])
-    return out
+def marked(text: str) -> list[str]:
+    """The words of a text, with the mark that the vocabulary puts before a word."""
+    return [MARK + w for w in text.lower().split()]
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -111,6 +114,18 @@ class Lattice:
                     a[j, got] += a[i, got] * p[ids]
         return a
 
+    def totals(self, p: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums over all segmentations: (words, languages)."""
+        return np.log(self.forward(p)[-1])
+
+    def seen(self, count: np.ndarray, pieces: int) -> np.ndarray:
+        """Occurrences of the pieces, whatever the segmentation."""
+        out = np.zeros((pieces, count.shape[1]))
+        for got, ids in self.edges.values():
+            for k in range(count.shape[1]):
+                out[:, k] += np.bincount(ids, count[got, k], pieces)
+        return out
+
     def expected(self, p: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Expected piece counts, (pieces, languages); count: (words, languages)."""
         a = self.forward(p)
@@ -131,32 +146,111 @@ class Lattice:
         return out
 
 
-def by_length(ws) -> Iterator[list[str]]:
+class LongWords:
+    """Words of any lengths, padded to the longest: ids[k - 1][w, j] is the piece of length k that ends at j of word w, or -1."""
+
+    def __init__(self, ws: list[str], index: PieceIndex):
+        self.sizes, self.n = np.array([len(w) for w in ws]), max(map(len, ws))
+        h = prefix_hashes(letters([w.ljust(self.n, "\0") for w in ws]))
+        most = min(self.n, max(index.tables))
+        powers, self.ids = np.cumprod(np.full(most, _BASE)), []
+        for k, power in enumerate(powers, 1):
+            at = np.full((len(ws), self.n + 1), -1, np.int32)
+            if k in index.tables:
+                keys, ids = index.tables[k]
+                sub = h[:, k:] - h[:, :-k] * power
+                seat = np.minimum(np.searchsorted(keys, sub), len(keys) - 1)
+                at[:, k:] = np.where(keys[seat] == sub, ids[seat], -1)
+            self.ids.append(at)
+
+    def _worth(self, p: np.ndarray) -> np.ndarray:
+        """Log-probabilities by piece; the last two rows are an unknown character and no piece at all."""
+        return np.vstack([np.log(p), np.full((1, p.shape[1]), np.log(UNKNOWN)), np.full((1, p.shape[1]), -np.inf)])
+
+    def _steps(self, j: int, pieces: int) -> np.ndarray:
+        """Rows of _worth for the pieces that end at j: (lengths, words)."""
+        at = np.stack([x[:, j] for x in self.ids[:j]])
+        out = np.where(at < 0, pieces + 1, at)
+        out[0] = np.where(at[0] < 0, pieces, at[0])
+        return out
+
+    def forward(self, p: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums over all segmentations of each prefix: (length + 1, words, languages)."""
+        worth = self._worth(p)
+        a = np.full((self.n + 1, len(self.sizes), p.shape[1]), -np.inf)
+        a[0] = 0
+        for j in range(1, self.n + 1):
+            rows = self._steps(j, len(p))
+            a[j] = np.logaddexp.reduce(a[j - len(rows) : j][::-1] + worth[rows], axis=0)
+        return a
+
+    def totals(self, p: np.ndarray) -> np.ndarray:
+        return self.forward(p)[self.sizes, np.arange(len(self.sizes))]
+
+    def expected(self, p: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Expected piece counts, (pieces, languages); count: (words, languages)."""
+        worth, a = self._worth(p), self.forward(p)
+        total = a[self.sizes, np.arange(len(self.sizes))]
+        b, out = np.full_like(a, -np.inf), np.zeros((len(worth), p.shape[1]))
+        b[self.sizes, np.arange(len(self.sizes))] = 0
+        for j in range(self.n, 0, -1):
+            rows = self._steps(j, len(p))
+            for k, r in enumerate(rows, 1):
+                part = b[j] + worth[r]
+                e = np.exp(a[j - k] + part - total) * count
+                for x in range(p.shape[1]):
+                    out[:, x] += np.bincount(r, e[:, x], len(out))
+                b[j - k] = np.logaddexp(b[j - k], part)
+        return out[: len(p)]
+
+    def seen(self, count: np.ndarray, pieces: int) -> np.ndarray:
+        """Occurrences of the pieces, whatever the segmentation."""
+        out = np.zeros((pieces, count.shape[1]))
+        for at in self.ids:
+            w, j = np.nonzero((at >= 0) & (np.arange(self.n + 1) <= self.sizes[:, None]))
+            for x in range(count.shape[1]):
+                out[:, x] += np.bincount(at[w, j], count[w, x], pieces)
+        return out
+
+
+def grouped(ws) -> Iterator[list[str]]:
+    """Short words by length; long ones in the order of their lengths, a bounded number of characters at once."""
     groups: dict[int, list[str]] = {}
     for w in ws:
         groups.setdefault(len(w), []).append(w)
-    for g in groups.values():
-        for i in range(0, len(g), 20_000):
-            yield g[i : i + 20_000]
+    held: list[str] = []
+    for n in sorted(groups):
+        if n <= SHORT:
+            yield from (groups[n][i : i + AT_ONCE] for i in range(0, len(groups[n]), AT_ONCE))
+            continue
+        for w in groups[n]:
+            if held and (len(held) + 1) * n > LONG_AT_ONCE:
+                yield held
+                held = []
+            held.append(w)
+    if held:
+        yield held
+
+
+def lattice(ws: list[str], index: PieceIndex) -> Lattice | LongWords:
+    return Lattice(ws, index) if len(ws[-1]) <= SHORT else LongWords(ws, index)
 
 
 def fit(counts: dict[str, np.ndarray], vocabulary: dict[str, int], languages: int, rounds: int = EM_ROUNDS) -> np.ndarray:
-    """counts: block -> count by language. Piece probabilities (pieces, languages)."""
+    """counts: word -> count by language. Piece probabilities (pieces, languages)."""
     index = PieceIndex(vocabulary)
-    groups = [(Lattice(g, index), np.array([counts[w] for w in g], float)) for g in by_length(sorted(counts))]
+    groups = [(lattice(g, index), np.array([counts[w] for w in g], float)) for g in grouped(sorted(counts))]
     # Start: pieces as frequent as their occurrences, whatever the segmentation.
-    seen = np.full((len(vocabulary), languages), 0.01)
-    for lat, c in groups:
-        for got, ids in lat.edges.values():
-            for k in range(languages):
-                seen[:, k] += np.bincount(ids, c[got, k], len(seen))
-    p = seen / seen.sum(axis=0)
+    p = _shares(sum((lat.seen(c, len(vocabulary)) for lat, c in groups), np.full((len(vocabulary), languages), 0.01)))
     for _ in range(rounds):
-        e = sum((lat.expected(p, c) for lat, c in groups), np.full(p.shape, 0.01))
-        p = e / e.sum(axis=0)
+        p = _shares(sum((lat.expected(p, c) for lat, c in groups), np.full(p.shape, 0.01)))
     return p
 
 
+def _shares(counts: np.ndarray) -> np.ndarray:
+    return np.maximum(counts / counts.sum(axis=0), LEAST)
+
+
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, vocabulary_path: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
     """docs(doc_id, text, lang): the languages and their piece probabilities. docs holds what may be learned from."""
     known = docs.where("text is not null and lang is not null")
@@ -171,7 +265,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, vocabulary_path: str =
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lang, g in b.groupby("lang"):
-                c = Counter(w for t in g["text"] for w in blocks_of(t))
+                c = Counter(w for t in g["text"] for w in marked(t))
                 yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
 
     rows = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
@@ -184,29 +278,31 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, vocabulary_path: str =
 def predict(docs: DataFrame, languages: list[str], p: np.ndarray, vocabulary_path: str = VOCABULARY) -> DataFrame:
     """docs(doc_id, text) -> doc_id, lang_pred, score. score: the posterior under equal priors; ties to the smaller name.
 
-    A text that is null or has no letter is `und` with score 0, and so is every text if there is no language to predict.
+    A text that is null or has no letter (Unicode category L) is `und` with score 0, and so is every text if there is no
+    language to predict. The vocabulary is read where this is called and sent along with the model.
     """
-    model = docs.sparkSession.sparkContext.broadcast(p.astype(np.float64))
+    model = docs.sparkSession.sparkContext.broadcast((load_vocabulary(vocabulary_path) if languages else {}, p.astype(np.float64)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, p = PieceIndex(load_vocabulary(vocabulary_path)), model.value
+        vocabulary, p = model.value
+        index = PieceIndex(vocabulary) if languages else None
         row, table = {}, np.zeros((0, len(languages)))
         for b in batches:
             texts, names, scores, start = b["text"].tolist(), [], [], 0
             while start < len(texts):
                 stop, held, parts = start, 0, []
-                while stop < len(texts) and held < 4_000_000:  # characters looked at together
+                while stop < len(texts) and held < TOGETHER:
                     t = texts[stop]
-                    parts.append(blocks_of(t) if languages and isinstance(t, str) and _LETTER.search(t) else None)
+                    parts.append(marked(t) if languages and isinstance(t, str) and _LETTER.search(t) else None)
                     held, stop = held + len(t or ""), stop + 1
                 new = set().union(*[x for x in parts if x]) - row.keys()
                 if len(row) + len(new) > CACHE:
                     row, table, new = {}, table[:0], set().union(*[x for x in parts if x])
                 logs = [table]
-                for g in by_length(new):
+                for g in grouped(new):
                     at = len(row)
                     row.update(zip(g, range(at, at + len(g)), strict=True))
-                    logs.append(np.log(np.maximum(Lattice(g, index).forward(p)[-1], 1e-300)))
+                    logs.append(lattice(g, index).totals(p))
                 table = np.concatenate(logs)
                 for ws in parts:
                     if not ws:
@@ -241,6 +337,6 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS, vocabulary_path: str
 
 def accept_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """docs whose language is identified with at least least_score; columns as given. Rows without doc_id go."""
-    bad = identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < least_score))
-    bad = materialize(bad.where("doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct(), "langid-rejected")
-    return docs.where("doc_id is not null").join(broadcast_if_small(bad, 16), F.col("doc_id") == F.col("_bad"), "left_anti")
+    bad, key = identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < least_score)), reserved(docs, "bad")
+    bad = materialize(bad.where("doc_id is not null").select(F.col("doc_id").alias(key)).distinct(), "langid-rejected")
+    return docs.where("doc_id is not null").join(broadcast_if_small(bad, 16), F.col("doc_id") == F.col(key), "left_anti")
