@@ -42,7 +42,7 @@ TARGETS = {"clean": 0.90, "low": 0.10, "toxic": 0.0}
 
 
 class Buckets(dict):
-    BOUND = 500_000
+    BOUND = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
