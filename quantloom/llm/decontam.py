@@ -6,8 +6,8 @@ has its own sketch length: one-permutation MinHash with the first power of two o
 set size, the bin being the hash's leading bits. An item is sketched once for every sketch length in use. A shingle that
 both share is then the minimum of its bin in the document with a probability near one whatever the document's length, so
 one equal (sketch length, minimum) is enough to propose the pair, and the chance that none of m shared shingles shows is
-(1 - p)^m. Items too short for that get documents' whole sets as sketches (as many bins as hashes), which is exact.
-Proposed pairs are verified by exact shingle containment.
+(1 - p)^m. Items too short for that (fewer than five shingles at a containment of 0.8) are looked up in documents' whole sets, which is exact;
+the others keep their sketches beside them. Proposed pairs are verified by exact shingle containment.
 
 Tokens are maximal runs of letters and digits, lower-cased, so that punctuation and case do not hide a passage. A
 shingle is `shingle_words` tokens; a text with fewer has its whole sequence as one; a text without tokens has none.
@@ -20,11 +20,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, materialize, reserved
 
 CONTAINMENT = 0.8
 MISS = 1e-6  # the largest chance that a pair at the threshold is not proposed
-OVERSAMPLES = (4, 16)  # tried in turn; beyond them the sketch is the whole set
+OVERSAMPLES = (4, 16)  # tried in turn; beyond them the whole set is looked at
 
 
 def tokens(text: str = "text") -> Column:
@@ -48,10 +48,9 @@ def each_hash(df: DataFrame, hashes: Column, *keep: str) -> DataFrame:
 
 
 def sketch(sets: Column, bits: Column) -> Column:
-    """The smallest hash of every bin of a sorted set; the bin is the leading `bits` bits. 64 bits: the whole set."""
+    """The smallest hash of every bin of a sorted set; the bin is the leading `bits` bits."""
     shift = F.lit(64) - bits
-    kept = F.filter(sets, lambda x, i: (i == 0) | (F.call_function("shiftright", x, shift) != F.call_function("shiftright", F.get(sets, i - 1), shift)))
-    return F.when(bits >= 64, sets).otherwise(kept)
+    return F.filter(sets, lambda x, i: (i == 0) | (F.call_function("shiftright", x, shift) != F.call_function("shiftright", F.get(sets, i - 1), shift)))
 
 
 def oversample_for(smallest: int, containment: float = CONTAINMENT) -> int | None:
@@ -73,21 +72,23 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
     q = with_shingles(items.where("item_id is not null").select("item_id", tokens().alias("_tokens")), shingle_words)
     q = each_hash(q, F.col("_set"), "item_id").distinct()
     q = materialize(q.groupBy("item_id").agg(F.array_sort(F.collect_list("h")).alias("_set"), F.count("*").alias("item_shingles")), "decontam-items")
-    facts = q.agg(F.min("item_shingles").alias("least"), F.sum("item_shingles").alias("all")).first()
-    if facts["least"] is None:
-        facts = {"least": 1, "all": 0}
-    over = oversample_for(facts["least"], containment)
+    short = next(m for m in range(1, 1000) if oversample_for(m, containment))
+    brief = F.col("item_shingles") < short
+    facts = q.agg(F.min(F.when(~brief, F.col("item_shingles"))).alias("least"), F.sum(brief.cast("int")).alias("brief"), F.sum("item_shingles").alias("all")).first()
+    over = oversample_for(facts["least"] or short, containment)
 
     sets = with_shingles(docs.where("doc_id is not null").select("doc_id", tokens().alias("_tokens")), shingle_words)
-    bits = F.lit(64) if over is None else F.greatest(F.lit(3), F.ceil(F.log2(F.greatest(F.size("_set"), F.lit(1)) * over)).cast("int"))
+    bits = F.greatest(F.lit(3), F.ceil(F.log2(F.greatest(F.size("_set"), F.lit(1)) * over)).cast("int"))
     keys = each_hash(sets.select("doc_id", "_set", bits.alias("bits")), sketch(F.col("_set"), F.col("bits")), "doc_id", "bits")
-    lengths = [64] if over is None else list(range(3, 41))
-    item_keys = each_hash(q.select("_set", F.explode(F.array(*map(F.lit, lengths))).alias("bits")), sketch(F.col("_set"), F.col("bits")), "bits").distinct()
+    item_keys = each_hash(q.where(~brief).select("_set", F.explode(F.sequence(F.lit(3), F.lit(40))).alias("bits")), sketch(F.col("_set"), F.col("bits")), "bits").distinct()
     # A semi join first: it needs no item ids, so a passage common to many items does not multiply a document's rows.
     item_keys = materialize(item_keys, "decontam-sketches")
-    hits = keys.join(broadcast_if_small(item_keys, 32), ["bits", "h"], "left_semi")
+    hits = keys.join(broadcast_if_small(item_keys, 32), ["bits", "h"], "left_semi").select("doc_id", "h")
     named = each_hash(q, F.col("_set"), "item_id")
-    proposed = hits.select("doc_id", "h").distinct().join(broadcast_if_small(named, 32, facts["all"]), "h").select("doc_id", "item_id").distinct()
+    if facts["brief"]:
+        few = each_hash(q.where(brief), F.col("_set")).distinct()
+        hits = hits.unionByName(each_hash(sets, F.col("_set"), "doc_id").join(broadcast_if_small(few, 32), "h", "left_semi").select("doc_id", "h"))
+    proposed = hits.distinct().join(broadcast_if_small(named, 32, facts["all"] or 0), "h").select("doc_id", "item_id").distinct()
     proposed = materialize(proposed.groupBy("doc_id").agg(F.collect_set("item_id").alias("_items")).withColumnRenamed("doc_id", "_doc"), "decontam-pairs")
 
     # The proposed documents once more, whole: exact containment of the items proposed for each.
@@ -95,7 +96,7 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
     again = docs.select("doc_id", "text").join(broadcast_if_small(proposed, 1, width), F.col("doc_id") == F.col("_doc"))
     full = with_shingles(again.select("doc_id", "_items", tokens().alias("_tokens")), shingle_words)
     full = each_hash(full, F.col("_set"), "doc_id", "_items")
-    shared = full.join(broadcast_if_small(named, 32, facts["all"]), "h").where(F.array_contains("_items", F.col("item_id"))).select("doc_id", "item_id", "h").distinct()
+    shared = full.join(broadcast_if_small(named, 32, facts["all"] or 0), "h").where(F.array_contains("_items", F.col("item_id"))).select("doc_id", "item_id", "h").distinct()
     counts = shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
     out = counts.join(broadcast_if_small(q.select("item_id", "item_shingles"), 32), "item_id").withColumn("containment", F.col("shared") / F.col("item_shingles"))
     return out.where(F.col("shared") >= F.ceil(F.col("item_shingles") * containment - 1e-9)).select("doc_id", "item_id", "item_shingles", "shared", "containment")
@@ -103,5 +104,6 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
 
 def without_contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """docs without those in a pair of contaminated(); columns as given. Rows without doc_id stay."""
-    bad = materialize(contaminated(docs, items, containment).select(F.col("doc_id").alias("_bad")).distinct(), "decontam-gone")
-    return docs.join(broadcast_if_small(bad, 16), F.col("doc_id") == F.col("_bad"), "left_anti")
+    key = reserved(docs, "bad")
+    bad = materialize(contaminated(docs, items, containment).select(F.col("doc_id").alias(key)).distinct(), "decontam-gone")
+    return docs.join(broadcast_if_small(bad, 16), F.col("doc_id") == F.col(key), "left_anti")

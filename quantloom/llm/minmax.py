@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, broadcast_if_small, materialize, mix, shingle_hashes, words
+from .common import U64, WordHashes, broadcast_if_small, materialize, mix, reserved, shingle_hashes, words
 from .components import connected_components
 
 PERMUTATIONS = 40  # hash evaluations for each shingle; twice as many signature values
@@ -210,5 +210,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle_words: int = 5)
 def keep_one_of_each_group(docs: DataFrame, percent: int = 80, shingle_words: int = 5) -> DataFrame:
     """docs without the near-duplicates: of each component the row with the smallest doc_id stays. Columns as given."""
     result = near_duplicates(docs, percent, shingle_words)
-    gone = materialize(result.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "minmax-gone")
-    return docs.join(broadcast_if_small(gone, 16), F.col("doc_id") == F.col("_gone"), "left_anti")
+    key = reserved(docs, "gone")
+    gone = materialize(result.where("not kept").select(F.col("doc_id").alias(key)).distinct(), "minmax-gone")
+    return docs.join(broadcast_if_small(gone, 16), F.col("doc_id") == F.col(key), "left_anti")

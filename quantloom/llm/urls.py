@@ -81,7 +81,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, orde
     parts = with_rule(split_url(pages.select("page_id", "url")), rules)
     # Equal URLs are scored once.
     urls = parts.groupBy(F.coalesce("url", F.lit("")).alias("url")).agg(F.count("*").alias("times"), F.first("rule_verdict").alias("rule_verdict"))
-    urls = materialize(urls, "urls-distinct")
+    # Dealt by number: a URL becomes a row for each of its characters, which few bytes do not show.
+    spark = pages.sparkSession
+    urls = materialize(urls.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))), "urls-distinct")
     grams = with_grams(urls, order + 1)
     n = {c: F.sum(F.when(F.col("rule_verdict") == c, F.col("times")).otherwise(0)).alias(c) for c in ("allow", "block")}
     counts = materialize(grams.groupBy("gram").agg(n["allow"], n["block"]), "urls-grams")
