@@ -27,9 +27,9 @@ QUERIES = 1024  # in a block
 PARTS = (0.125, 0.375, 1.0)  # shares of the lists after which bounds are compared
 
 
-def nra_block(x: np.ndarray, xid: np.ndarray, q: np.ndarray, qid: np.ndarray, k: int, parts: tuple[float, ...] = PARTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nra_block(x: np.ndarray, xid: np.ndarray, q: np.ndarray, qid: np.ndarray, k: int, parts: tuple[float, ...] = PARTS) -> tuple[np.ndarray, ...]:
     """x: (candidates, dims), q: (queries, dims), whole numbers as float64. The k best of the block for each query, its own
-    id left out: query, candidate, score. Ties to the smaller id.
+    id left out: query (its row in q), candidate's id, its row in x, score. Ties to the smaller id.
 
     What was read and what is unread of a list are masks over its entries, so the sums of all queries are matrix products.
     """
@@ -37,7 +37,7 @@ def nra_block(x: np.ndarray, xid: np.ndarray, q: np.ndarray, qid: np.ndarray, k:
     order = np.argsort(-x, axis=0, kind="stable")  # the lists: candidates by falling value, one list a column
     low, high, every = x.min(axis=0), x.max(axis=0), np.arange(dims)
     down, up = np.zeros((dims, n)), np.zeros((dims, n))  # entries read from the top and from the bottom
-    out, active, k, lo = ([], [], []), np.arange(len(q)), min(k, n), 0
+    out, active, k, lo = ([], [], [], []), np.arange(len(q)), min(k, n), 0
     for part in parts:
         hi = max(lo, min(n, int(np.ceil(part * n))))
         for d in range(dims):
@@ -53,7 +53,7 @@ def nra_block(x: np.ndarray, xid: np.ndarray, q: np.ndarray, qid: np.ndarray, k:
                 cut = np.partition(read[r], n - k)[n - k]
                 near = np.flatnonzero(read[r] >= cut)
                 keep = near[np.lexsort((xid[near], -read[r][near]))[:k]]
-                _emit(out, qid[a], xid[keep], read[r][keep])
+                _emit(out, a, xid[keep], keep, read[r][keep])
             break
         # An unread entry gives at least what the list's far end gives, at most what its current entry gives.
         lower = read + (pos * low) @ (1 - down) + (neg * high) @ (1 - up)
@@ -65,18 +65,17 @@ def nra_block(x: np.ndarray, xid: np.ndarray, q: np.ndarray, qid: np.ndarray, k:
         # An outsider whose upper bound only equals the floor may win by its id: reading goes on.
         stop = (upper.max(axis=1) < floor) & np.isfinite(floor)
         for r in np.flatnonzero(stop):
-            _emit(out, qid[active[r]], xid[best[r]], x[best[r]] @ q[active[r]])
+            _emit(out, active[r], xid[best[r]], best[r], x[best[r]] @ q[active[r]])
         active = active[~stop]
         if not len(active):
             break
     return tuple(np.concatenate(o) if o else np.zeros(0) for o in out)
 
 
-def _emit(out: tuple[list, list, list], query: int, ids: np.ndarray, scores: np.ndarray) -> None:
+def _emit(out: tuple[list, ...], query: int, ids: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> None:
     keep = np.isfinite(scores)
-    out[0].append(np.full(int(keep.sum()), query))
-    out[1].append(ids[keep])
-    out[2].append(scores[keep])
+    for o, x in zip(out, (np.full(len(ids), query), ids, rows, scores), strict=True):
+        o.append(x[keep])
 
 
 def _matrix(vectors: list[bytes]) -> np.ndarray:
@@ -103,8 +102,10 @@ def _unit(k: int):
         qs, xs = g[g["is_query"]], g[~g["is_query"]]
         if len(qs) and len(xs):
             both = _matrix(qs["v"].tolist() + xs["v"].tolist())
-            q, i, s = nra_block(both[len(qs) :], xs["vec_id"].to_numpy(), both[: len(qs)], qs["vec_id"].to_numpy(), k)
-            yield pd.DataFrame({"query_id": q.astype(np.int64), "vec_id": i.astype(np.int64), "score": s.astype(np.int64)})
+            q, i, r, s = nra_block(both[len(qs) :], xs["vec_id"].to_numpy(), both[: len(qs)], qs["vec_id"].to_numpy(), k)
+            q, r = q.astype(np.int64), r.astype(np.int64)
+            own = {"query_id": qs["vec_id"].to_numpy()[q], "query_key": qs["key"].to_numpy()[q]}
+            yield pd.DataFrame({**own, "vec_id": i.astype(np.int64), "times": xs["times"].to_numpy()[r], "score": s.astype(np.int64)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, key = [], None
@@ -127,20 +128,24 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, candidates: int = CAN
     Components become floor(256 * x). Queries are the rows whose vec_id is divisible by `every`; candidates all rows but
     those with the query's own id; ties to the smaller vec_id. Vectors that are null, empty or hold a null or non-finite
     component (or one that overflows when scaled) take no part, nor do rows without vec_id. Missing trailing components
-    count as 0. Scores are exact while they stay below 2^53. Rows that repeat a vec_id stand alike in the ranking as one.
+    count as 0. Scores are exact while they stay below 2^53. Rows that repeat a vec_id are candidates one by one, equal ones
+    too; as queries, equal rows are answered once and different ones each with ranks of its own.
     """
     spark = vectors.sparkSession
     own = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     ready = own.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
-    table = materialize(ready.mapInPandas(_quantise, "vec_id long, v binary").dropDuplicates(["vec_id"]), "topk-vectors")
+    table = materialize(ready.mapInPandas(_quantise, "vec_id long, v binary").groupBy("vec_id", "v").agg(F.count("*").alias("times"), F.xxhash64(F.col("v")).alias("key")), "topk-vectors")
     is_query = F.pmod("vec_id", F.lit(every)) == 0
     size = table.agg(F.count("*").alias("n"), F.sum(is_query.cast("long")).alias("q")).first()
     nc, nq = max(1, -(-size["n"] // candidates)), max(1, -(-(size["q"] or 0) // queries))
     c = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(nc))
     d = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(nq))
-    left = table.select("vec_id", "v", F.lit(False).alias("is_query"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(nq - 1)), lambda j: c * nq + j)).alias("unit"))
-    right = table.where(is_query).select("vec_id", "v", F.lit(True).alias("is_query"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(nc - 1)), lambda i: i * nq + d)).alias("unit"))
+    row = ["vec_id", "v", "times", "key"]
+    left = table.select(*row, F.lit(False).alias("is_query"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(nq - 1)), lambda j: c * nq + j)).alias("unit"))
+    right = table.where(is_query).select(*row, F.lit(True).alias("is_query"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(nc - 1)), lambda i: i * nq + d)).alias("unit"))
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    best = left.unionByName(right).repartition(parts, "unit").sortWithinPartitions("unit").mapInPandas(_unit(k), "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = left.unionByName(right).repartition(parts, "unit").sortWithinPartitions("unit").mapInPandas(_unit(k), "query_id long, query_key long, vec_id long, times long, score long")
+    w = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
+    # No more than k of equal rows are needed.
+    each = best.select("query_id", "query_key", "vec_id", "score", F.explode(F.array_repeat(F.lit(0), F.least("times", F.lit(k)).cast("int"))))
+    return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

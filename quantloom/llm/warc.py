@@ -178,6 +178,8 @@ def _read(chunk_bytes: int):
                 rows = pd.DataFrame(out, columns=["page_id", "record_type", "refers_to", "chunk_no", "chunk", "complete", "bytes_so_far", "digest_so_far"])
                 rows["page_id"], rows["refers_to"] = rows["page_id"].astype("Int64"), rows["refers_to"].astype("Int64")
                 yield rows
+        if reader.headers is not None or bytes(reader.buffer).strip() or rest:
+            raise ValueError("the archive ends within a record")
 
     return run
 

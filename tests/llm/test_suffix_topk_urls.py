@@ -98,16 +98,27 @@ def test_top_k(spark):
     assert top_k(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_a_vec_id(spark):
+    rows = [(0, [1.0]), (0, [1.0]), (50, [-1.0]), (1, [0.5]), (1, [2.0]), (1, [2.0]), (2, [1.0])] + [(3, [0.25])] * 9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in top_k(df).orderBy("query_id", "rank").collect()]
+    one = [(0, 1, 1, 131072), (0, 2, 1, 131072), (0, 3, 2, 65536), (0, 4, 1, 32768), (0, 5, 3, 16384)]
+    assert got == one + [(50, r, 3, -16384) for r in range(1, 6)]
+
+
+
+
 def test_nra_stops_early_on_skewed_lists():
     x = np.zeros((400, 3))
     x[:, 0] = np.arange(400)
     x[:, 1:] = np.random.default_rng(0).integers(0, 5, (400, 2))
     q = np.array([[10.0, 1, 0], [-10, 0, 1]])
     for k in (1, 5):
-        a, b, s = nra_block(x, np.arange(400), q, np.array([-1, -2]), k)
-        for j, qid in enumerate((-1, -2)):
+        a, b, rows, s = nra_block(x, np.arange(400), q, np.array([-1, -2]), k)
+        assert (b == rows).all()
+        for j in (0, 1):
             score = x @ q[j]
-            assert sorted(s[a == qid]) == sorted(np.sort(score)[::-1][:k]) and all(score[int(c)] == v for c, v in zip(b[a == qid], s[a == qid], strict=True))
+            assert sorted(s[a == j]) == sorted(np.sort(score)[::-1][:k]) and all(score[int(c)] == v for c, v in zip(b[a == j], s[a == j], strict=True))
 
 
 def split(url):

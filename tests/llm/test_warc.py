@@ -3,6 +3,8 @@ import gzip
 import hashlib
 import uuid
 
+import pytest
+
 from quantloom.llm.common import shared_dir
 from quantloom.llm.warc import RecordReader, read_chunks, round_trip, write_archives
 
@@ -52,6 +54,15 @@ def test_segments_are_bounded_and_join_to_the_payload(spark):
     assert found == sum(max(1, -(-n // 1000)) if kind == "response" else 1 for n, _, kind, _ in expected().values())
 
 
+def test_a_record_that_is_cut_off_is_an_error(spark):
+    path = f"{shared_dir(spark)}/warc-cut-{uuid.uuid4().hex}"
+    write_archives(pages(spark).where("page_id = 8").coalesce(1), path)
+    text = "".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect())
+    spark.createDataFrame([(text[:-40],)], "value string").coalesce(1).write.text(path + "-cut")
+    with pytest.raises(Exception, match="ends within a record"):
+        read_chunks(spark, path + "-cut").collect()
+
+
 def test_least_bytes_and_empty(spark):
     path = f"{shared_dir(spark)}/warc-least-{uuid.uuid4().hex}"
     write_archives(pages(spark), path, least_bytes=5)
