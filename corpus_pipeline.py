@@ -37,13 +37,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every document."""
+    """The shard and slot of every document; counts of two shards are at most one apart."""
     return assign_shards(docs, shards=24)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
 
-# Fitted models decide in two stages; the result is tested against brute force instead.
+# Fitted models decide in two stages, which SQL cannot express; tests run every stage on planted cases.
 ORACLE_SQL = None
 
 
