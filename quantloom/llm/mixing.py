@@ -1,14 +1,18 @@
 """Soft-membership mixing of domains to target weights.
 
-A softmax classifier on hashed words, fitted on a bounded sample of the labelled table, predicts for every document its
-posteriors over the labelled domains. Rates r >= 0, one for each document, are then fitted so that the expected tokens
+A softmax classifier on the words, word beginnings and shape of a text, fitted on a bounded sample of the labelled table,
+predicts for every document its posteriors over the labelled domains. What a feature says does not depend on how long the
+text around it is: features are present or not, and only those go in whose numbers differ between the domains of the sample
+by more than chance does. Rates r >= 0, one for each document, are then fitted by least squares so that the expected tokens
 of each domain, sum of r * tokens * posterior, meet target weights times the collection's tokens: minimise
 
     1/2 sum_i (tokens_i / N) (r_i - 1)^2  +  1/2 sum_d ((E_d(r) - T_d) / N)^2 / slack_d      over r >= 0
 
 where slack_d goes with the square of the domain's share (at most MOST_SLACK), so that a rare domain counts by the part of it that is too
-much or too little, as a common one does. The optimum has r_i = max(0, 1 - p_i . price) with one price for each domain,
-found by Newton steps on the concave dual. A round is one Spark job that tries some lengths of a step and adds up E and
+much or too little, as a common one does. Projected gradient: the least squares' gradient at document i is p_i . g, with one
+g for each domain, so every iterate is a projection r_i = max(0, 1 - p_i . price), with prices that gather the g of the rounds,
+and no rate is stored. Plain steps would take thousands of rounds where domains are rare; a step is scaled by the domains'
+curvature (domains x domains), and its length is searched. A round is one Spark job that tries some lengths and adds up E and
 the curvature over all documents; what goes through the driver is a few numbers for each domain. It ends when every
 domain is within TOLERANCE of its target, relative to its share or target, whichever is larger; the slack is lowered
 until that is so. Where posteriors are soft on every document, only rates of 0 nearly everywhere and of hundreds for a
@@ -20,18 +24,21 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from operator import eq
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, words
+from .common import broadcast_if_small, materialize, reserved
 
-TRAIN_DOCS = 3000  # labelled documents that the classifier is fitted on, about
+TRAIN_DOCS = 5000  # labelled documents that the classifier is fitted on, about
 DOMAIN_DOCS = 200  # of each domain at least, about, or all that there are
-BUCKETS = 1 << 15
-EPOCHS = 60
+LEAST_Z = 6.0  # of a feature's number in some domain of the sample, in standard deviations from what chance gives
+LEAST_DOCS = 3  # that hold a feature
+EPOCHS, RATE, DECAY = 200, 0.2, 1e-4
 ROUNDS = 30
 TOLERANCE = 0.02
 SLACKS = (1.0, 0.3, 0.1, 0.03, 0.01, 1e-3, 1e-4)  # times the square of a domain's share
@@ -39,85 +46,123 @@ MOST_SLACK = 0.02  # of any domain
 SPREAD = 2.0
 STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001)
 TARGETS = {"clean": 0.90, "low": 0.10, "toxic": 0.0}
+AROUND = b".,;:!?\"'()[]{}<>|*#$%&"  # set apart from a word
+BEGINNINGS = (4, 6, 8)  # bytes
 
 
-class Buckets(dict):
-    BOUND = 100_000
+def word_features(word: bytes) -> list[int]:
+    """Hashes of a word without what surrounds it, of its beginnings, and of what surrounds it."""
+    core = word.strip(AROUND)
+    out = [zlib.crc32(core)] if core else []
+    out += [zlib.crc32(b"^" + core[:n]) for n in BEGINNINGS if len(core) > n]
+    if len(core) < len(word):
+        out.append(zlib.crc32(b"~" + word.replace(core, b"", 1)))
+    return out
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.BOUND:
-            self.clear()
-        b = self[word] = zlib.crc32(word) % BUCKETS
-        return b
 
+class WordFeatures(dict):
+    """word -> its features; of those in `wanted` only, as their places there. Emptied when it grows past its bound."""
 
-def _features(ws: list[bytes], known: Buckets) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words and their square-rooted counts, to length 1."""
-    b, n = np.unique(np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)), return_counts=True)
-    v = np.sqrt(n)
-    return b, v / max(np.linalg.norm(v), 1e-12)
+    BOUND = 100_000
 
+    def __init__(self, wanted: dict[int, int] | None = None):
+        self.wanted = wanted
 
-def fit_softmax(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, classes: int, epochs: int = EPOCHS, decay: float = 1e-4) -> np.ndarray:
-    """Weights (BUCKETS + 1, classes), the last row a bias, by gradient descent with momentum on sparse rows."""
-    w = np.zeros((BUCKETS + 1, classes))
-    move, truth, n = np.zeros_like(w), np.eye(classes)[y], len(y)
-    for _ in range(epochs):
-        z = np.stack([np.bincount(rows, vals * w[cols, c], n) for c in range(classes)], axis=1) + w[-1]
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= self.BOUND:
+            self.clear()
+        f = word_features(word)
+        out = self[word] = tuple(f if self.wanted is None else (self.wanted[x] for x in f if x in self.wanted))
+        return out
+
+    def of(self, text: str | None) -> tuple[int, np.ndarray]:
+        """The number of a text's words and its distinct features: those of its words, and in tenths the shares of its words
+        that are new, in capitals, and the same as the one before."""
+        raw = text.encode("utf-8", "surrogatepass").split() if text else []
+        low = [w.lower() for w in raw]
+        kinds = set(low)
+        every = set(chain.from_iterable(map(self.__getitem__, kinds)))
+        if raw:
+            shape = zip((b"new", b"upper", b"again"), (len(kinds), sum(map(bytes.isupper, raw)), sum(map(eq, low, low[1:]))), strict=True)
+            marks = [zlib.crc32(b"=%s%d" % (k, 10 * n // len(raw))) for k, n in shape]
+            every.update(marks if self.wanted is None else (self.wanted[x] for x in marks if x in self.wanted))
+        return len(raw), np.fromiter(every, np.int64, len(every))
+
+
+def telling(rows: np.ndarray, features: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
+    """Sorted hashes of the features whose number of documents differs between the classes by more than chance does."""
+    kinds, at = np.unique(features, return_inverse=True)
+    seen = np.stack([np.bincount(at, y[rows] == c, len(kinds)) for c in range(classes)], axis=1)
+    n, share = seen.sum(axis=1, keepdims=True), np.bincount(y, minlength=classes) / len(y)
+    z = (seen - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-12))
+    return kinds[(n[:, 0] >= LEAST_DOCS) & (np.abs(z).max(axis=1) >= LEAST_Z)]
+
+
+def fit_softmax(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_features: int, classes: int) -> np.ndarray:
+    """Weights (features + 1, classes), the last row a bias, by gradient descent with steps that shrink by feature."""
+    w = np.zeros((n_features + 1, classes))
+    squares, truth, n = np.full_like(w, 1e-8), np.eye(classes)[y], len(y)
+    for _ in range(EPOCHS):
+        z = np.stack([np.bincount(rows, w[cols, c], n) for c in range(classes)], axis=1) + w[-1]
         p = np.exp(z - z.max(axis=1, keepdims=True))
         e = p / p.sum(axis=1, keepdims=True) - truth
-        g = np.stack([np.bincount(cols, vals * e[rows, c], BUCKETS) for c in range(classes)], axis=1) / n
-        g = np.vstack([g, e.mean(axis=0)]) + decay * w
-        move = 0.9 * move - 8.0 * g
-        w += move
+        g = np.stack([np.bincount(cols, e[rows, c], n_features) for c in range(classes)], axis=1)
+        g = np.vstack([g, e.sum(axis=0)]) / n + DECAY * w
+        squares += g * g
+        w -= RATE * g / np.sqrt(squares)
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """docs(doc_id, text), labels(doc_id, quality, toxic) -> domains and weights. Domains: toxic; else clean or low by quality."""
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """docs(doc_id, text), labels(doc_id, quality, toxic) -> domains, features and weights. Domains: toxic; else clean or low by
+    quality. What reaches the driver are the distinct features of the sample's documents."""
+    nothing = [], np.zeros(0, np.int64), np.zeros((1, 0))
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "low")
     known = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), domain.alias("domain")).where("domain is not null").groupBy("_id").agg(F.min("domain").alias("domain"))
     known = materialize(known.join(docs.select(F.col("doc_id").alias("_id")), "_id", "left_semi"), "mixing-labels")
     counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     if not counts:
-        return [], np.zeros((BUCKETS + 1, 0))
+        return nothing
     drawn = {d: min(1.0, max(train_docs / sum(counts.values()), DOMAIN_DOCS / n)) for d, n in counts.items()}
     share = F.create_map(*[F.lit(x) for d, s in drawn.items() for x in (d, int(s * (1 << 30)))])[F.col("domain")]
     sample = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", "domain")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = Buckets()
+        seen = WordFeatures()
         for b in batches:
-            f = [_features(words(t), seen) for t in b["text"]]
-            yield pd.DataFrame({"domain": b["domain"], "b": [x for x, _ in f], "v": [x for _, x in f]})
+            yield pd.DataFrame({"domain": b["domain"], "f": [seen.of(t)[1] for t in b["text"]]})
 
-    got = texts.mapInPandas(run, "domain string, b array<long>, v array<double>").toPandas()
+    got = texts.mapInPandas(run, "domain string, f array<long>").toPandas()
     if not len(got):
-        return [], np.zeros((BUCKETS + 1, 0))
+        return nothing
     domains = sorted(got["domain"].unique())
-    rows = np.repeat(np.arange(len(got)), got["b"].map(len))
-    cols, vals = np.concatenate([np.asarray(x, np.int64) for x in got["b"]]), np.concatenate([np.asarray(x, float) for x in got["v"]])
-    weights = fit_softmax(rows, cols, vals, got["domain"].map(domains.index).to_numpy(), len(domains))
+    y = got["domain"].map(domains.index).to_numpy()
+    rows, flat = np.repeat(np.arange(len(got)), got["f"].map(len)), np.concatenate([np.asarray(x, np.int64) for x in got["f"]])
+    features = telling(rows, flat, y, len(domains))
+    at = np.searchsorted(features, flat)
+    ok = at < len(features)
+    ok[ok] = features[at[ok]] == flat[ok]
+    weights = fit_softmax(rows[ok], at[ok], y, len(features), len(domains))
     weights[-1] -= np.log([drawn[d] for d in domains])  # a domain drawn more often is that much rarer in the table
-    return domains, weights
+    return domains, features, weights
 
 
-def posteriors(docs: DataFrame, domains: list[str], weights: np.ndarray) -> DataFrame:
+def posteriors(docs: DataFrame, domains: list[str], features: np.ndarray, weights: np.ndarray) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, p: array of posteriors in the order of domains; texts without words get the
     posteriors of the bias."""
-    model = docs.sparkSession.sparkContext.broadcast(weights)
+    model = docs.sparkSession.sparkContext.broadcast((features, weights))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, seen = model.value, Buckets()
+        features, w = model.value
+        seen = WordFeatures({int(f): i for i, f in enumerate(features)})
         for b in batches:
             n, p = [], []
             for t in b["text"]:
-                ws = words(t)
-                cols, vals = _features(ws, seen)
-                z = vals @ w[cols] + w[-1]
+                size, cols = seen.of(t)
+                z = w[cols].sum(axis=0) + w[-1]
                 e = np.exp(z - z.max()) if len(z) else z
-                n.append(len(ws))
+                n.append(size)
                 p.append(e / e.sum() if len(e) else e)
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": n, "p": p})
 
@@ -180,42 +225,10 @@ def fit_prices(table: DataFrame, targets: np.ndarray, rounds: int = ROUNDS, tole
     return kept[0], (kept[1] - targets) / scale
 
 
-def rates_after(p: np.ndarray, residuals: list[np.ndarray], ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of the plain penalty with one ridge, by accelerated projected gradient: the rates after these residuals (of the
-    look-ahead point), and the next look-ahead point. It leaves rare domains far from their targets; see fit_prices."""
-    r = y = np.ones(len(p))
-    t, step = 1.0, 1 / (1 + ridge)
-    for g in residuals:
-        new = np.maximum(0.0, y - step * (p @ g + ridge * (y - 1)))
-        t, momentum = (1 + (1 + 4 * t * t) ** 0.5) / 2, (t - 1) / ((1 + (1 + 4 * t * t) ** 0.5) / 2)
-        y, r = new + momentum * (new - r), new
-    return r, y
-
-
 def _stack(p: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, float) for x in p]) if len(p) else np.zeros((0, 0))
 
 
-def fit_rates(table: DataFrame, targets: np.ndarray, rounds: int, ridge: float) -> list[np.ndarray]:
-    """table(n_tokens, p): the residuals of each round, which determine every document's rate."""
-    total = table.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
-    residuals: list[np.ndarray] = []
-    for _ in range(rounds if total else 0):
-        past = list(residuals)
-
-        def run(batches: Iterator[pd.DataFrame], past=past) -> Iterator[pd.DataFrame]:
-            e = np.zeros(len(targets))
-            for b in batches:
-                if len(b):
-                    p = _stack(b["p"])
-                    e += (rates_after(p, past, ridge)[1] * b["n_tokens"].to_numpy(float)) @ p
-            yield pd.DataFrame({"d": np.arange(len(targets)), "e": e})
-
-        sums = {r["d"]: r["e"] for r in table.select("n_tokens", "p").mapInPandas(run, "d int, e double").groupBy("d").agg(F.sum("e").alias("e")).collect()}
-        residuals.append(np.array([sums[d] / total for d in range(len(targets))]) - targets)
-    return residuals
-
-
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """docs(doc_id, text), labels(doc_id, quality, toxic) -> doc_id, n_tokens, p_clean, p_low, p_toxic (one for each target
     domain), rate: a row for a row of docs.
@@ -227,13 +240,13 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     """
     targets = targets or TARGETS
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    domains, weights = train(own, labels, train_docs)
+    domains, features, weights = train(own, labels, train_docs)
     if not domains:
         empty = [F.lit(None).cast("double").alias(f"p_{d}") for d in sorted(targets)]
-        return posteriors(own, [], weights).select("doc_id", "n_tokens", *empty, F.lit(1.0).alias("rate"))
+        return posteriors(own, [], features, weights).select("doc_id", "n_tokens", *empty, F.lit(1.0).alias("rate"))
     goal = np.array([targets.get(d, 0.0) for d in domains])
     goal = goal / goal.sum() if goal.sum() else np.full(len(domains), 1 / len(domains))
-    table = materialize(posteriors(own, domains, weights), "mixing-posteriors")
+    table = materialize(posteriors(own, domains, features, weights), "mixing-posteriors")
     price, _ = fit_prices(table, goal, rounds, tolerance)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,10 +259,12 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """docs, every row as often as its rate says: the whole part, and once more with the fraction's chance, drawn from a hash of
-    doc_id. Columns as given. Rows without doc_id stay once; rows that repeat a doc_id are each drawn alike."""
-    rates = mixing_rates(docs, labels, targets).where("doc_id is not null").groupBy("doc_id").agg(F.max("rate").alias("_rate"))
+    doc_id. Columns as given. Rows without doc_id stay once; rows that repeat a doc_id are each drawn alike, at the highest of
+    their rates."""
+    key, times, copy = (reserved(docs, n) for n in ("id", "times", "copy"))
+    rates = mixing_rates(docs, labels, targets).where("doc_id is not null").groupBy("doc_id").agg(F.max("rate").alias("rate"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    times = materialize(rates.select(F.col("doc_id").alias("_id"), F.floor(F.col("_rate") + draw).cast("int").alias("_times")).where("_times <> 1"), "mixing-times")
-    joined = docs.join(broadcast_if_small(times, 24), F.col("doc_id") == F.col("_id"), "left")
-    copies = F.array_repeat(F.lit(0), F.coalesce("_times", F.lit(1)))
-    return joined.withColumn("_copy", F.explode(copies)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    other = materialize(rates.select(F.col("doc_id").alias(key), F.floor(F.col("rate") + draw).cast("int").alias(times)).where(F.col(times) != 1), "mixing-times")
+    joined = docs.join(broadcast_if_small(other, 24), F.col("doc_id") == F.col(key), "left")
+    copies = F.array_repeat(F.lit(0), F.coalesce(times, F.lit(1)))
+    return joined.withColumn(copy, F.explode(copies)).select(*[F.col(f"`{c}`") for c in docs.columns])
