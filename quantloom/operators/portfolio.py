@@ -18,16 +18,24 @@ def top_k_portfolios(outcomes: DataFrame, k: int = 5) -> DataFrame:
     return g.withColumn("status", F.when(F.col("pending") > 0, "unknown").otherwise("settled")).withColumn("net_return_pct", F.when(F.col("pending") == 0, F.col("net"))).drop("net")
 
 
-def random_portfolios(samples: DataFrame, date: str, ret: str, k: int = 5, draws: int = 100, seed: int = 20260712) -> DataFrame:
-    """Seeded random top-k portfolios by date: mean, p5, p50, p95 of their averages.
+def random_portfolios(samples: DataFrame, date: str, ret: str, k: int = 5, draws: int = 1000, seed: int = 20260712) -> DataFrame:
+    """Seeded random portfolios of k candidates by date: mean, p5, p50, p95 of their averages; of all, where a date has fewer.
 
-    A candidate's place in a draw is a hash of (seed, date, draw, code). The candidates of a date are replicated by the number of
-    draws, a parameter, and reduced to k a draw before anything else.
+    A date's candidates are one array in the order of their codes. A draw picks k places without repetition: the j-th from the
+    first n - k + j + 1 by a hash of (seed, date, draw, j), or the last of these if that place is taken. The work goes with draws
+    times k, not with the candidates.
     """
-    x = samples.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    x = x.withColumn("_o", hash_draw(F.lit(seed), F.col(date), F.col("draw"), F.col("code")))
-    p = x.withColumn("_r", F.row_number().over(Window.partitionBy(date, "draw").orderBy("_o", "code"))).where(F.col("_r") <= k)
-    m = p.groupBy(date, "draw").agg(F.avg(ret).alias("m"))
+    g = samples.groupBy(date).agg(F.array_sort(F.collect_list(F.struct("code", ret))).alias("_s"))
+    x = g.select(date, F.transform("_s", lambda r: r[ret]).alias("_v"), F.size("_s").alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    for j in range(k):
+        top = F.col("_n") - k + j
+        t = hash_draw(F.lit(seed), F.col(date), F.col("draw"), F.lit(j)) % F.greatest(top + 1, F.lit(1))
+        taken = F.lit(False)
+        for i in range(j):
+            taken = taken | (F.col(f"_t{j}") == F.col(f"_p{i}"))
+        x = x.withColumn(f"_t{j}", t).withColumn(f"_p{j}", F.when(F.col("_n") < k, j).when(taken, top).otherwise(F.col(f"_t{j}")).cast("int"))
+    picks = F.array_compact(F.array(*[F.get("_v", F.col(f"_p{j}")) for j in range(k)]))
+    m = x.select(date, (F.aggregate(picks, F.lit(0.0), lambda a, v: a + v) / F.size(picks)).alias("m"))
     return m.groupBy(date).agg(F.avg("m").alias("random_mean"), F.percentile("m", F.lit(0.05)).alias("p5"), F.percentile("m", F.lit(0.5)).alias("p50"), F.percentile("m", F.lit(0.95)).alias("p95"))
 
 

@@ -40,9 +40,14 @@ MODEL_WEIGHTS = {"price_volume": 0.35, "expected_return": 0.25, "event": 0.20, "
 LOCAL_WEIGHT, EXTERNAL_WEIGHT, MOST_PENALTY = 0.75, 0.25, 30.0
 
 
+def number(c: str) -> Column:
+    """A number of a row; a missing one counts as 0."""
+    return F.coalesce(F.col(c), F.lit(0.0))
+
+
 def points(c: Column, bands: Sequence[tuple[float, float, float]]) -> Column:
-    """The points of the first band that holds the value, ends included; 0 outside all."""
-    out = F.lit(0.0)
+    """The points of the first band that holds the value, ends included; 0 outside all. A missing value counts as 0."""
+    c, out = F.coalesce(c, F.lit(0.0)), F.lit(0.0)
     for low, high, p in reversed(bands):
         out = F.when((c >= low) & (c <= high), float(p)).otherwise(out)
     return out
@@ -59,13 +64,13 @@ def close_location(price: Column, high: Column, low: Column) -> Column:
 
 
 def execution_score() -> Column:
-    p, up = F.col("pct_chg"), upper_gain()
+    p, up = number("pct_chg"), upper_gain()
     return F.when(p <= 0, 45.0).when(p <= up * 0.55, 88.0).when(p <= up * 0.78, 76.0).otherwise(58.0)
 
 
 def not_overextended() -> Column:
-    s, y = F.col("sixty_day_pct"), F.col("ytd_pct")
-    cut = F.when(s > 45, F.least(F.lit(30.0), (s - 45) * 0.8)).otherwise(0.0) + F.when(y > 80, F.least(F.lit(35.0), (y - 80) * 0.6)).otherwise(0.0) + F.when(F.col("amplitude") > 10, 8.0).otherwise(0.0) + F.when(s < -20, 16.0).otherwise(0.0)
+    s, y = number("sixty_day_pct"), number("ytd_pct")
+    cut = F.when(s > 45, F.least(F.lit(30.0), (s - 45) * 0.8)).otherwise(0.0) + F.when(y > 80, F.least(F.lit(35.0), (y - 80) * 0.6)).otherwise(0.0) + F.when(number("amplitude") > 10, 8.0).otherwise(0.0) + F.when(s < -20, 16.0).otherwise(0.0)
     return clamp(86 - cut, 0, 100)
 
 
@@ -82,21 +87,21 @@ def hot_rank_score(rank: Column) -> Column:
 
 def tail_setup_score() -> Column:
     """Shape of the day near the close: change, volume ratio, turnover rate, close location, gain since the open, amplitude, speed."""
-    p, up, px, op = F.col("pct_chg"), upper_gain(), F.col("price"), F.col("open")
+    p, up, px, op = number("pct_chg"), upper_gain(), number("price"), number("open")
     gain = (px / F.when(op > 0, op) - 1) * 100
     change = F.when((p >= 1.1) & (p <= F.least(up * 0.78, F.lit(5.5))), 20.0).when((p >= 0.6) & (p < 1.1), 10.0).when((p >= 0.4) & (p < 0.6), 2.0).when(p > up * 0.86, -22.0).when(p <= 0, -20.0).otherwise(0.0)
     since = F.when((op > 0) & (px > 0), F.when((gain >= 0.3) & (gain <= 4.8), 10.0).when(gain < 0, -10.0).when(gain > 6, -14.0).otherwise(0.0)).otherwise(0.0)
-    loc = close_location(px, F.col("high"), F.col("low"))
+    loc = close_location(px, number("high"), number("low"))
     where = F.when(loc >= 0.72, 16.0).when(loc >= 0.60, 6.0).when(loc >= 0.52, 2.0).when(loc < 0.30, -28.0).when(loc < 0.45, -16.0).otherwise(0.0)
-    amp = F.when((F.col("amplitude") > 0) & (F.col("amplitude") <= 6.8), 10.0).when(F.col("amplitude") <= 9, 4.0).when(F.col("amplitude") >= 11, -12.0).otherwise(0.0)
-    s = F.col("speed")
+    a, s = number("amplitude"), number("speed")
+    amp = F.when((a > 0) & (a <= 6.8), 10.0).when(a <= 9, 4.0).when(a >= 11, -12.0).otherwise(0.0)
     pace = F.when((s >= 0) & (s <= 1.6), 8.0).when((s > 1.6) & (s <= 2.4), 2.0).when((s >= -1.2) & (s < 0), -4.0).when(s > 2.4, -10.0).otherwise(-7.0)
     return clamp(52 + change + points(F.col("volume_ratio"), VOLUME_BANDS) + points(F.col("turnover_rate"), TURNOVER_BANDS) + where + since + amp + pace, 0, 100)
 
 
 def smooth_penalty(c: Column, threshold: float, most: float, steepness: float, direction: int = 1) -> Column:
     """Logistic penalty; what is below LEAST_PENALTY counts as none."""
-    z = clamp((c - threshold) * steepness * direction, -50, 50)
+    z = clamp((F.coalesce(c, F.lit(0.0)) - threshold) * steepness * direction, -50, 50)
     p = most / (1 + F.exp(-z))
     return F.when(p >= LEAST_PENALTY, p).otherwise(0.0)
 
@@ -114,7 +119,7 @@ def with_penalty(df: DataFrame, kind: str, name: str = "risk_penalty") -> DataFr
 
 def regime_bonus(style: str, min_turnover: float) -> Column:
     """Points for how a row stands to its date's regime; styles: short, tomorrow, swing."""
-    p, v, a, t, s = (F.col(c) for c in ("pct_chg", "volume_ratio", "amplitude", "turnover", "sixty_day_pct"))
+    p, v, a, t, s = (number(c) for c in ("pct_chg", "volume_ratio", "amplitude", "turnover", "sixty_day_pct"))
 
     def give(cond: Column, x: float) -> Column:
         return F.when(cond, x).otherwise(0.0)

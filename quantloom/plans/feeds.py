@@ -67,7 +67,7 @@ def f19_risk_labels(spark, d):
 
 def f20_announcements(spark, d):
     """Announcement words in the newest two documents of each source."""
-    n = tb.read(spark, d, "documents").select("source", "doc_id", F.substring("text", 1, 60).alias("title"))
+    n = tb.read(spark, d, "documents").select("source", "doc_id", F.col("text").alias("title"))
     n = cs.top_by_score(n, ["source"], [F.desc("doc_id")], 2).withColumn("flags", F.array_compact(F.array(*[F.when(F.lower("title").contains(w), w) for w in ("the", "der", "les", "que", "tion")])))
     g = n.groupBy("source").agg(F.flatten(F.collect_list("flags")).alias("f"))
     return g.select("source", F.concat_ws(",", F.slice(F.array_sort(F.array_distinct("f")), 1, 10)).alias("flags"))
@@ -206,7 +206,7 @@ def x40_position_scale(spark, d):
 
 def x26_exposure(spark, d):
     """Mean weight and number of holdings by date under caps, from the daily baseline."""
-    w = pf.capped_weights(tb.quotes(spark, d), ["trade_date"], "turnover", "industry", 0.5, 1.0, 0.8, 1)
+    w = pf.capped_weights(tb.quotes(spark, d), ["trade_date"], "turnover", "industry", 0.5, 1.0, 0.8)
     g = w.groupBy("trade_date").agg(F.count("*").alias("n"), F.max("weight").alias("largest"))
     return rounded(g, "largest")
 
@@ -225,7 +225,7 @@ ORACLES = {
     "s21_latest_snapshot": with_views(["quotes"], ", g AS (SELECT trade_date, count(*) AS n FROM quotes GROUP BY 1) SELECT count(*) AS days, max(trade_date) AS latest, arg_max(n, trade_date) AS rows FROM g"),
     "f5_hard_reject": with_views(["quotes"], "SELECT trade_date, count(*) FILTER (pct_chg > 6 OR pct_chg < -1 OR amplitude > 8 OR turnover < 3e4) AS strict, count(*) FILTER (pct_chg > 8 OR pct_chg < -4 OR turnover < 1e4) AS relaxed, count(*) AS n FROM quotes GROUP BY 1"),
     "f19_risk_labels": with_views(["quotes"], ", r AS (SELECT trade_date, id, list_filter([CASE WHEN pct_chg < -5 THEN 'deep_drop' END, CASE WHEN pct_chg > 6 THEN 'chase' END, CASE WHEN amplitude > 8 THEN 'range' END, CASE WHEN turnover < 2e4 THEN 'thin' END, CASE WHEN abs(open / prev_close - 1) > 0.05::DOUBLE THEN 'gap' END], lambda x: x IS NOT NULL) AS r FROM quotes) SELECT trade_date, id, array_to_string(r, ',') AS risks, 35.0::DOUBLE + 10 * len(r) + CASE WHEN list_contains(r, 'chase') THEN 20 ELSE 0 END AS risk_score FROM r WHERE len(r) > 0"),
-    "f20_announcements": "WITH n AS (SELECT source, lower(substr(text, 1, 60)) AS t FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) <= 2) SELECT source, concat_ws(',', CASE WHEN bool_or(contains(t, 'der')) THEN 'der' END, CASE WHEN bool_or(contains(t, 'les')) THEN 'les' END, CASE WHEN bool_or(contains(t, 'que')) THEN 'que' END, CASE WHEN bool_or(contains(t, 'the')) THEN 'the' END, CASE WHEN bool_or(contains(t, 'tion')) THEN 'tion' END) AS flags FROM n GROUP BY source",
+    "f20_announcements": "WITH n AS (SELECT source, lower(text) AS t FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) <= 2) SELECT source, concat_ws(',', CASE WHEN bool_or(contains(t, 'der')) THEN 'der' END, CASE WHEN bool_or(contains(t, 'les')) THEN 'les' END, CASE WHEN bool_or(contains(t, 'que')) THEN 'que' END, CASE WHEN bool_or(contains(t, 'the')) THEN 'the' END, CASE WHEN bool_or(contains(t, 'tion')) THEN 'tion' END) AS flags FROM n GROUP BY source",
     "j6_metric_rows": with_views(["outcomes", "quotes"], _LEVELS + " SELECT signal_id, coalesce(level, 'unknown') AS level, round(coalesce(CASE WHEN state = 'settled' THEN exit_return - total_pct END, return_3d, return_1d, 0), 6) AS result FROM outcomes o LEFT JOIN lv ON lv.trade_date = o.signal_date"),
     "a11_next_day": with_views(["ahead"], "SELECT strategy, count(*) AS n, round(avg((open / entry_price - 1) * 100), 6) AS avg_open, round(avg((close / entry_price - 1) * 100), 6) AS avg_close, round(avg((high / entry_price - 1) * 100), 6) AS avg_high, round(avg((low / entry_price - 1) * 100), 6) AS avg_low, round(avg(CASE WHEN close > entry_price THEN 1.0::DOUBLE ELSE 0 END) * 100, 6) AS win_rate FROM ahead JOIN signals USING (signal_id) WHERE step = 0 AND entry_price > 0 GROUP BY strategy"),
     "a14_stance": with_views(["settled"], "SELECT CASE WHEN score >= 66 THEN 'up' WHEN score <= 33 THEN 'down' ELSE 'neutral' END AS stance, count(*) AS n, round(avg(return_1d), 6) AS avg_1d, round(avg(return_3d), 6) AS avg_3d, round(avg(CASE WHEN return_3d > 0 THEN 1.0::DOUBLE WHEN return_3d IS NOT NULL THEN 0 END) * 100, 6) AS win_rate FROM settled GROUP BY 1"),

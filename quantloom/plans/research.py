@@ -166,14 +166,14 @@ def x26_daily_portfolios(spark, d):
 
 
 def x27_random_portfolios(spark, d):
-    """Twenty random top-two portfolios a date."""
+    """A thousand random portfolios of five a date."""
     t = bt.trades(tb.bars(spark, d)).select("code", "trade_date", "net_return")
-    return rounded(pf.random_portfolios(t, "trade_date", "net_return", 2, 20), "random_mean", "p5", "p50", "p95")
+    return rounded(pf.random_portfolios(t, "trade_date", "net_return"), "random_mean", "p5", "p50", "p95")
 
 
 def x25_capped_weights(spark, d):
     """Capped weights of each date's quotes by turnover, industry as theme."""
-    w = pf.capped_weights(tb.quotes(spark, d), ["trade_date"], "turnover", "industry", 0.3, 0.5, 0.9, 2)
+    w = pf.capped_weights(tb.quotes(spark, d), ["trade_date"], "turnover", "industry", 0.3, 0.5, 0.9)
     return rounded(w.select("trade_date", "id", "weight"), "weight")
 
 
@@ -266,8 +266,18 @@ SELECT code, sum(penalty) AS penalty, ['low', 'medium', 'high', 'critical'][max(
     "x26_daily_portfolios": with_views(["outcomes"], "SELECT strategy, signal_date, count(*) AS holdings, count(*) FILTER (state = 'settled') AS filled, count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'no_bars') AS unfilled, max(rank) AS worst_rank, CASE WHEN count(*) FILTER (state = 'pending') > 0 THEN 'unknown' ELSE 'settled' END AS status, CASE WHEN count(*) FILTER (state = 'pending') = 0 THEN round(sum(CASE WHEN state = 'settled' THEN exit_return - total_pct ELSE 0 END) / count(*), 6) END AS net_return_pct FROM outcomes WHERE rank <= 2 GROUP BY strategy, signal_date"),
     "x27_random_portfolios": with_views(["factors"], """
 , t AS (SELECT f.code, f.trade_date, (x.ex / f.close - 1) * 100 - 0.7::DOUBLE AS r FROM factors f JOIN (SELECT code, trade_date, lead(close, 3) OVER (PARTITION BY code ORDER BY trade_date) AS ex FROM bars) x USING (code, trade_date) WHERE f.bar_no > 30 AND x.ex > 0),
-o AS (SELECT *, row_number() OVER (PARTITION BY trade_date, draw ORDER BY ('0x' || substr(md5('20260712:' || trade_date || ':' || draw || ':' || code), 1, 8))::BIGINT, code) AS k FROM t, (SELECT unnest(range(20)) AS draw)),
-m AS (SELECT trade_date, draw, avg(r) AS m FROM o WHERE k <= 2 GROUP BY ALL)
+g AS (SELECT trade_date, list(r ORDER BY code) AS v, count(*) AS n FROM t GROUP BY 1),
+d0 AS (SELECT *, ('0x' || substr(md5('20260712:' || trade_date || ':' || draw || ':0'), 1, 8))::BIGINT % greatest(n - 4 + 0, 1) AS t0 FROM g, (SELECT unnest(range(1000)) AS draw)),
+e0 AS (SELECT *, CASE WHEN n < 5 THEN 0 ELSE t0 END AS p0 FROM d0),
+d1 AS (SELECT *, ('0x' || substr(md5('20260712:' || trade_date || ':' || draw || ':1'), 1, 8))::BIGINT % greatest(n - 4 + 1, 1) AS t1 FROM e0),
+e1 AS (SELECT *, CASE WHEN n < 5 THEN 1 WHEN t1 IN (p0) THEN n - 5 + 1 ELSE t1 END AS p1 FROM d1),
+d2 AS (SELECT *, ('0x' || substr(md5('20260712:' || trade_date || ':' || draw || ':2'), 1, 8))::BIGINT % greatest(n - 4 + 2, 1) AS t2 FROM e1),
+e2 AS (SELECT *, CASE WHEN n < 5 THEN 2 WHEN t2 IN (p0, p1) THEN n - 5 + 2 ELSE t2 END AS p2 FROM d2),
+d3 AS (SELECT *, ('0x' || substr(md5('20260712:' || trade_date || ':' || draw || ':3'), 1, 8))::BIGINT % greatest(n - 4 + 3, 1) AS t3 FROM e2),
+e3 AS (SELECT *, CASE WHEN n < 5 THEN 3 WHEN t3 IN (p0, p1, p2) THEN n - 5 + 3 ELSE t3 END AS p3 FROM d3),
+d4 AS (SELECT *, ('0x' || substr(md5('20260712:' || trade_date || ':' || draw || ':4'), 1, 8))::BIGINT % greatest(n - 4 + 4, 1) AS t4 FROM e3),
+e4 AS (SELECT *, CASE WHEN n < 5 THEN 4 WHEN t4 IN (p0, p1, p2, p3) THEN n - 5 + 4 ELSE t4 END AS p4 FROM d4),
+m AS (SELECT trade_date, list_avg(list_filter([v[p0 + 1], v[p1 + 1], v[p2 + 1], v[p3 + 1], v[p4 + 1]], lambda x: x IS NOT NULL)) AS m FROM e4)
 SELECT trade_date, round(avg(m), 6) AS random_mean, round(quantile_cont(m, 0.05), 6) AS p5, round(quantile_cont(m, 0.5), 6) AS p50, round(quantile_cont(m, 0.95), 6) AS p95 FROM m GROUP BY trade_date"""),
     "w16_turnover": with_views(["quotes"], """
 , k AS (SELECT trade_date, id, dense_rank() OVER (ORDER BY trade_date) AS i FROM (SELECT * FROM quotes QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY turnover DESC, id) <= 3)),

@@ -217,8 +217,8 @@ SELECT trade_date, id, CAST(0 AS BIGINT) AS stage FROM q WHERE a <= 2 UNION ALL
     "a21_cost_distribution": with_views(["outcomes"], "SELECT strategy, count(total_pct) AS n, round(avg(total_pct), 6) AS mean, round(min(total_pct), 6) AS min, round(quantile_cont(total_pct, 0.5), 6) AS p50, round(quantile_cont(total_pct, 0.95), 6) AS p95, round(max(total_pct), 6) AS max FROM (SELECT strategy, CASE WHEN entry_price IS NOT NULL THEN total_pct ELSE 0.7 END AS total_pct FROM outcomes) GROUP BY strategy"),
     "q10_quantiles": with_views(["bars"], ", g AS (SELECT code, list_sort(list(close)) AS v, quantile_cont(close, 0.25) AS linear FROM bars GROUP BY code) SELECT code, round(v[1 + least(len(v) - 1, CAST(floor(len(v) * 0.25) AS BIGINT))], 6) AS floor_index, round(v[1 + CAST(round((len(v) - 1) * 0.25::DOUBLE) AS BIGINT)], 6) AS round_index, round(linear, 6) AS linear FROM g"),
     "q9_sign_test": with_views(["settled"], """
-, o AS (SELECT code, least(count(*), 200) AS n, count(*) FILTER (net_return > 0) AS k FROM settled GROUP BY code)
-SELECT code, n, k, round(least(1, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM (SELECT unnest(range(0, 201)) AS i) WHERE i BETWEEN k AND n)), 6) AS tail FROM o WHERE k <= n"""),
+, o AS (SELECT code, count(*) AS n, count(*) FILTER (net_return > 0) AS k FROM settled GROUP BY code)
+SELECT code, n, k, round(least(1, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM (SELECT unnest(range(0, (SELECT max(n) + 1 FROM o))) AS i) WHERE i BETWEEN k AND n)), 6) AS tail FROM o"""),
     "a29_consensus": with_views(["signals"], """
 , c AS (SELECT code, count(*) AS appearances, array_to_string(list_sort(list(DISTINCT strategy)), ',') AS strategies, avg(score) FILTER (signal_id % 4 <> 0) AS a, avg(score) FILTER (signal_id % 4 = 0) AS b FROM signals WHERE rank = 1 GROUP BY code),
 v AS (SELECT *, coalesce(a, b) + least(10, (appearances - 1) * 4) - 2 AS direction FROM c)

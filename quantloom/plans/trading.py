@@ -182,12 +182,12 @@ def _daily(spark, d):
 
 def q2_bootstrap(spark, d):
     """Block-bootstrap interval of the daily mean by strategy."""
-    return rounded(st.bootstrap_interval(_daily(spark, d), "strategy", "signal_date", "r", 50), "low", "high")
+    return rounded(st.bootstrap_interval(_daily(spark, d), "strategy", "signal_date", "r", 1000), "low", "high")
 
 
 def q3_bootstrap_p(spark, d):
     """Bootstrap p-value of a positive mean."""
-    return rounded(st.bootstrap_p_value(_daily(spark, d), "strategy", "signal_date", "r", 50), "observed", "p_value")
+    return rounded(st.bootstrap_p_value(_daily(spark, d), "strategy", "signal_date", "r", 1000), "observed", "p_value")
 
 
 def q4_fdr(spark, d):
@@ -239,6 +239,18 @@ ic AS (SELECT factor, trade_date, count(*) AS n, CASE WHEN min(a) = max(a) OR mi
 _DAILY = ", day AS (SELECT strategy, signal_date, avg(net_return) AS r FROM settled GROUP BY ALL)"
 
 ORACLES = {
+    "q2_bootstrap": with_views(["settled"], """, d AS (SELECT strategy, signal_date, avg(net_return) AS r FROM settled GROUP BY ALL),
+v AS (SELECT strategy, avg(r) AS observed, list(r ORDER BY signal_date) AS v, count(*) AS n, greatest(1, CAST(round(sqrt(count(*))) AS BIGINT)) AS width FROM d WHERE r IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
+b AS (SELECT *, unnest(range(0, CAST(ceil(n / width) AS BIGINT))) AS b FROM v, (SELECT unnest(range(1000)) AS draw)),
+s AS (SELECT *, ('0x' || substr(md5('20260713:' || strategy || ':' || draw || ':' || b), 1, 8))::BIGINT % (n - width + 1) AS start FROM b),
+m AS (SELECT strategy, draw, any_value(observed) AS observed, sum(list_sum(v[start + 1 : start + least(width, n - b * width)])) / any_value(n) AS m FROM s GROUP BY ALL)
+SELECT strategy, round(list_sort(list(m))[26], 6) AS low, round(list_sort(list(m))[976], 6) AS high FROM m GROUP BY 1"""),
+    "q3_bootstrap_p": with_views(["settled"], """, d AS (SELECT strategy, signal_date, avg(net_return) AS r FROM settled GROUP BY ALL),
+v AS (SELECT strategy, avg(r) AS observed, list(r ORDER BY signal_date) AS v, count(*) AS n, greatest(1, CAST(round(sqrt(count(*))) AS BIGINT)) AS width FROM d WHERE r IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
+b AS (SELECT *, unnest(range(0, CAST(ceil(n / width) AS BIGINT))) AS b FROM v, (SELECT unnest(range(1000)) AS draw)),
+s AS (SELECT *, ('0x' || substr(md5('20260714:' || strategy || ':' || draw || ':' || b), 1, 8))::BIGINT % (n - width + 1) AS start FROM b),
+m AS (SELECT strategy, draw, any_value(observed) AS observed, sum(list_sum(v[start + 1 : start + least(width, n - b * width)])) / any_value(n) AS m FROM s GROUP BY ALL)
+SELECT strategy, round(any_value(observed), 6) AS observed, round(CASE WHEN any_value(observed) <= 0 THEN 1.0::DOUBLE ELSE (count(*) FILTER (m - observed >= observed) + 1) / 1001.0::DOUBLE END, 6) AS p_value FROM m GROUP BY 1"""),
     "j11_forward_bars": with_views(["ahead"], f"SELECT signal_id, step, trade_date, {_r('close', 'prev_close')} FROM ahead"),
     "x16_costs": with_views(["bars"], f"SELECT code, trade_date, turnover, s AS scenario, 0.25::DOUBLE AS fee_pct, round({_SLIP} * m, 6) AS slippage_pct, round({_IMPACT} * m, 6) AS impact_pct, round(0.25::DOUBLE + {_SLIP} * m + {_IMPACT} * m, 6) AS total_pct FROM bars, (VALUES ('low', 0.5::DOUBLE), ('base', 1.0::DOUBLE), ('high', 2.0::DOUBLE)) t(s, m)"),
     "x16_quantities": with_views(["bars"], "SELECT code, trade_date, close, 200000.0::DOUBLE AS target_notional, CAST(floor(200000.0::DOUBLE / close / 100) * 100 AS BIGINT) AS order_quantity FROM bars"),
