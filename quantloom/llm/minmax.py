@@ -208,8 +208,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle_words: int = 5)
 
 
 def keep_one_of_each_group(docs: DataFrame, percent: int = 80, shingle_words: int = 5) -> DataFrame:
-    """docs without the near-duplicates: of each component the row with the smallest doc_id stays. Columns as given."""
-    result = near_duplicates(docs, percent, shingle_words)
-    key = reserved(docs, "gone")
+    """docs without the near-duplicates: of each component the row with the smallest doc_id stays. Columns as given. Of rows that
+    repeat a doc_id and its text one stays, settled by a hash of the row; rows without doc_id stay all."""
+    result, key = near_duplicates(docs, percent, shingle_words), reserved(docs, "gone")
     gone = materialize(result.where("not kept").select(F.col("doc_id").alias(key)).distinct(), "minmax-gone")
-    return docs.join(broadcast_if_small(gone, 16), F.col("doc_id") == F.col(key), "left_anti")
+    left = docs.join(broadcast_if_small(gone, 16), F.col("doc_id") == F.col(key), "left_anti")
+    twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).count().where("count > 1").select(key)
+    twice = materialize(twice, "minmax-twice")
+    if not twice.limit(1).count():
+        return left
+    twice = broadcast_if_small(twice, 16)
+    every, plain = [F.col(f"`{c}`") for c in docs.columns], [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    again = left.join(twice, F.col("doc_id") == F.col(key), "left_semi").groupBy(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h")).agg(F.min_by(F.struct(*every), F.xxhash64(*plain)).alias("row"))
+    return left.join(twice, F.col("doc_id") == F.col(key), "left_anti").unionByName(again.select("row.*"))

@@ -77,3 +77,6 @@ def test_edges_of_input(spark):
     assert got == [("7", 7, True), ("7", 7, True), ("9", 7, False), ("None", None, True)]
     kept = keep_one_of_each_group(docs.selectExpr("*", "1 as kept", "2 as _gone2"))
     assert kept.columns == ["doc_id", "text", "kept", "_gone2"] and kept.where("doc_id = 9").count() == 0
+    assert kept.where("doc_id = 7").count() == 1 and kept.where("doc_id is null").count() == 1
+    same = docs.selectExpr("*", "1 as _gone", "2 as _GONE_", "map('a', 1) as m")
+    assert sorted(str(r["doc_id"]) for r in keep_one_of_each_group(same).collect()) == ["7", "None"]
