@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, reserved
 
-TRAIN_DOCS = 5000  # labelled documents that the classifier is fitted on, about
+TRAIN_DOCS = 3000  # labelled documents that the classifier is fitted on, about
 DOMAIN_DOCS = 200  # of each domain at least, about, or all that there are
 LEAST_Z = 6.0  # of a feature's number in some domain of the sample, in standard deviations from what chance gives
 LEAST_DOCS = 3  # that hold a feature
@@ -131,15 +131,16 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = WordFeatures()
         for b in batches:
-            yield pd.DataFrame({"domain": b["domain"], "f": [seen.of(t)[1] for t in b["text"]]})
+            yield pd.DataFrame({"domain": b["domain"], "f": [seen.of(t)[1].astype(np.uint32).view(np.int32) for t in b["text"]]})
 
-    got = texts.mapInPandas(run, "domain string, f array<long>").toPandas()
+    got = texts.mapInPandas(run, "domain string, f array<int>").toPandas()
     if not len(got):
         return nothing
     domains = sorted(got["domain"].unique())
     y = got["domain"].map(domains.index).to_numpy()
-    rows, flat = np.repeat(np.arange(len(got)), got["f"].map(len)), np.concatenate([np.asarray(x, np.int64) for x in got["f"]])
-    features = telling(rows, flat, y, len(domains))
+    rows = np.repeat(np.arange(len(got), dtype=np.int32), got["f"].map(len))
+    flat = np.concatenate([np.asarray(x, np.int32) for x in got.pop("f")]).view(np.uint32)
+    features = telling(rows, flat, y, len(domains))  # a few hundred or thousand
     at = np.searchsorted(features, flat)
     ok = at < len(features)
     ok[ok] = features[at[ok]] == flat[ok]
