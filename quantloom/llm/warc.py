@@ -120,6 +120,8 @@ class RecordReader:
                 if not lines[0].startswith("WARC/"):
                     raise ValueError(f"no WARC record where one should start: {lines[0][:60]!r}")
                 self.headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+                if "content-length" not in self.headers:
+                    raise ValueError("a WARC record without Content-Length")
                 self.left = int(self.headers["content-length"])
                 del self.buffer[: end + 4]
                 if not self.left:
