@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, reserved
 
-TRAIN_DOCS = 5000  # labelled documents that the classifier is fitted on, about
+TRAIN_DOCS = 4000  # labelled documents that the classifier is fitted on, about
 DOMAIN_DOCS = 200  # of each domain at least, about, or all that there are
 LEAST_Z = 6.0  # of a feature's number in some domain of the sample, in standard deviations from what chance gives
 LEAST_DOCS = 3  # that hold a feature
