@@ -9,15 +9,16 @@ from pyspark.sql.window import Window
 from ..functions.scalars import clamp
 
 
-def percentile_scores(df: DataFrame, by: list[str], columns: list[str], member: Column | None = None, inverse: tuple[str, ...] = ()) -> DataFrame:
+def percentile_scores(df: DataFrame, by: list[str], columns: list[str], member: Column | None = None, inverse: tuple[str, ...] = (), key: tuple[str, ...] = ()) -> DataFrame:
     """df -> with <column>_pct for each column: 100 * share of the group's members at or below the value.
 
     Members are the rows for which `member` holds; other rows are scored against them, after clamping to their range. A group
     with fewer than two members, or with equal ones, scores 50. `inverse` columns score 100 minus that. One long table and one
-    window for all columns, instead of a sort for each.
+    window for all columns, instead of a sort for each. `key` names the columns that tell rows apart and are never null; without
+    it rows are numbered, which a stage that is run again may do otherwise if its input's order changes.
     """
     member = F.lit(True) if member is None else member
-    d = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_member", member)
+    d = df.withColumn("_row", F.struct(*key) if key else F.monotonically_increasing_id()).withColumn("_member", member)
     long = d.select("_row", "_member", *by, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("_row", "_member", *by, "x.c", "x.v")
     g = Window.partitionBy(*by, "c")
     mine = F.when(F.col("_member"), F.col("v"))

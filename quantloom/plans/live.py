@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..operators import crosssection as cs
 from ..operators import factors as fx
 from ..operators import scoring as sc
+from ..operators import strategies as st
 from ..sources import tables as tb
 from ..streaming import live as lv
 from .market import FLOOR, rounded
@@ -17,7 +18,7 @@ from .views import with_views
 def _rows(spark, d):
     """Quotes with factors, regime and stand-ins for the fields that the tables lack."""
     q = tb.quotes(spark, d).withColumn("market", F.when(F.substring("code", 1, 3) == "688", "star").when(F.substring("code", 1, 3) == "300", "chinext").otherwise("main"))
-    f = fx.with_factors(tb.bars(spark, d)).select(F.col("code").alias("id"), "trade_date", "ret_3d", "ret_5d", "ret_20d", "ma5_gap", "ma20_gap", "vol_amount_5d", "volatility_20d", F.col("vol_ma5_ratio").alias("volume_ratio"))
+    f = fx.with_factors(tb.bars(spark, d)).select(F.col("code").alias("id"), "trade_date", "ret_3d", "ret_5d", "ret_10d", "ret_20d", "ma5_gap", "ma20_gap", "vol_amount_5d", "volatility_20d", "breakout_20d", F.col("vol_ma5_ratio").alias("volume_ratio"))
     r = cs.market_regime(tb.quotes(spark, d)).select("trade_date", "level")
     j = q.join(f, ["id", "trade_date"]).join(r, "trade_date")
     return j.withColumn("turnover_rate", F.col("volume") / 4).withColumn("speed", F.col("pct_chg") / 4).withColumn("sixty_day_pct", F.col("ret_20d") * 3).withColumn("ytd_pct", F.col("ret_20d") * 5)
@@ -37,13 +38,20 @@ def x8_penalties(spark, d):
 
 def x3_today_scores(spark, d):
     """Today's score from percentile components, penalty and regime."""
-    x = cs.percentile_scores(_rows(spark, d), ["trade_date"], ["pct_chg", "speed", "volume_ratio", "ret_3d", "ret_5d", "vol_amount_5d", "turnover_rate", "turnover"])
+    x = cs.percentile_scores(_rows(spark, d), ["trade_date"], ["pct_chg", "speed", "volume_ratio", "ret_3d", "ret_5d", "vol_amount_5d", "turnover_rate", "turnover"], key=("id", "trade_date"))
     m = F.col("pct_chg_pct") * 0.28 + F.col("speed_pct") * 0.24 + F.col("volume_ratio_pct") * 0.18 + F.col("ret_3d_pct") * 0.12 + F.col("ret_5d_pct") * 0.10 + F.col("vol_amount_5d_pct") * 0.08
     x = sc.with_penalty(x.withColumn("momentum_score", m).withColumn("liquidity_score", F.col("turnover_rate_pct") * 0.45 + F.col("turnover_pct") * 0.55).withColumn("industry_score", F.lit(50.0)).withColumn("sentiment_score", F.lit(50.0)), "swing")
     x = x.withColumn("risk_guard_score", F.greatest(F.lit(0.0), 100 - F.col("risk_penalty") * 3.2)).withColumn("regime_bonus", sc.regime_bonus("short", FLOOR))
     return rounded(sc.with_final_score(x, "today").select("id", "trade_date", "base_score", "score"), "base_score", "score")
 
 
+def x5_swing_candidates(spark, d):
+    """Scores of every row of the swing universe, and who is shown in which tier."""
+    x = _rows(spark, d).withColumn("factor_ready", (F.abs("ma20_gap") > 1e-12).cast("int"))
+    x = st.swing_candidates(x, ["trade_date"], ("id", "trade_date"), FLOOR)
+    return rounded(x.select("id", "trade_date", "momentum_score", "trend_score", "base_score", "score", "degraded", "place", "tier"), "momentum_score", "trend_score", "base_score", "score")
+
+
 def x11_ensemble(spark, d):
     """Blend of five model scores on orders."""
     o = tb.read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 101).cast("double").alias("price_volume"), F.when(F.col("o_orderkey") % 3 != 0, (F.col("o_custkey") % 90).cast("double")).alias("expected_return"), F.lit(None).cast("double").alias("event"), (F.col("o_custkey") % 130).cast("double").alias("probability"), (F.col("o_orderkey") % 7 * 10).cast("double").alias("meta"))
@@ -99,13 +107,13 @@ def w12_stable_top(spark, d):
     return lv.stable_top_batch(r.select("horizon", "round", "code", "place"), 3, 6)
 
 
-QUERIES = [x7_step_scores, x8_penalties, x3_today_scores, x11_ensemble, x12_merge_external, t1_latest_quotes, t3_freeze, t4_phases, t5_breadth, t9_sliding, t9_sessions, t7_changes, w12_stable_top]
+QUERIES = [x7_step_scores, x8_penalties, x3_today_scores, x5_swing_candidates, x11_ensemble, x12_merge_external, t1_latest_quotes, t3_freeze, t4_phases, t5_breadth, t9_sliding, t9_sessions, t7_changes, w12_stable_top]
 
 _RX = """
 , reg AS (SELECT trade_date, CASE WHEN sc >= 68 THEN 'risk_on' WHEN sc <= 42 THEN 'risk_off' ELSE 'balanced' END AS level FROM (
   SELECT trade_date, greatest(0, least(100, 50 + median(pct_chg) * 7.5::DOUBLE + (avg(CASE WHEN pct_chg > 0 THEN 1.0::DOUBLE ELSE 0 END) * 100 - 50) * 0.55::DOUBLE
     + (avg(CASE WHEN pct_chg >= 3 THEN 1.0::DOUBLE ELSE 0 END) * 100 - avg(CASE WHEN pct_chg <= -3 THEN 1.0::DOUBLE ELSE 0 END) * 100) * 0.35::DOUBLE - greatest(0, avg(amplitude) - 7) * 2.4::DOUBLE)) AS sc FROM quotes GROUP BY trade_date)),
-rx AS (SELECT q.*, CASE WHEN substr(q.code, 1, 3) IN ('688', '300') THEN 10.0::DOUBLE ELSE 6.5::DOUBLE END AS up, level, f.ret_3d, f.ret_5d, f.ret_20d, f.ma5_gap, f.ma20_gap, f.vol_amount_5d, f.volatility_20d, f.vol_ma5_ratio AS volume_ratio,
+rx AS (SELECT q.*, CASE WHEN substr(q.code, 1, 3) IN ('688', '300') THEN 10.0::DOUBLE ELSE 6.5::DOUBLE END AS up, level, f.ret_3d, f.ret_5d, f.ret_10d, f.ret_20d, f.ma5_gap, f.ma20_gap, f.vol_amount_5d, f.volatility_20d, f.breakout_20d, f.vol_ma5_ratio AS volume_ratio,
   q.volume / 4 AS turnover_rate, q.pct_chg / 4 AS speed, f.ret_20d * 3 AS sixty, f.ret_20d * 5 AS ytd FROM quotes q JOIN factors f ON f.code = q.id AND f.trade_date = q.trade_date JOIN reg ON reg.trade_date = q.trade_date)"""
 _LOC = "CASE WHEN price > 0 AND high > low AND low > 0 THEN (price - low) / (high - low) ELSE 0.5 END"
 _NOX = "greatest(0, least(100, 86 - (CASE WHEN sixty > 45 THEN least(30, (sixty - 45) * 0.8::DOUBLE) ELSE 0 END + CASE WHEN ytd > 80 THEN least(35, (ytd - 80) * 0.6::DOUBLE) ELSE 0 END + CASE WHEN amplitude > 10 THEN 8 ELSE 0 END + CASE WHEN sixty < -20 THEN 16 ELSE 0 END)))"
@@ -130,6 +138,20 @@ def _tilt(v, key):
     return f"greatest(0, least(100, 50 + ({v} - 50) * {t}))"
 
 
+def _past(c, instead=None, lower=False):
+    def score(x):
+        return f"(CASE WHEN count(*) OVER t < 2 OR min({x}) OVER t = max({x}) OVER t THEN 50 ELSE 100 - {_p(x)} END)" if lower else _p(x)
+
+    return f"(CASE WHEN NOT ready THEN 50 WHEN max(abs({c})) OVER t > 1e-9 THEN {score(c)} ELSE {score(instead) if instead else 50} END)"
+
+
+def _by_level(v, on, off, balanced):
+    return f"greatest(0, least(100, 50 + ({v} - 50) * CASE level WHEN 'risk_on' THEN {on}::DOUBLE WHEN 'risk_off' THEN {off}::DOUBLE ELSE {balanced}::DOUBLE END))"
+
+
+_SWING_PENALTY = " + ".join(_pen(*x) for x in (("pct_chg", 7.0, 6.0, 2.0), ("volume_ratio", 5.5, 7.0, 2.0), ("turnover_rate", 18.0, 6.0, 1.0), ("volatility_20d", 7.0, 7.0, 1.4), ("ma5_gap", 18.0, 5.0, 0.45)))
+_SWING_BONUS = """CASE level WHEN 'risk_on' THEN CASE WHEN pct_chg > 0 THEN 1.8::DOUBLE ELSE 0 END + CASE WHEN volume_ratio BETWEEN 1.1 AND 4.5 THEN 1.6::DOUBLE ELSE 0 END + CASE WHEN turnover >= 1.2e5 THEN 1.2::DOUBLE ELSE 0 END - CASE WHEN amplitude > 11 THEN 1.5::DOUBLE ELSE 0 END
+  WHEN 'risk_off' THEN -(CASE WHEN sixty < -12 THEN 2.5::DOUBLE ELSE 0 END) ELSE CASE WHEN volume_ratio BETWEEN 1.0 AND 3.5 THEN 0.8::DOUBLE ELSE 0 END - CASE WHEN amplitude > 12 THEN 1.2::DOUBLE ELSE 0 END END"""
 _WIN = "SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(avg(value), 6) AS avg_price, round(avg(CASE WHEN value > 10 THEN 1.0::DOUBLE ELSE 0 END) * 100, 6) AS breadth_pct FROM {src} GROUP BY s"
 ORACLES = {
     "x7_step_scores": with_views(["factors", "quotes"], _RX + f"""
@@ -149,6 +171,18 @@ SELECT id, trade_date, round(loc, 6) AS location, CASE WHEN pct_chg <= 0 THEN 45
   {_p('turnover_rate')} * 0.45::DOUBLE + {_p('turnover')} * 0.55::DOUBLE AS liq FROM rx WINDOW t AS (PARTITION BY trade_date)),
 b AS (SELECT *, {_tilt('mom', 'momentum')} * 0.35::DOUBLE + {_tilt('liq', 'liquidity')} * 0.25::DOUBLE + 50 * 0.10::DOUBLE + 50 * 0.20::DOUBLE + {_tilt('greatest(0, 100 - pen * 3.2::DOUBLE)', 'quality')} * 0.10::DOUBLE AS base FROM c)
 SELECT id, trade_date, round(base, 6) AS base_score, round(greatest(0, least(100, (base - pen + {_BONUS}) * (0.6::DOUBLE + 0.4::DOUBLE * {_NOX} / 100))), 6) AS score FROM b"""),
+    "x5_swing_candidates": with_views(["factors", "quotes"], _RX + f"""
+, u AS (SELECT *, abs(ma20_gap) > 1e-12 AS ready FROM rx WHERE pct_chg <= 8 AND sixty <= 85 AND ytd <= 130 AND sixty >= -18),
+c AS (SELECT *, {_past('ret_5d', 'pct_chg')} * 0.24::DOUBLE + {_past('ret_10d', 'sixty')} * 0.22::DOUBLE + {_past('ma5_gap', 'pct_chg')} * 0.16::DOUBLE + {_past('vol_amount_5d', 'volume_ratio')} * 0.18::DOUBLE + {_past('breakout_20d')} * 0.08::DOUBLE + {_p('volume_ratio')} * 0.12::DOUBLE AS mom,
+  {_past('ret_20d', 'sixty')} * 0.30::DOUBLE + {_past('sixty')} * 0.26::DOUBLE + {_past('ma20_gap', 'sixty')} * 0.22::DOUBLE + {_past('ytd')} * 0.10::DOUBLE + {_past('volatility_20d', 'amplitude', True)} * 0.12::DOUBLE AS trend,
+  {_p('turnover')} * 0.62::DOUBLE + {_p('turnover_rate')} * 0.38::DOUBLE AS liq, CASE WHEN pct_chg <= 0 THEN 45.0::DOUBLE WHEN pct_chg <= up * 0.55::DOUBLE THEN 88 WHEN pct_chg <= up * 0.78::DOUBLE THEN 76 ELSE 58 END AS exe,
+  avg(CASE WHEN ready THEN 1.0::DOUBLE ELSE 0 END) OVER t < 0.3 AS degraded FROM u WINDOW t AS (PARTITION BY trade_date)),
+b AS (SELECT *, {_by_level('mom', 1.12, 0.82, 0.96)} * 0.30::DOUBLE + {_by_level('trend', 1.08, 0.94, 1.0)} * 0.25::DOUBLE + {_by_level('liq', 1.0, 1.08, 1.0)} * 0.20::DOUBLE + {_by_level('exe', 0.92, 1.16, 1.04)} * 0.15::DOUBLE + {_by_level(_NOX, 0.92, 1.16, 1.04)} * 0.10::DOUBLE AS base FROM c),
+s AS (SELECT *, round(greatest(0, least(100, (base - ({_SWING_PENALTY}) + {_SWING_BONUS}) * (0.6::DOUBLE + 0.4::DOUBLE * {_NOX} / 100))), 6) AS final FROM b),
+o AS (SELECT *, final >= 60 AND row_number() OVER (PARTITION BY trade_date, industry ORDER BY final DESC, id) <= 2 AS ok FROM s),
+q AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY ok DESC, final DESC, id) AS pos FROM o),
+z AS (SELECT *, ok AND pos <= CASE WHEN degraded THEN 8 ELSE 30 END AS shown FROM q)
+SELECT id, trade_date, round(mom, 6) AS momentum_score, round(trend, 6) AS trend_score, round(base, 6) AS base_score, final AS score, degraded, CASE WHEN shown THEN pos END AS place, CASE WHEN shown THEN CASE WHEN degraded THEN 'backup_watch' ELSE 'primary_watch' END END AS tier FROM z"""),
     "x11_ensemble": "WITH s AS (SELECT o_orderkey, (o_orderkey % 101)::DOUBLE AS a, CASE WHEN o_orderkey % 3 <> 0 THEN least(100, (o_custkey % 90))::DOUBLE ELSE 50 END AS b, 50.0::DOUBLE AS c, least(100, o_custkey % 130)::DOUBLE AS d, (o_orderkey % 7 * 10)::DOUBLE AS e FROM orders), t AS (SELECT *, least(100, a) AS a1 FROM s) SELECT o_orderkey, round(a1 * 0.35::DOUBLE + b * 0.25::DOUBLE + c * 0.20::DOUBLE + d * 0.10::DOUBLE + e * 0.10::DOUBLE, 6) AS ensemble_score, greatest(a1, b, c, d, e) - least(a1, b, c, d, e) AS dispersion, round(1 - (greatest(a1, b, c, d, e) - least(a1, b, c, d, e)) / 100, 6) AS agreement FROM t",
     "x12_merge_external": with_views(["signals"], """
 , m AS (SELECT strategy, signal_date, signal_id AS code, score, greatest(0, least(100, CASE WHEN signal_id % 3 = 0 THEN score * 0.75::DOUBLE + (100 - score) * 0.25::DOUBLE - least(30, code % 7 + signal_id % 40) ELSE score END)) AS f, signal_id % 3 = 0 AND signal_id % 5 = 0 AS veto FROM signals)
