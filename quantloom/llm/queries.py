@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from .crossent import cross_entropy_difference
 from .decontam import contaminated
+from .infill import fill_in_middle, restored
 from .langid import identify
 from .minmax import near_duplicates
 from .mixing import mixing_rates
+from .prefixtrie import prefix_trie
 from .ring import assign_shards
 from .suffix import repeated_passages
+from .tokencount import token_counts
 from .topk import top_k
 from .urls import judge_urls
 from .warc import round_trip
@@ -74,8 +77,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document under a public byte-level tokenizer."""
+    return token_counts(_read(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at two line boundaries and reordered; digests of the output and of the text rebuilt from it."""
+    cut, sha = fill_in_middle(_read(spark, sf_dir, "documents")), lambda c: F.sha2(c.cast("binary"), 256)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_warc, op2_language_id, op3_decontamination, op4_lm_scoring, op5_suffix_dedup, op6_topk, op7_minhash, op8_sharding, op9_mixing, op10_url_filter]
+    every = [op1_warc, op2_language_id, op3_decontamination, op4_lm_scoring, op5_suffix_dedup, op6_topk, op7_minhash, op8_sharding, op9_mixing, op10_url_filter, op11_token_counts, op12_fill_in_middle, op13_prefix_trie]
     return {f.__name__: f for f in every}
 
 
