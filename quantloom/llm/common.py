@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side of a join is broadcast only when its counted rows times its row width stay below this.
@@ -52,6 +52,12 @@ def reserved(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_key(text: str) -> Column:
+    """What tells a text from others without its id: two hashes and the length; null texts are one."""
+    t = F.col(text).cast("string")
+    return F.concat_ws(".", F.xxhash64(t), F.crc32(t.cast("binary")), F.octet_length(t))
+
+
 def words(text: str | None) -> list[bytes]:
     """A-Z lower-cased, then the maximal runs of bytes other than 20 and 09-0D (bytes.lower and bytes.split do just that)."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -186,7 +186,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, hot_pairs:
     Tokens are the vocabulary's pieces of the words, A-Z lower-cased. Losses are natural logarithms per token. Null texts
     and texts without words have 0 tokens and null losses. Without target documents the target model is uniform. Repeated
     ids in target_ids count once. Empty docs give an empty result. Other columns are not looked at. hot_pairs bounds what is
-    broadcast and changes no score. The vocabulary is read where this is called and sent to the tasks.
+    broadcast and changes no score. Ids pass through pandas as text. The vocabulary is read where this is called and sent to the tasks.
     """
     spark = docs.sparkSession
     ids = materialize(target_ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_target")).distinct(), "xent-target")
@@ -208,8 +208,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, hot_pairs:
     all_hot = len(hot) == sum(n for _, n in tiers)
     sent = spark.sparkContext.broadcast((hot["gram"].to_numpy(np.int64), hot[["l_t", "l_b"]].to_numpy(float), all_hot))
 
-    keyed = own.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    rows = keyed.mapInPandas(_score(file, sent), "doc_id long, key long, gram long, n long, s_t double, s_b double")
+    keyed = own.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    rows = keyed.mapInPandas(_score(file, sent), "doc_id string, key long, gram long, n long, s_t double, s_b double")
     if not all_hot:
         # A text's own row, with gram -1, finds nothing in the model; rows that are equal are summed and then dealt out again.
         cold = broadcast_if_small(model.where(~is_hot).select("gram", "l_t", "l_b"), 40)
@@ -219,4 +219,4 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, hot_pairs:
             *[F.sum(F.col(f"s_{s}") + F.coalesce(F.col("n") * F.col(f"l_{s}"), F.lit(0.0))).alias(f"s_{s}") for s in "tb"],
         ).select("doc_id", "n", *[(F.col(f"s_{s}") / F.col("times")).alias(f"s_{s}") for s in "tb"], F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
     loss = {s: F.when(F.col("n") > 0, -F.col(f"s_{s}") / F.col("n")) for s in "tb"}
-    return rows.select("doc_id", F.col("n").alias("n_tokens"), loss["t"].alias("loss_target"), loss["b"].alias("loss_background"), (loss["t"] - loss["b"]).alias("score"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n").alias("n_tokens"), loss["t"].alias("loss_target"), loss["b"].alias("loss_background"), (loss["t"] - loss["b"]).alias("score"))

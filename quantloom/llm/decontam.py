@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, reserved
+from .common import broadcast_if_small, materialize, reserved, text_key
 
 CONTAINMENT = 0.8
 MISS = 1e-6  # the largest chance that a pair at the threshold is not proposed
@@ -103,7 +103,9 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """docs without those in a pair of contaminated(); columns as given. Rows without doc_id stay."""
+    """docs without those whose text is in a pair of contaminated(); columns as given. Rows are judged by their texts, also those
+    without doc_id and those that repeat one; equal texts are looked at as one document."""
     key = reserved(docs, "bad")
-    bad = materialize(contaminated(docs, items, containment).select(F.col("doc_id").alias(key)).distinct(), "decontam-gone")
-    return docs.join(broadcast_if_small(bad, 16), F.col("doc_id") == F.col(key), "left_anti")
+    texts = docs.select(text_key("text").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bad = materialize(contaminated(texts, items, containment).select(F.col("doc_id").alias(key)).distinct(), "decontam-gone")
+    return docs.join(broadcast_if_small(bad, 64), text_key("text") == F.col(key), "left_anti")

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, reserved
+from .common import broadcast_if_small, materialize, reserved, text_key
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 TRAIN_DOCS = 400  # labelled documents of each language that the model is fitted on, about
@@ -278,8 +278,9 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, vocabulary_path: str =
 def predict(docs: DataFrame, languages: list[str], p: np.ndarray, vocabulary_path: str = VOCABULARY) -> DataFrame:
     """docs(doc_id, text) -> doc_id, lang_pred, score. score: the posterior under equal priors; ties to the smaller name.
 
-    A text that is null or has no letter (Unicode category L) is `und` with score 0, and so is every text if there is no
-    language to predict. The vocabulary is read where this is called and sent along with the model.
+    doc_id comes back as text, whatever its type: pandas would turn a batch of numbers with a null into doubles. A text that
+    is null or has no letter (Unicode category L) is `und` with score 0, and so is every text if there is no language to
+    predict. The vocabulary is read where this is called and sent along with the model.
     """
     model = docs.sparkSession.sparkContext.broadcast((load_vocabulary(vocabulary_path) if languages else {}, p.astype(np.float64)))
 
@@ -316,7 +317,7 @@ def predict(docs: DataFrame, languages: list[str], p: np.ndarray, vocabulary_pat
                 start = stop
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": names, "score": scores})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, lang_pred string, score double")
 
 
 def held_out() -> Column:
@@ -332,11 +333,18 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS, vocabulary_path: str
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     languages, p = train(own.where(~held_out() & F.col("doc_id").isNotNull()), train_docs, vocabulary_path)
-    return predict(own, languages, p, vocabulary_path).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(own, languages, p, vocabulary_path).select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "lang_pred", "score")
 
 
-def accept_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """docs whose language is identified with at least least_score; columns as given. Rows without doc_id go."""
-    bad, key = identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < least_score)), reserved(docs, "bad")
-    bad = materialize(bad.where("doc_id is not null").select(F.col("doc_id").alias(key)).distinct(), "langid-rejected")
-    return docs.where("doc_id is not null").join(broadcast_if_small(bad, 16), F.col("doc_id") == F.col(key), "left_anti")
+def accept_identified(docs: DataFrame, least_score: float = 0.5, train_docs: int = TRAIN_DOCS, vocabulary_path: str = VOCABULARY) -> DataFrame:
+    """docs whose language is identified with at least least_score; columns as given.
+
+    The language is a matter of the text alone, so rows go by their text: those that repeat a doc_id are judged one by one,
+    and those without doc_id stay if their text does. Null texts and texts without letters go. Empty docs stay empty.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    languages, p = train(own.where(~held_out() & F.col("doc_id").isNotNull()), train_docs, vocabulary_path)
+    named = predict(own.select(text_key("text").alias("doc_id"), "text"), languages, p, vocabulary_path)
+    key = reserved(docs, "bad")
+    bad = materialize(named.where((F.col("lang_pred") == "und") | (F.col("score") < least_score)).select(F.col("doc_id").alias(key)).distinct(), "langid-rejected")
+    return docs.join(broadcast_if_small(bad, 64), text_key("text") == F.col(key), "left_anti")

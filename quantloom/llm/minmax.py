@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, broadcast_if_small, materialize, mix, reserved, shingle_hashes, words
+from .common import U64, WordHashes, broadcast_if_small, materialize, mix, reserved, shingle_hashes, text_key, words
 from .components import connected_components
 
 PERMUTATIONS = 40  # hash evaluations for each shingle; twice as many signature values
@@ -46,6 +46,11 @@ def signature_bands(sets: list[np.ndarray], permutations: int = PERMUTATIONS, ba
     return key
 
 
+def set_digests(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Two 64-bit sums over each set; equal for equal sets."""
+    return tuple([int(mix(s ^ U64(salt)).sum(dtype=U64).view(np.int64)) if len(s) else 0 for s in sets] for salt in (0, 0x5851F42D4C957F2D))
+
+
 def _features(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -58,8 +63,7 @@ def _features(k: int):
                 bands = [np.empty(0, np.int64)] * len(sets)
                 for r, i in enumerate(full):
                     bands[i] = keys[r]
-                a = [int(mix(s).sum(dtype=U64).view(np.int64)) if len(s) else 0 for s in sets]
-                c = [int(mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64).view(np.int64)) if len(s) else 0 for s in sets]
+                a, c = set_digests(sets)
                 return pd.DataFrame({"doc_id": ids[upto - len(sets) : upto], "n_shingles": [len(s) for s in sets], "set_a": a, "set_b": c, "bands": bands})
 
             for n, text in enumerate(b["text"], 1):
@@ -78,7 +82,9 @@ def _sets(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "cluster": b["cluster"], "shingles": [np.unique(shingle_hashes(known.of(words(t)), k)).tobytes() for t in b["text"]]})
+            sets = [np.unique(shingle_hashes(known.of(words(t)), k)) for t in b["text"]]
+            a, c = set_digests(sets)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "set_a": a, "set_b": c, "n_shingles": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
     return run
 
@@ -152,8 +158,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle_words: int = 5)
     """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
     Links: 100 * intersection >= percent * union of distinct word shingles. Null texts and texts without words have an
-    empty set and stand alone, as do rows without doc_id (component_id null, kept true). Rows that repeat a doc_id fall
-    under one node and share its component. Other columns of docs are not looked at. Empty docs give an empty result.
+    empty set and stand alone, as do rows without doc_id (component_id null, kept true). Rows that repeat a doc_id are one
+    document with several texts: each text is compared, and their groups are one component. Other columns of docs are not looked at. Empty docs give an empty result.
     """
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -169,14 +175,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle_words: int = 5)
 
     # Members of clusters with the blocks that they fall into: one for a small cluster, else by size class and salt.
     log = float(np.log(100 / percent))
-    sized = clusters.join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node").select("node", F.col("label").alias("cluster"), "n_shingles", F.floor(F.log("n_shingles") / log + 1e-9).cast("int").alias("band"))
+    sized = clusters.join(classes.select(F.col("rep").alias("node"), *key), "node").select("node", F.col("label").alias("cluster"), *key, F.floor(F.log("n_shingles") / log + 1e-9).cast("int").alias("band"))
     load = sized.groupBy("cluster", "band").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
     total = load.groupBy("cluster").agg(F.sum("docs").alias("all_docs"), F.sum("shingles").alias("all_shingles"), F.map_from_entries(F.collect_list(F.struct("band", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")))).alias("blocks"))
     small = (F.col("all_docs") <= BLOCK_DOCS) & (F.col("all_shingles") <= BLOCK_SHINGLES)
     members = sized.join(total, "cluster")
     mine = F.coalesce(F.col("blocks")[F.col("band")], F.lit(1))
     salt = F.pmod(F.xxhash64("node", F.lit(7)), mine).cast("int")
-    members = members.select("node", "cluster", "band", "blocks", salt.alias("salt"), small.alias("small"))
+    members = members.select("node", *key, "cluster", "band", "blocks", salt.alias("salt"), small.alias("small"))
 
     def cell(a, i, b, j):
         return F.concat_ws(".", "cluster", a, i, b, j)
@@ -188,16 +194,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle_words: int = 5)
     above = F.transform(up_to(F.coalesce(F.col("blocks")[F.col("band") + 1], F.lit(0))), lambda j: F.struct(cell(F.col("band"), F.col("salt"), F.col("band") + 1, j).alias("unit"), F.lit(0).alias("side")))
     below = F.transform(up_to(F.coalesce(F.col("blocks")[F.col("band") - 1], F.lit(0))), lambda j: F.struct(cell(F.col("band") - 1, j, F.col("band"), F.col("salt")).alias("unit"), F.lit(1).alias("side")))
     units = F.when(F.col("small"), F.array(F.struct(F.col("cluster").cast("string").alias("unit"), F.lit(0).alias("side")))).otherwise(F.concat(own, above, below))
-    placed = materialize(members.select(F.col("node").alias("rep"), "cluster", units.alias("units")), "minmax-units")
+    placed = materialize(members.select(F.col("node").alias("doc_id"), *key, units.alias("units")), "minmax-units")
 
-    wanted = placed.select(F.col("rep").alias("doc_id"), F.col("cluster"), "units")
-    n_wanted = wanted.count()
-    texts = src.join(broadcast_if_small(wanted.select("doc_id", "cluster"), 32, n_wanted), "doc_id").select("doc_id", "cluster", "text")
-    sets = texts.mapInPandas(_sets(shingle_words), "doc_id long, cluster long, shingles binary").dropDuplicates(["doc_id"])
-    work = sets.join(wanted.select("doc_id", "units"), "doc_id").select("doc_id", "shingles", F.explode("units").alias("u")).select("doc_id", "shingles", F.col("u.unit").alias("unit"), F.col("u.side").alias("side"))
+    # A representative's id may stand before several texts: the one of the class is told by its set.
+    texts = src.join(broadcast_if_small(placed.select("doc_id").distinct(), 16, placed.count()), "doc_id").select("doc_id", "text")
+    sets = texts.mapInPandas(_sets(shingle_words), "doc_id long, set_a long, set_b long, n_shingles long, shingles binary").dropDuplicates(["doc_id", *key])
+    work = sets.join(placed, ["doc_id", *key]).select("doc_id", "shingles", F.explode("units").alias("u")).select("doc_id", "shingles", F.col("u.unit").alias("unit"), F.col("u.side").alias("side"))
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     links = work.repartition(parts, "unit").sortWithinPartitions("unit").mapInPandas(_confirm(percent), "src long, dst long")
-    groups = connected_components(links, "minmax-links")
+    # Texts of one doc_id that are in several classes tie these together.
+    twice = broadcast_if_small(materialize(full.groupBy("doc_id").count().where("count > 1").select("doc_id"), "minmax-twice"), 16)
+    texts_of = materialize(full.join(twice, "doc_id").join(classes.select(*key, "rep"), key).select("doc_id", "rep").distinct(), "minmax-namesakes")
+    tied = texts_of.join(texts_of.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id").where("rep <> least").select(F.col("rep").alias("src"), F.col("least").alias("dst"))
+    groups = connected_components(links.unionByName(tied), "minmax-links")
 
     named = classes.select(*key, "rep").join(groups.select(F.col("node").alias("rep"), "label"), "rep", "left").select(*key, F.coalesce("label", "rep").alias("component_id"))
     linked = full.select("doc_id", *key).join(named, key).select("doc_id", "n_shingles", "component_id")
@@ -208,16 +217,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle_words: int = 5)
 
 
 def keep_one_of_each_group(docs: DataFrame, percent: int = 80, shingle_words: int = 5) -> DataFrame:
-    """docs without the near-duplicates: of each component the row with the smallest doc_id stays. Columns as given. Of rows that
-    repeat a doc_id and its text one stays, settled by a hash of the row; rows without doc_id stay all."""
-    result, key = near_duplicates(docs, percent, shingle_words), reserved(docs, "gone")
-    gone = materialize(result.where("not kept").select(F.col("doc_id").alias(key)).distinct(), "minmax-gone")
-    left = docs.join(broadcast_if_small(gone, 16), F.col("doc_id") == F.col(key), "left_anti")
-    twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).count().where("count > 1").select(key)
-    twice = materialize(twice, "minmax-twice")
+    """docs without the near-duplicates: of each component the row with the smallest doc_id stays. Columns as given.
+
+    Rows that repeat a doc_id with another text are documents of their own here, so that none goes for its namesake's
+    sake; in the order of ids they stand behind all others (but for one text of each id). Of rows that repeat a doc_id and
+    its text one stays, settled by a hash of the row; rows without doc_id stay all. Empty docs stay empty.
+    """
+    key, node = reserved(docs, "gone"), reserved(docs, "node")
+    twice = materialize(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias(node)).count().where("count > 1").select(F.col(node).alias(f"{key}_i")), "minmax-repeated")
     if not twice.limit(1).count():
-        return left
-    twice = broadcast_if_small(twice, 16)
+        gone = near_duplicates(docs, percent, shingle_words).where("not kept").select(F.col("doc_id").alias(key)).distinct()
+        return docs.join(broadcast_if_small(materialize(gone, "minmax-gone"), 16), F.col("doc_id") == F.col(key), "left_anti")
+    twice, text = broadcast_if_small(twice, 16), reserved(docs, "text_key")
+    docs_t = docs.withColumn(text, text_key("text"))
+    texts = docs_t.join(twice, F.col("doc_id") == F.col(f"{key}_i"), "left_semi").select(F.col("doc_id").cast("long").alias("i"), F.col(text).alias("t")).distinct()
+    texts = materialize(texts, "minmax-repeated-texts")
+    more = texts.join(texts.groupBy("i").agg(F.min("t").alias("first")), "i").where("t <> first")
+    more = materialize(more.select(F.col("i").alias(key), F.col("t").alias(f"{key}_t"), (F.lit(1 << 62) + F.monotonically_increasing_id()).alias(f"{key}_n")), "minmax-surrogates")
+    named = docs_t.join(broadcast_if_small(more, 96), (F.col("doc_id") == F.col(key)) & (F.col(text) == F.col(f"{key}_t")), "left")
+    named = named.withColumn(node, F.coalesce(f"{key}_n", F.col("doc_id").cast("long"))).drop(key, f"{key}_t", f"{key}_n")
+    gone = near_duplicates(named.select(F.col(node).alias("doc_id"), "text"), percent, shingle_words).where("not kept").select(F.col("doc_id").alias(key)).distinct()
+    left = named.join(broadcast_if_small(materialize(gone, "minmax-gone"), 16), F.col(node) == F.col(key), "left_anti")
     every, plain = [F.col(f"`{c}`") for c in docs.columns], [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    again = left.join(twice, F.col("doc_id") == F.col(key), "left_semi").groupBy(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h")).agg(F.min_by(F.struct(*every), F.xxhash64(*plain)).alias("row"))
-    return left.join(twice, F.col("doc_id") == F.col(key), "left_anti").unionByName(again.select("row.*"))
+    again = left.join(twice, F.col("doc_id") == F.col(f"{key}_i"), "left_semi").groupBy(node, text).agg(F.min_by(F.struct(*every), F.xxhash64(*plain)).alias("row"))
+    return left.join(twice, F.col("doc_id") == F.col(f"{key}_i"), "left_anti").select(*every).unionByName(again.select("row.*"))

@@ -150,8 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
 
 
 def posteriors(docs: DataFrame, domains: list[str], features: np.ndarray, weights: np.ndarray) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_tokens, p: array of posteriors in the order of domains; texts without words get the
-    posteriors of the bias."""
+    """docs(doc_id, text) -> doc_id as text (pandas would turn a batch of numbers with a null into doubles), n_tokens, p: array of
+    posteriors in the order of domains; texts without words get the posteriors of the bias."""
     model = docs.sparkSession.sparkContext.broadcast((features, weights))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,7 +167,7 @@ def posteriors(docs: DataFrame, domains: list[str], features: np.ndarray, weight
                 p.append(e / e.sum() if len(e) else e)
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": n, "p": p})
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_tokens long, p array<double>")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id string, n_tokens long, p array<double>")
 
 
 def rates_at(p: np.ndarray, price: np.ndarray) -> np.ndarray:
@@ -244,7 +244,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     domains, features, weights = train(own, labels, train_docs)
     if not domains:
         empty = [F.lit(None).cast("double").alias(f"p_{d}") for d in sorted(targets)]
-        return posteriors(own, [], features, weights).select("doc_id", "n_tokens", *empty, F.lit(1.0).alias("rate"))
+        return posteriors(own, [], features, weights).select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", *empty, F.lit(1.0).alias("rate"))
     goal = np.array([targets.get(d, 0.0) for d in domains])
     goal = goal / goal.sum() if goal.sum() else np.full(len(domains), 1 / len(domains))
     table = materialize(posteriors(own, domains, features, weights), "mixing-posteriors")
@@ -254,8 +254,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
         for b in batches:
             yield b.assign(rate=rates_at(_stack(b["p"]), price) if len(b) else [])
 
-    out = table.mapInPandas(run, "doc_id long, n_tokens long, p array<double>, rate double")
-    return out.select("doc_id", "n_tokens", *[(F.col("p")[domains.index(d)] if d in domains else F.lit(None).cast("double")).alias(f"p_{d}") for d in sorted(targets)], "rate")
+    out = table.mapInPandas(run, "doc_id string, n_tokens long, p array<double>, rate double")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", *[(F.col("p")[domains.index(d)] if d in domains else F.lit(None).cast("double")).alias(f"p_{d}") for d in sorted(targets)], "rate")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:

@@ -46,16 +46,11 @@ def _header(**fields) -> str:
     return "\r\n".join(["WARC/1.1", *(f"{k.replace('_', '-')}: {v}" for k, v in fields.items() if v is not None)]) + "\r\n\r\n"
 
 
-def _number(x) -> int | None:
-    return None if pd.isna(x) else int(x)
-
-
 def _records(chunk_bytes: int, date: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out, held = [], 0
             for page, url, payload, size, digest, response in zip(b["page_id"], b["url"], b["payload"], b["payload_bytes"], b["payload_digest"], b["response_id"], strict=True):
-                page, response = _number(page), _number(response)
                 uri = None if not isinstance(url, str) else "".join(c for c in url if c >= " ")
                 same = {"WARC_Date": date, "WARC_Target_URI": uri, "WARC_Payload_Digest": f"sha1:{digest}", "X_Page_Id": page, "X_Payload_Length": int(size)}
                 if response != page:
@@ -87,12 +82,13 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, chunk_byte
     Of records with equal payloads of at least least_bytes, the one with the smallest page_id is a response and the
     others are revisits of it; shorter payloads are responses all. Rows that repeat a page_id and its payload are written
     alike, each of them; a null page_id is written without identifier and revisits if it can. Other columns are ignored.
+    Identifiers pass through Python as decimal text, for pandas would turn a batch with a null into doubles.
     """
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    shape = "page_id long, url string, payload binary, payload_bytes long, payload_digest string"
+    own = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    shape = "page_id string, url string, payload binary, payload_bytes long, payload_digest string"
     named = own.mapInPandas(_digests, shape)
     heads = own.drop("url").withColumn("url", F.lit(None).cast("string")).select("page_id", "url", "payload").mapInPandas(_digests, shape)
-    heads = heads.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("response_id"))
+    heads = heads.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min(F.col("page_id").cast("long")).cast("string").alias("response_id"))
     # Written first: a join right above an aggregation has no shuffle of its own that Spark could split at a hot payload.
     ruled = named.join(materialize(heads, "warc-heads"), ["payload_digest", "payload_bytes"], "left")
     # The text of a revisit is not needed any more.
@@ -149,8 +145,7 @@ def _read(chunk_bytes: int):
             digest = base32_sha1(sha.digest()) if whole else sha.hexdigest()
             if whole and (f"sha1:{digest}" != origin["warc-payload-digest"] or body != int(origin["x-payload-length"])):
                 raise ValueError(f"record {origin['warc-record-id']}: its payload is not the one that was written")
-            page = origin.get("x-page-id")
-            return page and int(page), "response", None, chunk, data, whole, body, digest
+            return origin.get("x-page-id"), "response", None, chunk, data, whole, body, digest
 
         for b in batches:
             out = []
@@ -158,8 +153,7 @@ def _read(chunk_bytes: int):
                 for h, piece, last in reader.feed(bytes(value) + _END):
                     kind = h["warc-type"]
                     if kind == "revisit":
-                        page, first = h.get("x-page-id"), h.get("x-refers-to-page")
-                        out.append((page and int(page), "revisit", first and int(first), 1, b"", True, int(h["x-payload-length"]), h["warc-payload-digest"][5:]))
+                        out.append((h.get("x-page-id"), "revisit", h.get("x-refers-to-page"), 1, b"", True, int(h["x-payload-length"]), h["warc-payload-digest"][5:]))
                         continue
                     if kind == "response" and origin is not h:
                         sha, origin, chunk, body, http, rest = hashlib.sha1(), h, 0, 0, b"", bytearray()
@@ -177,9 +171,7 @@ def _read(chunk_bytes: int):
                         out.append(row(bytes(rest), True))
                         rest = bytearray()
             if out:
-                rows = pd.DataFrame(out, columns=["page_id", "record_type", "refers_to", "chunk_no", "chunk", "complete", "bytes_so_far", "digest_so_far"])
-                rows["page_id"], rows["refers_to"] = rows["page_id"].astype("Int64"), rows["refers_to"].astype("Int64")
-                yield rows
+                yield pd.DataFrame(out, columns=["page_id", "record_type", "refers_to", "chunk_no", "chunk", "complete", "bytes_so_far", "digest_so_far"])
         if reader.headers is not None or bytes(reader.buffer).strip() or rest:
             raise ValueError("the archive ends within a record")
 
@@ -191,7 +183,8 @@ def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES)
     bytes_so_far, digest_so_far (hexadecimal state; of a complete record its base32 SHA-1). A revisit has one empty chunk
     with the figures of the payload that it refers to."""
     pieces = spark.read.option("lineSep", _END.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
-    return pieces.mapInPandas(_read(chunk_bytes), "page_id long, record_type string, refers_to long, chunk_no long, chunk binary, complete boolean, bytes_so_far long, digest_so_far string")
+    rows = pieces.mapInPandas(_read(chunk_bytes), "page_id string, record_type string, refers_to string, chunk_no long, chunk binary, complete boolean, bytes_so_far long, digest_so_far string")
+    return rows.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -85,4 +85,4 @@ def test_stages_on_planted_cases(spark):
 
 def test_registered():
     q = queries()
-    assert sorted(int(k[2:].split("_")[0]) for k in q) == list(range(1, 11)) and set(oracle_sql()) <= set(q)
+    assert sorted(int(k[2:].split("_")[0]) for k in q) == list(range(1, 14)) and set(oracle_sql()) <= set(q)
