@@ -21,17 +21,17 @@ def linear_signal(weights: dict[str, float] | None = None) -> Column:
     return out
 
 
-def trades(bars: DataFrame, holding_days: int = 3, lookback: int = 30, costs: CostPolicy = CostPolicy(), weights: dict[str, float] | None = None) -> DataFrame:
+def trades(bars: DataFrame, holding_days: int = 3, lookback: int = 30, costs: CostPolicy = CostPolicy(), weights: dict[str, float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each code and date with `lookback` bars before and holding_days after: signal, gross and net return to term.
 
-    The close at the exit is a lead over the factors' own window: no further shuffle.
+    The close at the exit is a lead over the factors' own window: no further shuffle. keep: factor columns to carry along.
     """
     w = Window.partitionBy("code").orderBy("trade_date")
     ahead = bars.withColumn("_exit", F.lead("close", holding_days).over(w)).withColumn("_exit_date", F.lead("trade_date", holding_days).over(w))
     f = with_factors(ahead, lookback=lookback).where((F.col("bar_no") > lookback) & (F.col("_exit") > 0))
     gross = (F.col("_exit") / F.col("close") - 1) * 100
     cost = costs.fee_pct + slippage_pct(F.col("turnover"), costs)
-    return f.select("code", "trade_date", F.col("_exit_date").alias("exit_date"), linear_signal(weights).alias("signal"), F.col("close").alias("entry_price"), gross.alias("gross_return"), cost.alias("cost_pct"), (gross - cost).alias("net_return"))
+    return f.select("code", "trade_date", F.col("_exit_date").alias("exit_date"), linear_signal(weights).alias("signal"), F.col("close").alias("entry_price"), gross.alias("gross_return"), cost.alias("cost_pct"), (gross - cost).alias("net_return"), *keep)
 
 
 def daily_top_k(rows: DataFrame, k: int = 10, by: str = "trade_date", score: str = "signal") -> DataFrame:
