@@ -115,11 +115,14 @@ def round_robin(df: DataFrame, by: list[str], theme: str, order: list, limit: in
     return top_by_score(d, by, [F.col("_seat"), F.col("_first")], limit).drop("_rank", "_seat", "_first")
 
 
-def two_caps(df: DataFrame, by: list[str], order: list[str], theme: str, industry: str, theme_cap: int, industry_cap: int) -> DataFrame:
+def two_caps(df: DataFrame, by: list[str], order: list[str], theme: str, industry: str, theme_cap: int, industry_cap: int, limit: int | None = None) -> DataFrame:
     """Greedy in falling order: a row is skipped if its theme is full, else if its industry is; skipped rows fill neither.
 
-    What a row does depends on all before it, so a group is folded once, in order, over an array with two maps as state.
+    What a row does depends on all before it, so a group is folded once, in order, over an array with two maps as state. Only
+    the first min(caps) rows of each pair of theme and industry go into it: a later one could be taken only if all of these
+    were, and then one of its keys is full. So the array grows with the pairs, not with the rows. limit: rows kept at most.
     """
+    df, every = df.withColumn("_seat", F.row_number().over(Window.partitionBy(*by, theme, industry).orderBy(*order))).where(F.col("_seat") <= min(theme_cap, industry_cap)).drop("_seat"), df
     keys = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in order], F.col(theme).alias("_t"), F.col(industry).alias("_i"))))
     state = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("t"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("i"), F.array().cast("array<string>").alias("kept"))
 
@@ -133,4 +136,5 @@ def two_caps(df: DataFrame, by: list[str], order: list[str], theme: str, industr
 
     g = df.groupBy(*by).agg(keys.alias("_rows")).withColumn("_kept", F.aggregate("_rows", state, step)["kept"])
     kept = g.select(*by, F.posexplode("_kept").alias("_at", "_id")).select(*by, (F.col("_at") + 1).cast("bigint").alias("place"), "_id")
-    return df.withColumn("_id", F.col(order[-1]).cast("string")).join(kept, [*by, "_id"]).drop("_id")
+    kept = kept.where(F.col("place") <= limit) if limit is not None else kept
+    return every.withColumn("_id", F.col(order[-1]).cast("string")).join(kept, [*by, "_id"]).drop("_id")

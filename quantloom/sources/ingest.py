@@ -15,6 +15,8 @@ ALIASES = {
 }
 TEXT = ("code", "name")
 
+SNAPSHOT_RANGE = 1024  # ids of a leaf
+
 
 def conform(df: DataFrame, aliases: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Raw columns -> canonical ones: the first alias that is there and not blank; numbers cleaned, absent ones 0."""
@@ -114,9 +116,16 @@ def snapshot_rows(quotes: DataFrame, snapshot_id: str) -> DataFrame:
 
 
 def snapshot_hash(quotes: DataFrame) -> DataFrame:
-    """SHA-256 of each date's rows in code order: an immutable snapshot's content."""
-    row = F.sha2(F.concat_ws("|", "code", F.format_number("price", 2), F.format_number("turnover", 2)), 256)
-    return quotes.groupBy("trade_date").agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("code", "id", row.alias("h")))), lambda x: x["h"])), 256).alias("content_hash"), F.count("*").alias("rows"))
+    """SHA-256 of each date's rows: an immutable snapshot's content, as a tree of hashes.
+
+    Rows go to ranges of SNAPSHOT_RANGE ids, in the order of id, ranges to their date: neither is one row for a whole date.
+    """
+    def joined(*of: str) -> Column:
+        return F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct(*of))), lambda x: x[of[-1]])), 256)
+
+    row = F.sha2(F.concat_ws("|", "code", *[F.coalesce(F.col(c).cast("decimal(18,2)").cast("string"), F.lit("")) for c in ("price", "turnover")]), 256)
+    leaves = quotes.select("trade_date", "id", F.floor(F.col("id") / SNAPSHOT_RANGE).alias("range"), row.alias("h")).groupBy("trade_date", "range").agg(joined("id", "h").alias("h"), F.count("*").alias("n"))
+    return leaves.groupBy("trade_date").agg(joined("range", "h").alias("content_hash"), F.sum("n").alias("rows"))
 
 
 def prune(parents: DataFrame, children: DataFrame, group: str, allowed: list[str], key: str) -> tuple[DataFrame, DataFrame]:

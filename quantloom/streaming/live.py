@@ -98,12 +98,19 @@ def hysteresis(keep: int = 10, buffer: int = 20) -> Callable:
 
 
 def stable_top(ranked: DataFrame, keep: int = 10, buffer: int = 20) -> DataFrame:
-    """Stream of (horizon, round, code, place) -> members after each round: horizon, round, code, streak, is_new."""
+    """Stream of (horizon, round, code, place) -> members after each round: horizon, round, code, streak, is_new. A round must come
+    whole in one batch; rows beyond the first `buffer` places are dropped before the shuffle."""
+    ranked = ranked.where(F.col("place") <= max(keep, buffer))
     return ranked.groupBy("horizon").applyInPandasWithState(hysteresis(keep, buffer), "horizon string, round long, code long, streak long, is_new boolean", "codes array<long>, streaks array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def stable_top_batch(ranked: DataFrame, keep: int = 10, buffer: int = 20) -> DataFrame:
-    """The same over a finished table: one group a horizon, rounds in order."""
+    """The same over a finished table: one group a horizon, rounds in order.
+
+    No row beyond the first `buffer` places of a round matters: members stay only within these, and those that fill up to
+    keep <= buffer come from the first `keep`. So a group has `buffer` rows a round.
+    """
+    ranked = ranked.where(F.col("place") <= max(keep, buffer))
 
     class Fresh:
         exists = False
@@ -119,19 +126,56 @@ def stable_top_batch(ranked: DataFrame, keep: int = 10, buffer: int = 20) -> Dat
     return ranked.groupBy("horizon").applyInPandas(run, "horizon string, round long, code long, streak long, is_new boolean")
 
 
-def label_as_bars_come(bars: DataFrame, signals: DataFrame, label: Callable[[DataFrame, DataFrame], DataFrame], path: str) -> DataFrame:
-    """A stream of new bars labels pending signals batch by batch; a signal that has a label is not labelled again."""
-    spark = bars.sparkSession
+LABEL = "signal_id long, code long, entry_price double, labelled_on date, return_1d double, return_3d double, return_5d double, max_gain double, max_drawdown double"
+_PENDING = "last double, ids array<long>, entries array<double>, bars array<long>, r1 array<double>, r3 array<double>, highs array<double>, lows array<double>"
 
-    def work(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/bars/batch={n}")
-        have = spark.read.parquet(f"{path}/bars").drop("batch")
-        out = label(signals, have)
-        done = [spark.read.schema(out.schema).parquet(f"{path}/labels/batch={i}").select("signal_id") for i in range(n)]
-        for d in done:
-            out = out.join(d, "signal_id", "left_anti")
-        out.write.mode("overwrite").parquet(f"{path}/labels/batch={n}")
 
-    q = bars.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(work).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{path}/labels").drop("batch")
+def labelling(days: int = 5) -> Callable:
+    """State update of one code: its last close and its pending signals, each with the bars it has seen so far."""
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, *held = state.get if state.exists else (None, *([] for _ in range(7)))
+        pending = {s: [e, n, r1, r3, h, lo] for s, e, n, r1, r3, h, lo in zip(*held, strict=True)}
+        rows, out = pd.concat(list(batches)).sort_values(["day", "is_signal", "signal_id"], na_position="first"), []
+        for day, is_signal, signal, high, low, close in rows[["day", "is_signal", "signal_id", "high", "low", "close"]].itertuples(index=False):
+            if is_signal:
+                if last is not None:
+                    pending[int(signal)] = [last, 0, 0.0, 0.0, float("-inf"), float("inf")]
+                continue
+            last = float(close)
+            for s in list(pending):
+                p = pending[s]
+                p[1] += 1
+                gain = (last / p[0] - 1) * 100
+                p[2], p[3] = gain if p[1] == 1 else p[2], gain if p[1] == 3 else p[3]
+                p[4], p[5] = max(p[4], float(high)), min(p[5], float(low))
+                if p[1] == days:
+                    out.append((s, key[0], p[0], day, p[2], p[3], gain, (p[4] / p[0] - 1) * 100, (p[5] / p[0] - 1) * 100))
+                    del pending[s]
+        cols = list(zip(*pending.values(), strict=True)) if pending else [()] * 6
+        state.update((last, list(pending), *map(list, cols)))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in LABEL.split(", ")])
+
+    return update
+
+
+def label_as_bars_come(feed: DataFrame) -> DataFrame:
+    """A stream of (code, day, is_signal, signal_id, high, low, close), bars and signals in one -> a label for each signal, once, on its
+    fifth bar: returns from the last close at or before the signal, best and worst price.
+
+    Days must not go back from batch to batch. A code's state is its last close and its pending signals, so nothing is read
+    again and the plan is the same for every batch.
+    """
+    return feed.groupBy("code").applyInPandasWithState(labelling(), LABEL, _PENDING, "append", GroupStateTimeout.NoTimeout)
+
+
+def resume(stream: DataFrame, path: str) -> DataFrame:
+    """Run an append stream over what is new since its last run under `path` and return all its rows so far.
+
+    A batch is written under its own number: one that broke off is replaced when it runs again, none is there twice.
+    """
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
+
+    stream.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows").select(*stream.columns)
