@@ -9,19 +9,21 @@ of each domain, sum of r * tokens * posterior, meet target weights times the col
     1/2 sum_i (tokens_i / N) (r_i - 1)^2  +  1/2 sum_d ((E_d(r) - T_d) / N)^2 / slack_d      over r >= 0
 
 where slack_d goes with the square of the domain's share (at most MOST_SLACK), so that a rare domain counts by the part of it that is too
-much or too little, as a common one does. Projected gradient: the least squares' gradient at document i is p_i . g, with one
-g for each domain, so every iterate is a projection r_i = max(0, 1 - p_i . price), with prices that gather the g of the rounds,
-and no rate is stored. Plain steps would take thousands of rounds where domains are rare; a step is scaled by the domains'
-curvature (domains x domains), and its length is searched. A round is one Spark job that tries some lengths and adds up E and
-the curvature over all documents; what goes through the driver is a few numbers for each domain. It ends when every
-domain is within TOLERANCE of its target, relative to its share or target, whichever is larger; the slack is lowered
-until that is so. Where posteriors are soft on every document, only rates of 0 nearly everywhere and of hundreds for a
-few would get there: the slack is lowered only while the mean square of the rates stays below SPREAD times what the
-targets need with sure posteriors, and fit_prices returns what is left.
+much or too little, as a common one does. Projected gradient on the rates: with u_d = (E_d - T_d) / N / slack_d, a step takes
+every r_i to max(0, r_i - length * (r_i - 1 + p_i . u)). A rate is what the steps so far make of 1, so a step is its length
+and one u for each domain, no rate is stored, and a task makes a document's rate anew from the list of steps. Lengths are
+spectral (Barzilai and Borwein's), some multiples of it tried in the same job; an objective that rises above the last few
+is not accepted. A round is one Spark job that adds up E and three squares over all documents; what goes through the
+driver is a few numbers for each length. The slack is lowered, from where the rates are, until every domain is within
+TOLERANCE of its target, relative to its share or target, whichever is larger. Where posteriors are soft on every document,
+only rates of 0 nearly everywhere and of hundreds for a few would get there: the slack is lowered only while the mean square
+of the rates stays below SPREAD times what the targets need with sure posteriors. What is then left is returned, flagged in
+the rows and warned of.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -39,12 +41,13 @@ DOMAIN_DOCS = 200  # of each domain at least, about, or all that there are
 LEAST_Z = 6.0  # of a feature's number in some domain of the sample, in standard deviations from what chance gives
 LEAST_DOCS = 3  # that hold a feature
 EPOCHS, RATE, DECAY = 200, 0.2, 1e-4
-ROUNDS = 30
+ROUNDS = 60
 TOLERANCE = 0.02
-SLACKS = (1.0, 0.3, 0.1, 0.03, 0.01, 1e-3, 1e-4)  # times the square of a domain's share
+SLACKS = (1.0, 0.1, 0.01, 1e-3, 1e-4)  # times the square of a domain's share
 MOST_SLACK = 0.02  # of any domain
 SPREAD = 2.0
-STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001)
+MULTIPLES = (1.0, 0.3, 0.1, 0.03, 3.0, 10.0)  # of the spectral length, tried in one job
+MEMORY, SETTLED = 6, 1e-5  # objectives that a new one is held against; relative change of the last four that ends a slack
 TARGETS = {"clean": 0.90, "low": 0.10, "toxic": 0.0}
 AROUND = b".,;:!?\"'()[]{}<>|*#$%&"  # set apart from a word
 BEGINNINGS = (4, 6, 8)  # bytes
@@ -170,60 +173,72 @@ def posteriors(docs: DataFrame, domains: list[str], features: np.ndarray, weight
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id string, n_tokens long, p array<double>")
 
 
-def rates_at(p: np.ndarray, price: np.ndarray) -> np.ndarray:
-    """The rates at these prices of the domains."""
-    return np.maximum(0.0, 1 - p @ price)
+def rates_after(p: np.ndarray, steps: list[tuple[float, np.ndarray]]) -> np.ndarray:
+    """What projected-gradient steps (length, u) make of rates of 1."""
+    r = np.ones(len(p))
+    for length, u in steps:
+        r = np.maximum(0.0, r - length * (r - 1 + p @ u))
+    return r
 
 
-def fit_prices(table: DataFrame, targets: np.ndarray, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
-    """table(n_tokens, p) -> the prices, which determine every document's rate, and what is left of each domain's share less
-    its target, relative to the larger of the two. rounds: of one slack at most."""
+def fit_rates(table: DataFrame, targets: np.ndarray, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[list[tuple[float, np.ndarray]], np.ndarray]:
+    """table(n_tokens, p) -> the steps, which determine every document's rate, and what is left of each domain's share less its
+    target, relative to the larger of the two. rounds: of one slack at most."""
     k = len(targets)
     total = table.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
     if not total:
-        return np.zeros(k), np.zeros(k)
+        return [], np.zeros(k)
+    width = 3 + k
 
-    def sums(prices: list[np.ndarray]) -> list[tuple[float, float, np.ndarray, np.ndarray]]:
-        """At each of the prices: the dual's sum over documents, the rates' mean square, E, and the curvature."""
+    def sums(steps: list, u: np.ndarray, lengths: list[float]) -> np.ndarray:
+        """For each length of a next step: the rates' squared distance from 1, mean square, squared way, and E."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out = np.zeros((len(prices), 2 + k + k * k))
+            out = np.zeros((len(lengths), width))
             for b in batches:
                 if len(b):
                     p, w = _stack(b["p"]), b["n_tokens"].to_numpy(float) / total
-                    for i, price in enumerate(prices):
-                        r, on = rates_at(p, price), p @ price < 1
-                        out[i] += np.concatenate([[w @ (0.5 * (r - 1) ** 2 + r * (p @ price)), w @ r**2], (w * r) @ p, ((p * (w * on)[:, None]).T @ p).ravel()])
-            yield pd.DataFrame({"at": np.arange(out.size), "v": out.ravel()})
-
-        v = np.array([x["v"] for x in table.select("n_tokens", "p").mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).sort("at").collect()])
-        return [(x[0], x[1], x[2 : 2 + k], x[2 + k :].reshape(k, k)) for x in v.reshape(len(prices), -1)]
-
-    price = np.zeros(k)
-    value, square, e, curve = sums([price])[0]
+                    r = rates_after(p, steps)
+                    slope = r - 1 + p @ u
+                    for i, length in enumerate(lengths):
+                        q = np.maximum(0.0, r - length * slope)
+                        out[i] += np.concatenate([[w @ (q - 1) ** 2, w @ q**2, w @ (q - r) ** 2], (w * q) @ p])
+            yield pd.DataFrame([out.ravel()], columns=names)
+
+        names = [f"v{i}" for i in range(len(lengths) * width)]
+        rows = table.select("n_tokens", "p").mapInPandas(run, ", ".join(f"{c} double" for c in names))
+        return np.array(rows.agg(*[F.sum(c).alias(c) for c in names]).first(), float).reshape(len(lengths), width)
+
+    steps: list[tuple[float, np.ndarray]] = []
+    square, spread, _, *e = sums(steps, np.zeros(k), [0.0])[0]
+    e = np.array(e)
     most = SPREAD * max(1.0, (targets**2 / np.maximum(e, 1e-12)).sum())
-    kept = price, e
-    scale = np.maximum(np.maximum(e, targets), 1e-12)  # at price 0 every rate is 1, and e the shares
+    scale = np.maximum(np.maximum(e, targets), 1e-12)  # every rate is 1 here, and e the shares
+    shares, kept = e, (0, e)
     for slack in SLACKS:
         soft = np.minimum(MOST_SLACK, slack * scale**2)
+        u, seen = (e - targets) / soft, [0.5 * square + 0.5 * ((e - targets) ** 2 / soft).sum()]
+        length = 1 / (1 + (shares / soft).sum())  # no curvature is greater
         for _ in range(rounds):
-            slope = e - targets - soft * price
-            if np.abs(slope / scale).max() < tolerance / 100:
-                break
-            step = np.linalg.solve(curve + np.diag(soft), slope)
-            tried = [price + s * step for s in STEPS]
-            found = sums(tried)
-            dual = [v - x @ targets - 0.5 * soft @ x**2 for x, (v, *_) in zip(tried, found, strict=True)]
-            best = int(np.argmax(dual))
-            if dual[best] <= value - price @ targets - 0.5 * soft @ price**2:
+            lengths = [length * m for m in MULTIPLES]
+            found = sums(steps, u, lengths)
+            values = 0.5 * found[:, 0] + 0.5 * ((found[:, 3:] - targets) ** 2 / soft).sum(axis=1)
+            best = 0 if values[0] <= max(seen[-MEMORY:]) else int(np.argmin(values))
+            steps.append((lengths[best], u))
+            square, spread, way = found[best, :3]
+            moved = way + (found[best, 3:] - e) @ ((found[best, 3:] - targets) / soft - u)
+            e = found[best, 3:]
+            u = (e - targets) / soft
+            seen.append(values[best])
+            if way <= 1e-18 or moved <= 0 or (len(seen) > 4 and np.ptp(seen[-4:]) <= SETTLED * max(1.0, abs(seen[-1]))):
                 break
-            price, (value, square, e, curve) = tried[best], found[best]
-        if square > most:
+            length = way / moved
+        if spread > most:
             break
-        kept = price, e
+        kept = len(steps), e
         if np.abs((e - targets) / scale).max() <= tolerance:
             break
-    return kept[0], (kept[1] - targets) / scale
+    return steps[: kept[0]], (kept[1] - targets) / scale
 
 
 def _stack(p: pd.Series) -> np.ndarray:
@@ -232,7 +247,7 @@ def _stack(p: pd.Series) -> np.ndarray:
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """docs(doc_id, text), labels(doc_id, quality, toxic) -> doc_id, n_tokens, p_clean, p_low, p_toxic (one for each target
-    domain), rate: a row for a row of docs.
+    domain), rate, met: a row for a row of docs. met tells on every row whether all domains are within tolerance of their targets.
 
     Targets of domains without a labelled document are shared out over the others in proportion. Null texts and texts
     without words have 0 tokens, do not count in the totals and get a rate by their posteriors. Without labels every rate
@@ -244,18 +259,21 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     domains, features, weights = train(own, labels, train_docs)
     if not domains:
         empty = [F.lit(None).cast("double").alias(f"p_{d}") for d in sorted(targets)]
-        return posteriors(own, [], features, weights).select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", *empty, F.lit(1.0).alias("rate"))
+        return posteriors(own, [], features, weights).select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", *empty, F.lit(1.0).alias("rate"), F.lit(False).alias("met"))
     goal = np.array([targets.get(d, 0.0) for d in domains])
     goal = goal / goal.sum() if goal.sum() else np.full(len(domains), 1 / len(domains))
     table = materialize(posteriors(own, domains, features, weights), "mixing-posteriors")
-    price, _ = fit_prices(table, goal, rounds, tolerance)
+    steps, left = fit_rates(table, goal, rounds, tolerance)
+    met = bool(np.abs(left).max() <= tolerance)
+    if not met:
+        warnings.warn("targets are missed, relative to share or target: " + ", ".join(f"{d} {x:+.3f}" for d, x in zip(domains, left, strict=True)), stacklevel=2)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(rate=rates_at(_stack(b["p"]), price) if len(b) else [])
+            yield b.assign(rate=rates_after(_stack(b["p"]), steps) if len(b) else [])
 
     out = table.mapInPandas(run, "doc_id string, n_tokens long, p array<double>, rate double")
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", *[(F.col("p")[domains.index(d)] if d in domains else F.lit(None).cast("double")).alias(f"p_{d}") for d in sorted(targets)], "rate")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", *[(F.col("p")[domains.index(d)] if d in domains else F.lit(None).cast("double")).alias(f"p_{d}") for d in sorted(targets)], "rate", F.lit(met).alias("met"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:

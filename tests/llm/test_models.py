@@ -3,10 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from quantloom.llm.crossent import ALPHA, PRIOR, VOCABULARY, cross_entropy_difference, load_model, pair_model
 from quantloom.llm.langid import SHORT, UNKNOWN, Lattice, LongWords, PieceIndex, accept_identified, fit, grouped, identify, load_vocabulary
-from quantloom.llm.mixing import MOST_SLACK, SLACKS, TOLERANCE, fit_prices, mixed, mixing_rates, rates_at, train
+from quantloom.llm.mixing import MOST_SLACK, SLACKS, SPREAD, TARGETS, TOLERANCE, fit_rates, mixed, mixing_rates, rates_after, train
 
 
 def paths(word, p, at=0):
@@ -161,9 +162,9 @@ def test_rates_are_those_of_plain_projected_gradient(spark):
     x = np.ones(400)
     for _ in range(20_000):
         x = np.maximum(0, x - 0.02 * ((x - 1) + p @ (((w * x) @ p - goal) / soft)))
-    r = rates_at(p, fit_prices(table, goal, tolerance=0.5)[0])  # ends with the first slack
+    r = rates_after(p, fit_rates(table, goal, tolerance=0.5)[0])  # ends with the first slack
     assert (r >= 0).all() and np.abs(x - r).max() < 0.05
-    r = rates_at(p, fit_prices(table, goal)[0])
+    r = rates_after(p, fit_rates(table, goal)[0])
     assert (np.abs((w * r) @ p - goal) <= TOLERANCE * np.maximum(w @ p, goal)).all()
 
 
@@ -184,14 +185,60 @@ def test_mixing(spark):
     assert {r["rate"] for r in mixing_rates(d, labels.limit(0)).collect()} == {1.0} and mixing_rates(d.limit(0), labels).count() == 0
 
 
+def newton_rates(p, w, goal):
+    """The optimum of each slack by Newton's method on the dual, with the operator's rule for the slack; and what is left."""
+    share = w @ p
+    scale, most = np.maximum(share, goal), SPREAD * max(1.0, (goal**2 / share).sum())
+    price, kept = np.zeros(len(goal)), np.ones(len(p))
+    for slack in SLACKS:
+        soft = np.minimum(MOST_SLACK, slack * scale**2)
+
+        def dual(x):
+            r = np.maximum(0, 1 - p @ x)
+            return w @ (0.5 * (r - 1) ** 2 + r * (p @ x)) - x @ goal - 0.5 * soft @ x**2
+
+        for _ in range(500):
+            r = np.maximum(0, 1 - p @ price)
+            slope = (w * r) @ p - goal - soft * price
+            if np.abs(slope).max() < 1e-13:
+                break
+            step, t = np.linalg.solve((p * (w * (p @ price < 1))[:, None]).T @ p + np.diag(soft), slope), 1.0
+            while dual(price + t * step) < dual(price) - 1e-15 and t > 1e-9:
+                t /= 2
+            price = price + t * step
+        r = np.maximum(0, 1 - p @ price)
+        if w @ r**2 > most:
+            break
+        kept = r
+        if np.abs(((w * r) @ p - goal) / scale).max() <= TOLERANCE:
+            break
+    return kept, ((w * kept) @ p - goal) / scale
+
+
+@pytest.mark.parametrize("mixed_up", [0.0, 0.35])
+def test_the_whole_query_has_the_rates_of_newtons_method(spark, mixed_up):
+    """Texts of their domain's words, or with a share of words of any domain, so that posteriors are soft and targets cannot be met."""
+    rng = random.Random(8)
+    kinds = {"clean": "river stone cloud field", "low": "buy click now cheap", "toxic": "vile worthless scum filth"}
+    every = " ".join(kinds.values()).split()
+    docs = [(i, " ".join(rng.choice(every if rng.random() < 2.4 * mixed_up else kinds[k].split()) for _ in range(rng.randrange(4, 30))), k) for i in range(600) for k in [rng.choices(list(kinds), (6, 3, 1))[0]]]
+    labels = spark.createDataFrame([(i, int(k == "clean"), int(k == "toxic")) for i, _, k in docs], "doc_id long, quality int, toxic int")
+    got = sorted(mixing_rates(spark.createDataFrame(docs, "doc_id long, text string, domain string"), labels).collect())
+    p, n = np.array([[r["p_clean"], r["p_low"], r["p_toxic"]] for r in got]), np.array([r["n_tokens"] for r in got], float)
+    want, left = newton_rates(p, n / n.sum(), np.array([TARGETS[d] for d in ("clean", "low", "toxic")]))
+    rates = np.array([r["rate"] for r in got])
+    assert {r["met"] for r in got} == {bool(np.abs(left).max() <= TOLERANCE)}
+    assert np.abs(rates - want).max() < 0.1 and np.average(np.abs(rates - want), weights=n) < 0.02
+
+
 def test_a_rare_domain_meets_its_target(spark):
     rng = np.random.default_rng(1)
     p = np.vstack([[0.98, 0.0199, 0.0001]] * 700 + [[0.03, 0.9699, 0.0001]] * 290 + [[0.01, 0.01, 0.98]] * 10)
     n = rng.integers(50, 500, 1000)
     table = spark.createDataFrame([(int(k), [float(x) for x in r]) for k, r in zip(n, p, strict=True)], "n_tokens long, p array<double>").repartition(3)
     goal = np.array([0.9, 0.1, 0.0])
-    price, left = fit_prices(table, goal)
-    r = rates_at(p, price)
+    steps, left = fit_rates(table, goal)
+    r = rates_after(p, steps)
     e, share = (r * n) @ p / n.sum(), n @ p / n.sum()
     assert np.allclose((e - goal) / np.maximum(share, goal), left) and np.abs(left).max() <= TOLERANCE
     assert r[-1] < 0.02 and (r >= 0).all()
