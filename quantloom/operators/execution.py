@@ -112,9 +112,9 @@ def forward_bars(indexed: DataFrame, bars: DataFrame, days: int, extra: int = 0)
     return ahead.join(b, ["code", "at"]).drop("at")
 
 
-def sealed_limit_down(prev: Column, limit_pct: float) -> Column:
+def sealed_limit_down(prev: Column, limit_pct: float | Column) -> Column:
     """The whole day at the limit: no sale at a stop price."""
-    limit = prev * (1 - max(1.0, limit_pct) / 100)
+    limit = prev * (1 - F.greatest(F.lit(1.0), F.lit(limit_pct)) / 100)
     return (prev > 0) & (F.least("open", "high", "low", "close") > 0) & (F.col("high") <= limit * 1.01) & (F.col("low") <= limit * 1.005) & (F.col("close") <= limit * 1.01)
 
 
@@ -123,8 +123,11 @@ def simulate_exits(future: DataFrame, policy: ExitPolicy = ExitPolicy()) -> Data
 
     The order within a day: stop, take-profit from its earliest day, trailing stop from the second bar on the highest price
     of days before. A stop on a sealed limit-down day is sold at the open of the next bar that is not sealed, wherever it is in
-    the future given. Without a trigger the position is held to term. One window and one aggregation by signal.
+    the future given. Without a trigger the position is held to term. One window and one aggregation by signal. Columns
+    holding_days and limit_pct of the future, where it has them, stand for the policy's.
     """
+    hold = F.col("holding_days") if "holding_days" in future.columns else F.lit(policy.holding_days)
+    limit = F.col("limit_pct") if "limit_pct" in future.columns else F.lit(float(policy.limit_down_pct))
     entry, w = F.col("entry_price"), Window.partitionBy("signal_id").orderBy("step")
     gap = F.lag("close").over(w)
     f = future.where(entry > 0)
@@ -132,9 +135,9 @@ def simulate_exits(future: DataFrame, policy: ExitPolicy = ExitPolicy()) -> Data
         f = f.withColumn(c, F.coalesce(nonzero(F.col(c)), F.col("close")))
     prev = F.coalesce(nonzero(F.col("prev_close")), gap, entry)
     high_before = F.greatest(entry, F.coalesce(F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1)), entry))
-    f = f.withColumn("_sealed", sealed_limit_down(prev, policy.limit_down_pct)).withColumn("_peak", high_before)
+    f = f.withColumn("_sealed", sealed_limit_down(prev, limit)).withColumn("_peak", high_before)
     stop, take, trail = entry * (1 - policy.stop_loss_pct / 100), entry * (1 + policy.take_profit_pct / 100), F.col("_peak") * (1 - policy.trailing_stop_pct / 100)
-    live = (F.col("step") >= policy.earliest_exit) & (F.col("step") < policy.holding_days)
+    live = (F.col("step") >= policy.earliest_exit) & (F.col("step") < hold)
     hits_stop = live & F.lit(policy.stop_loss_pct > 0) & (F.col("low") > 0) & (F.col("low") <= stop)
     hits_take = live & F.lit(policy.take_profit_pct > 0) & (F.col("step") >= max(policy.earliest_exit, policy.earliest_take_profit)) & (F.col("high") >= take)
     hits_trail = live & F.lit(policy.trailing_stop_pct > 0) & (F.col("step") > 0) & (F.col("low") > 0) & (F.col("low") <= trail)

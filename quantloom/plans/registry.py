@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "x20_rolling_backtest"
-MODULES = ("market", "trading", "research", "live", "rules", "feeds", "contracts", "fitting", "writing")
+MODULES = ("market", "trading", "research", "live", "rules", "feeds", "contracts", "fitting", "writing", "auditing")
 
 
 def _modules():
