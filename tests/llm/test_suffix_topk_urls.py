@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from quantloom.llm.common import mix
 from quantloom.llm.suffix import Powers, Runs, minimisers, repeated_passages
@@ -56,6 +57,28 @@ def test_passages_are_those_of_brute_force(spark):
     assert repeated_passages(d.limit(0)).count() == 0
 
 
+def slices(seed, kinds, length, longest):
+    """Texts made of overlapping slices of four passages: partners that are nearest in neither order are common."""
+    rng = random.Random(seed)
+    passages = [[f"w{rng.randrange(kinds)}" for _ in range(length)] for _ in range(4)]
+    docs = []
+    for i in range(50):
+        w = []
+        for _ in range(rng.randrange(2, 5)):
+            at = rng.randrange(length - 10)
+            w += rng.choice(passages)[at : at + rng.randrange(5, longest)] + [f"w{rng.randrange(kinds)}" for _ in range(rng.choice([0, 0, 3, 8]))]
+        docs.append((i, " ".join(w)))
+    return docs
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("kinds, length, longest, least, window, gram", [(100_000, 300, 140, 50, 25, 8), (6, 60, 30, 16, 6, 4)])
+def test_no_passage_of_overlapping_slices_is_missed(spark, seed, kinds, length, longest, least, window, gram):
+    docs = slices(seed, kinds, length, longest)
+    got = repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), least, window, gram, rows=(100_000, 300, 60)[seed])
+    assert covered(spans_of(got)) == covered(brute_spans(docs, least))
+
+
 def test_a_doc_id_with_several_texts(spark):
     rng = random.Random(8)
     text = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
