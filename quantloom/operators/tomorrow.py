@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
 from . import crosssection as cs
 from . import scoring as sc
 from .strategies import context_scores, has_signal
@@ -157,7 +158,7 @@ def tomorrow_candidates(df: DataFrame, breadth: DataFrame, by: str, code: str, m
     industry, `display` at most; a date without any takes the backup list, from 45 points. Primary are up to five of the strict
     rows without blockers, two a theme; all else is backup_watch, and everything on a provisional date intraday_watch.
     """
-    d = tomorrow_scores(df, [by], (by, code), min_turnover, provisional).join(breadth.select(by, "coverage_pct", "breadth20_pct"), by, "left")
+    d = written(tomorrow_scores(df, [by], (by, code), min_turnover, provisional), "tomorrow-scores").join(breadth.select(by, "coverage_pct", "breadth20_pct"), by, "left")
     d = d.withColumn("floor", display_floor("relaxed" if provisional else "strict")).withColumn("_theme", F.coalesce(F.col("theme"), F.col("industry"), F.col(code).cast("string"))).withColumn("_industry", F.lower(F.coalesce("industry", F.lit(""))))
     strict = F.col("reject").isNull() & (F.col("score") >= F.col("floor"))
     has = F.max(strict.cast("int")).over(Window.partitionBy(by)) == 1

@@ -11,7 +11,7 @@ from ..operators import portfolio as pf
 from ..operators import risk_events as rk
 from ..operators import stats as st
 from ..sources import tables as tb
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, written
 from .market import rounded
 from .trading import _daily, _outcomes
 from .views import with_views
@@ -100,11 +100,13 @@ def x14_direction(spark, d):
 
 
 def x15_expected_return(spark, d):
-    """Expected return of each signal since 1998 from its 20 nearest settled signals of the same code before."""
-    o = _outcomes(spark, d)
-    train = o.where("state = 'settled' and signal_date < '1998-01-01'").select(F.col("signal_id").alias("train_id"), "code", "signal_date", (F.col("exit_return") - F.col("total_pct")).alias("net_return"), "max_drawdown", "score", "entry_price")
-    q = o.where("signal_date >= '1998-01-01'").select(F.col("signal_id").alias("query_id"), "code", "score", "entry_price")
-    return rounded(ct.expected_return(q, train, "code", {"score": (10.0, 1.0), "entry_price": (2.0, 0.5)}), "expected", "p_win", "downside_p10", "expected_drawdown", "uncertainty")
+    """Expected return of the signals of the newest 30 days from the nearest 35 % of all signals of their strategy settled before."""
+    o = written(_outcomes(spark, d), "outcomes")
+    day = o.agg(F.max("signal_date").alias("d")).first()["d"]
+    old = F.col("signal_date") < F.date_sub(F.lit(day), 30)
+    train = o.where((F.col("state") == "settled") & old).select(F.col("signal_id").alias("train_id"), "strategy", "signal_date", (F.col("exit_return") - F.col("total_pct")).alias("net_return"), "max_drawdown", "score", "entry_price", "total_pct", F.col("rank").cast("double").alias("rank"))
+    q = o.where(~old).select(F.col("signal_id").alias("query_id"), "strategy", "score", "entry_price", "total_pct", F.when(F.col("signal_id") % 3 != 0, F.col("rank").cast("double")).alias("rank"))
+    return rounded(ct.expected_return(q, train, "strategy", {"score": (100.0, 1.8), "entry_price": (10.0, 1.0), "total_pct": (5.0, 0.5), "rank": (5.0, 0.4)}), "expected", "p_win", "downside_p10", "expected_drawdown", "uncertainty")
 
 
 def q5_experiment_fdr(spark, d):
@@ -220,10 +222,12 @@ ORACLES = {
   CASE WHEN code % 6 = 0 THEN false WHEN code % 6 = 1 THEN true ELSE NOT o END AS execution_allowed
   FROM (SELECT *, CASE WHEN signal_id % 3 > 0 THEN CAST(signal_id * 3 % 101 AS DOUBLE) ELSE score END AS q, CASE WHEN signal_id % 4 > 0 THEN CAST(signal_id * 5 % 101 AS DOUBLE) END AS rc, CASE WHEN signal_id % 5 > 0 THEN CAST(signal_id * 7 % 101 AS DOUBLE) END AS ag, CASE WHEN signal_id % 7 > 0 THEN CAST(signal_id * 11 % 101 AS DOUBLE) END AS rk,
     strategy = '1' AND (signal_id % 3 = 1 OR signal_id % 11 = 0 OR code % 6 = 0) AS o FROM signals)"""),
-    "x15_expected_return": with_views(["outcomes"], """, t AS (SELECT signal_id AS train_id, code, signal_date, exit_return - total_pct AS r, coalesce(max_drawdown, 0) AS dd, score, entry_price FROM outcomes WHERE state = 'settled' AND signal_date < DATE '1998-01-01'),
-q AS (SELECT signal_id AS query_id, code, score, entry_price FROM outcomes WHERE signal_date >= DATE '1998-01-01'),
-p AS (SELECT * FROM (SELECT query_id, train_id, signal_date, r, dd, row_number() OVER (PARTITION BY query_id ORDER BY round((pow((q.score - t.score) / 10.0::DOUBLE, 2) + pow((q.entry_price - t.entry_price) / 2.0::DOUBLE, 2) * 0.5::DOUBLE) / 1.5::DOUBLE, 9), train_id) AS near
-      FROM q JOIN t USING (code) WHERE q.entry_price IS NOT NULL AND t.entry_price IS NOT NULL) WHERE near <= 20),
+    "x15_expected_return": with_views(["outcomes"], """, t AS (SELECT signal_id AS train_id, strategy, signal_date, exit_return - total_pct AS r, coalesce(max_drawdown, 0) AS dd, score, entry_price, total_pct, rank FROM outcomes WHERE state = 'settled' AND signal_date < (SELECT max(signal_date) - 30 FROM signals)),
+q AS (SELECT signal_id AS query_id, strategy, score, entry_price, total_pct, CASE WHEN signal_id % 3 <> 0 THEN rank END AS rank FROM outcomes WHERE signal_date >= (SELECT max(signal_date) - 30 FROM signals)),
+e AS (SELECT query_id, train_id, signal_date, r, dd, (q.score IS NOT NULL)::INT + (q.entry_price IS NOT NULL AND t.entry_price IS NOT NULL)::INT + (q.total_pct IS NOT NULL AND t.total_pct IS NOT NULL)::INT + (q.rank IS NOT NULL)::INT AS shared,
+  round((pow((q.score - t.score) / 100.0::DOUBLE, 2) * 1.8::DOUBLE + coalesce(pow((q.entry_price - t.entry_price) / 10.0::DOUBLE, 2), 0) + coalesce(pow((q.total_pct - t.total_pct) / 5.0::DOUBLE, 2) * 0.5::DOUBLE, 0) + coalesce(pow((q.rank - t.rank) / 5.0::DOUBLE, 2) * 0.4::DOUBLE, 0))
+    / (1.8::DOUBLE + CASE WHEN q.entry_price - t.entry_price IS NULL THEN 0 ELSE 1.0::DOUBLE END + CASE WHEN q.total_pct - t.total_pct IS NULL THEN 0 ELSE 0.5::DOUBLE END + CASE WHEN q.rank IS NULL THEN 0 ELSE 0.4::DOUBLE END), 9) AS d FROM q JOIN t USING (strategy)),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, train_id) AS near, count(*) OVER (PARTITION BY query_id) AS n FROM e WHERE shared >= 3) WHERE n >= 20 AND near <= greatest(20, floor(n * 0.35::DOUBLE))),
 w AS (SELECT *, pow(0.5::DOUBLE, date_diff('day', signal_date, max(signal_date) OVER (PARTITION BY query_id)) / 60.0::DOUBLE) AS w FROM p),
 c AS (SELECT query_id, r, sum(w) OVER (PARTITION BY query_id ORDER BY r RANGE UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY query_id) AS total FROM w),
 low AS (SELECT query_id, min(r) AS p10 FROM c WHERE c >= 0.1::DOUBLE * total GROUP BY 1)

@@ -11,6 +11,7 @@ from ..operators import scoring as sc
 from ..operators import strategies as st
 from ..operators import tomorrow as tm
 from ..sources import tables as tb
+from ..sources.shared import written
 from ..streaming import live as lv
 from .market import FLOOR, rounded
 from .views import with_views
@@ -18,9 +19,11 @@ from .views import with_views
 
 def _rows(spark, d, more=()):
     """Quotes with factors, regime and stand-ins for the fields that the tables lack."""
-    q = tb.quotes(spark, d).withColumn("market", F.when(F.substring("code", 1, 3) == "688", "star").when(F.substring("code", 1, 3) == "300", "chinext").otherwise("main"))
-    f = fx.with_factors(tb.bars(spark, d)).select(F.col("code").alias("id"), "trade_date", "ret_3d", "ret_5d", "ret_10d", "ret_20d", "ma5_gap", "ma20_gap", "vol_amount_5d", "volatility_20d", "breakout_20d", F.col("vol_ma5_ratio").alias("volume_ratio"), *more)
-    r = cs.market_regime(tb.quotes(spark, d)).select("trade_date", "level")
+    b = written(tb.bars(spark, d), "bars")
+    plain = written(tb.quotes(spark, d, b), "quotes")
+    q = plain.withColumn("market", F.when(F.substring("code", 1, 3) == "688", "star").when(F.substring("code", 1, 3) == "300", "chinext").otherwise("main"))
+    f = fx.with_factors(b).select(F.col("code").alias("id"), "trade_date", "ret_3d", "ret_5d", "ret_10d", "ret_20d", "ma5_gap", "ma20_gap", "vol_amount_5d", "volatility_20d", "breakout_20d", F.col("vol_ma5_ratio").alias("volume_ratio"), *more)
+    r = cs.market_regime(plain).select("trade_date", "level")
     j = q.join(f, ["id", "trade_date"]).join(r, "trade_date")
     return j.withColumn("turnover_rate", F.col("volume") / 4).withColumn("speed", F.col("pct_chg") / 4).withColumn("sixty_day_pct", F.col("ret_20d") * 3).withColumn("ytd_pct", F.col("ret_20d") * 5)
 

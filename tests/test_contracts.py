@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ def test_expected_return_is_that_of_the_peers(spark):
     rows = [(i, 7, dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i % 7 - 3), -float(i % 4), 50.0 + i, 10.0) for i in range(40)]
     train = spark.createDataFrame(rows, "train_id int, code int, signal_date date, net_return double, max_drawdown double, score double, price double")
     q = spark.createDataFrame([(1, 7, 50.0, 10.0), (2, 8, 50.0, 10.0)], "query_id int, code int, score double, price double")
-    got = ct.expected_return(q, train, "code", {"score": (10.0, 1.0), "price": (2.0, 0.5)}, half_life=30).collect()
+    got = ct.expected_return(q, train, "code", {"score": (10.0, 1.0), "price": (2.0, 0.5)}, least_shared=2, half_life=30).collect()
     assert len(got) == 1 and got[0]["peers"] == 20 and got[0]["confidence"] == "shadow"
     w = [0.5 ** ((19 - i) / 30) for i in range(20)]
     r = [float(i % 7 - 3) for i in range(20)]
@@ -71,6 +72,29 @@ def test_expected_return_is_that_of_the_peers(spark):
     assert got[0]["downside_p10"] == low
 
 
+def test_expected_return_of_more_rows_than_the_least(spark):
+    """The nearest 35 % of 100 rows; a third feature that is missing on some leaves them too little to compare."""
+    rng = random.Random(2)
+    rows = [(i, 1, dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(90)), rng.gauss(0, 3), -rng.random(), rng.uniform(0, 100), rng.uniform(5, 15), None if i % 9 == 4 else rng.random()) for i in range(112)]
+    train = spark.createDataFrame(rows, "train_id int, code int, signal_date date, net_return double, max_drawdown double, score double, price double, rate double").repartition(4)
+    queries = [(1, 1, 50.0, 10.0, 0.5), (2, 1, 5.0, 6.0, 0.9), (3, 1, 5.0, 6.0, None)]
+    f = {"score": (100.0, 1.8), "price": (10.0, 1.0), "rate": (1.0, 0.5)}
+    got = {r["query_id"]: r for r in ct.expected_return(spark.createDataFrame(queries, "query_id int, code int, score double, price double, rate double"), train, "code", f).collect()}
+    assert sorted(got) == [1, 2]
+    for i, _, *v in queries[:2]:
+        near = sorted((round(sum(((a - b) / s) ** 2 * w for a, b, (s, w) in zip(v, r[5:], f.values())) / 3.3, 9), r[0], r) for r in rows if r[7] is not None)[:35]
+        peers = [r for _, _, r in near]
+        w = [0.5 ** ((max(r[2] for r in peers) - r[2]).days / 60) for r in peers]
+        mean = sum(a * r[3] for a, r in zip(w, peers)) / sum(w)
+        assert got[i]["peers"] == 35 and got[i]["expected"] == pytest.approx(mean) and got[i]["expected_drawdown"] == pytest.approx(sum(a * r[4] for a, r in zip(w, peers)) / sum(w))
+        total = 0.0
+        for a, r in sorted(zip(w, peers), key=lambda x: x[1][3]):
+            total += a
+            if total >= 0.1 * sum(w):
+                break
+        assert got[i]["downside_p10"] == pytest.approx(r[3]) and got[i]["uncertainty"] == pytest.approx(math.sqrt(sum(a * (r[3] - mean) ** 2 for a, r in zip(w, peers)) / sum(w)) / math.sqrt(max(1, sum(w))))
+
+
 def test_paired_increments(spark):
     rows = [(s, dt.date(2024, 1, 1) + dt.timedelta(days=i), v) for i in range(40) for s, v in (("a", float(i % 5)), ("b", i % 5 + 1.0 + (i % 3) * 0.1))]
     p = paired_days(spark.createDataFrame(rows, "s string, d date, r double"), "s", "d", "r", "a", "b").withColumn("s", F.lit("b"))
