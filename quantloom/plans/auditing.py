@@ -8,9 +8,11 @@ from ..operators import audit as au
 from ..operators import merging as mg
 from ..operators import outcomes as oc
 from ..operators import replay as rp
+from ..operators import samples as sp
 from ..sources import tables as tb
 from ..sources.shared import shared_path, written
 from .market import FLOOR, rounded
+from .trading import _outcomes
 from .views import with_views
 
 TODAY = "1998-12-31"
@@ -118,7 +120,28 @@ def x31_replay(spark, d):
     return held.join(F.broadcast(again.agg(F.coalesce(F.sum("saved"), F.lit(0)).alias("saved_again"))))
 
 
-QUERIES = [x18_states, a32_point_in_time, a41_execution, j17_conservation, x38_merge, x31_replay]
+def _status(spark, d):
+    """Signals of two versions with outcomes, skips, records and batches, and the settled outcomes."""
+    i = F.col("signal_id")
+    s = tb.signals(spark, d).select("signal_id", "strategy", F.when(i % 5 != 0, "v2").otherwise("v1").alias("version"), "signal_date", F.lit("close").alias("phase"), "rank")
+    o = written(_outcomes(spark, d), "outcomes").where("state = 'settled'").select("signal_id", F.when(i % 11 != 3, "b1").otherwise("b0").alias("baseline"), F.col("exit_days").alias("future_days"), F.col("net_return").alias("primary_return"), "next_open_return", "max_drawdown", F.when(i % 7 != 0, F.col("exit_return")).alias("exit_return"), "exit_reason", "exit_days")
+    b = s.groupBy(*sp.BATCH).agg(F.when(F.min(i) % 3 != 0, F.count("*")).otherwise(0).alias("candidate_count")).withColumn("sample_type", F.lit("real_forward")).where(F.col("strategy") != "5")
+    return sp.status_rows(s, o, s.where("signal_id % 13 = 2").select("signal_id"), s.where("signal_id % 4 <> 1").select("signal_id", (i % 6 != 0).alias("promotion_eligible")), b), o
+
+
+def j7_status_rows(spark, d):
+    """Counts of labelled, skipped and pending signals by strategy, version and sample type."""
+    return sp.status_counts(_status(spark, d)[0], ["strategy", "version", "sample_type"])
+
+
+def j8_weight_samples(spark, d):
+    """The training set of live weights: current version and baseline, fit for promotion, the newest 120 dates of a strategy."""
+    rows, o = _status(spark, d)
+    versions = spark.createDataFrame([(str(k), "v2", "b1") for k in range(1, 6)], "strategy string, version string, baseline string")
+    return rounded(sp.weight_samples(rows, o, versions), "primary_return", "next_open_return", "max_drawdown", "exit_return")
+
+
+QUERIES = [j7_status_rows, j8_weight_samples, x18_states, a32_point_in_time, a41_execution, j17_conservation, x38_merge, x31_replay]
 
 _BRANCHED = """
 , br AS (SELECT signal_id, code, signal_date, CASE WHEN strategy <= '2' THEN 'close_auction' WHEN strategy <= '4' THEN 'post_1430' ELSE 'today' END AS branch, CASE WHEN signal_id % 97 <> 5 THEN 100 + score / 10 END AS ref, CASE WHEN strategy = '3' THEN 1 ELSE 5 END AS hold,
@@ -167,7 +190,18 @@ UNION ALL SELECT signal_id, 'unknown_has_fabricated_return_or_promotion', '' FRO
 UNION ALL SELECT signal_id, 'delisting_liquidation_not_settled', '' FROM vs WHERE survivorship_corrected AND NOT se
 UNION ALL SELECT signal_id, CASE WHEN signal_id % 91 = m THEN 'benchmark_missing' WHEN signal_id % 93 = m THEN 'benchmark_unavailable' ELSE 'benchmark_not_reproducible' END, k FROM vs, (VALUES ('market', 23), ('industry', 24), ('style', 25)) t(k, m) WHERE se AND (signal_id % 91 = m OR signal_id % 93 = m OR signal_id % 95 = m)"""
 
+_STATUS = """
+, sg AS (SELECT signal_id, strategy, CASE WHEN signal_id % 5 <> 0 THEN 'v2' ELSE 'v1' END AS version, signal_date, rank FROM signals),
+ot AS (SELECT signal_id, CASE WHEN signal_id % 11 <> 3 THEN 'b1' ELSE 'b0' END AS baseline, net_return, next_open_return, max_drawdown, CASE WHEN signal_id % 7 <> 0 THEN exit_return END AS exit_return, exit_reason, exit_days FROM settled),
+bt AS (SELECT strategy, version, signal_date, min(signal_id) % 3 <> 0 AS kept FROM sg WHERE strategy <> '5' GROUP BY ALL),
+sr AS (SELECT sg.*, ot.signal_id IS NOT NULL AS lab, sg.signal_id % 13 = 2 AS skip, baseline, CASE WHEN bt.kept THEN sg.signal_id % 4 <> 1 AND sg.signal_id % 6 <> 0 ELSE true END AS ok, CASE WHEN bt.strategy IS NULL THEN 'unknown' ELSE 'real_forward' END AS sample_type
+  FROM sg LEFT JOIN ot USING (signal_id) LEFT JOIN bt ON bt.strategy = sg.strategy AND bt.version = sg.version AND bt.signal_date = sg.signal_date)"""
+
 ORACLES = {
+    "j7_status_rows": with_views(["settled"], _STATUS + " SELECT strategy, version, sample_type, count(*) AS signals, count(*) FILTER (lab) AS labelled, count(*) FILTER (NOT lab AND skip) AS skipped, count(*) FILTER (NOT lab AND NOT skip) AS pending, count(*) FILTER (lab AND ok) AS eligible, count(DISTINCT signal_date) FILTER (lab) AS labelled_days FROM sr GROUP BY ALL"),
+    "j8_weight_samples": with_views(["settled"], _STATUS + """
+, c AS (SELECT * FROM sr WHERE lab AND ok AND version = 'v2' AND baseline = 'b1' QUALIFY dense_rank() OVER (PARTITION BY strategy ORDER BY signal_date DESC) <= 120)
+SELECT c.signal_id, strategy, version, signal_date, rank, round(coalesce(net_return, 0), 6) AS primary_return, round(coalesce(next_open_return, 0), 6) AS next_open_return, round(coalesce(max_drawdown, 0), 6) AS max_drawdown, round(coalesce(exit_return, net_return, 0), 6) AS exit_return, coalesce(exit_reason, '') AS exit_reason, coalesce(exit_days, 0) AS exit_days FROM c JOIN ot USING (signal_id)"""),
     "x18_states": with_views(["numbered", "signals"], _BRANCHED + f" SELECT signal_id, code, signal_date, branch, state, reason, future_days, {_X18}, hit_3pct, hit_5pct, CAST(exit_days AS BIGINT) AS exit_days, exit_date, position, survivorship_corrected FROM oc"),
     "a32_point_in_time": with_views(["signals"], _A32),
     "a41_execution": with_views(["numbered", "signals"], _BRANCHED + _A41),
