@@ -1,3 +1,5 @@
+import bisect
+import hashlib
 import random
 import re
 import zlib
@@ -41,10 +43,34 @@ def test_long_items_use_short_sketches_and_empty_tables(spark):
     assert contaminated(docs, q.limit(0)).count() == 0 and without_contaminated(docs, q.limit(0)).count() == 3
 
 
-def walk(keys, points, owners, shards):
-    """One key after another around the ring, arcs in turn: what the runs must give in counts."""
-    room = [len(keys) // shards + (s < len(keys) % shards) for s in range(shards)]
-    return room
+def walk(rows, shards):
+    """One row after another around the ring: rows(doc_id, text) -> (doc_id, size, crc, shard, slot), in turns of one point for every arc."""
+    points, owners = ring_points(shards)
+    arcs = {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        place = int(hashlib.md5(("null" if i is None else str(i)).encode()).hexdigest()[:8], 16)
+        arcs.setdefault(bisect.bisect_left(points, place) % len(points), []).append((place, i is not None, i or 0, zlib.crc32(raw), len(raw) + 8, i))
+    room, used, out = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)], [0] * shards, []
+    for v in arcs.values():
+        v.sort(reverse=True)
+    for d in range(len(points)):
+        for a in sorted(arcs):
+            s = owners[(a + d) % len(points)]
+            while arcs[a] and used[s] < room[s]:
+                *_, crc, size, i = arcs[a].pop()
+                out.append((i, size, crc, s, used[s]))
+                used[s] += 1
+    return out
+
+
+def test_every_row_is_where_the_walk_puts_it(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(10**9), "x" * rng.randrange(5)) for _ in range(700)] + [(None, "n"), (None, None), (-5, "é")] + [(7, f"copy {i % 3}") for i in range(60)]
+    rng.shuffle(rows)
+    for shards in (1, 5, 24):
+        got = assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards).collect()
+        assert sorted(((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got), key=str) == sorted(walk(rows, shards), key=str)
 
 
 def test_ring(spark):
@@ -68,8 +94,6 @@ def test_rows_stay_near_home_and_few_move():
     place = {}
     for shards in (24, 25):
         points, owners = ring_points(shards)
-        import bisect
-
         arcs = {}
         for k in range(20000):
             random.seed(k)
