@@ -134,15 +134,17 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = WordFeatures()
         for b in batches:
-            yield pd.DataFrame({"domain": b["domain"], "f": [seen.of(t)[1].astype(np.uint32).view(np.int32) for t in b["text"]]})
+            yield pd.DataFrame({"domain": b["domain"], "f": [seen.of(t)[1].astype(np.uint32).tobytes() for t in b["text"]]})
 
-    got = texts.mapInPandas(run, "domain string, f array<int>").toPandas()
-    if not len(got):
+    # As bytes: a number of an array would be an object on the driver.
+    got = texts.mapInPandas(run, "domain string, f binary").collect()
+    if not got:
         return nothing
-    domains = sorted(got["domain"].unique())
-    y = got["domain"].map(domains.index).to_numpy()
-    rows = np.repeat(np.arange(len(got), dtype=np.int32), got["f"].map(len))
-    flat = np.concatenate([np.asarray(x, np.int32) for x in got.pop("f")]).view(np.uint32)
+    domains = sorted({r["domain"] for r in got})
+    y = np.array([domains.index(r["domain"]) for r in got])
+    rows = np.repeat(np.arange(len(got), dtype=np.int32), [len(r["f"]) // 4 for r in got])
+    flat = np.frombuffer(b"".join(r["f"] for r in got), np.uint32)
+    del got
     features = telling(rows, flat, y, len(domains))  # a few hundred or thousand
     at = np.searchsorted(features, flat)
     ok = at < len(features)
