@@ -268,10 +268,11 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, vocabulary_path: str =
                 c = Counter(w for t in g["text"] for w in marked(t))
                 yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
 
-    rows = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+    rows = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     at, counts = {k: i for i, k in enumerate(languages)}, {}
-    for lang, word, n in zip(rows["lang"], rows["word"], rows["n"], strict=True):
-        counts.setdefault(word, np.zeros(len(languages)))[at[lang]] += n
+    for b in rows.to_batches(max_chunksize=10_000):  # as objects, all rows at once would be most of what the driver holds
+        for lang, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            counts.setdefault(word, np.zeros(len(languages)))[at[lang]] += n
     return languages, fit(counts, load_vocabulary(vocabulary_path), len(languages))
 
 
