@@ -199,7 +199,7 @@ def fit_rates(table: DataFrame, targets: np.ndarray, rounds: int = ROUNDS, toler
             out = np.zeros((len(lengths), width))
             for b in batches:
                 if len(b):
-                    p, w = _stack(b["p"]), b["n_tokens"].to_numpy(float) / total
+                    p, w = b.iloc[:, 1:].to_numpy(float), b["n_tokens"].to_numpy(float) / total
                     r = rates_after(p, steps)
                     slope = r - 1 + p @ u
                     for i, length in enumerate(lengths):
@@ -208,7 +208,8 @@ def fit_rates(table: DataFrame, targets: np.ndarray, rounds: int = ROUNDS, toler
             yield pd.DataFrame([out.ravel()], columns=names)
 
         names = [f"v{i}" for i in range(len(lengths) * width)]
-        rows = table.select("n_tokens", "p").mapInPandas(run, ", ".join(f"{c} double" for c in names))
+        # A column for each domain: lists would be stacked row by row in every round.
+        rows = table.select("n_tokens", *[F.col("p")[d].alias(f"p{d}") for d in range(k)]).mapInPandas(run, ", ".join(f"{c} double" for c in names))
         return np.array(rows.agg(*[F.sum(c).alias(c) for c in names]).first(), float).reshape(len(lengths), width)
 
     steps: list[tuple[float, np.ndarray]] = []
