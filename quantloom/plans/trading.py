@@ -31,6 +31,10 @@ def _ahead(spark, d):
     return ex.forward_bars(ex.signal_index(_signals(spark, d), b), b, 5, 10)
 
 
+def _future(spark, d):
+    return ex.with_future(_signals(spark, d).select("signal_id", "code", "signal_date"), tb.bars(spark, d), 15)
+
+
 def j11_forward_bars(spark, d):
     """The 15 bars after each signal."""
     return rounded(_ahead(spark, d).select("signal_id", F.col("step").cast("bigint").alias("step"), "trade_date", "close", "prev_close"), "close", "prev_close")
@@ -49,7 +53,7 @@ def x16_quantities(spark, d):
 
 def x17_exits(spark, d):
     """Stop, take-profit, trailing stop or term for every signal."""
-    e = ex.simulate_exits(_ahead(spark, d))
+    e = ex.with_exit(_future(spark, d)).where("exit is not null").select("signal_id", "exit.*")
     return rounded(e.select("signal_id", "exit_price", "exit_reason", "exit_days"), "exit_price")
 
 
@@ -82,10 +86,10 @@ def x21_weight_search(spark, d):
 
 def x32_exit_policies(spark, d):
     """Three exit policies on the same signals."""
-    ahead, out = _ahead(spark, d), None
-    for p in (ex.ExitPolicy("tight", 3, 2.0, 4.0, 2.0), ex.ExitPolicy("default"), ex.ExitPolicy("loose", 5, 9.0, 15.0, 8.0)):
-        e = ex.simulate_exits(ahead, p).withColumn("policy", F.lit(p.name))
-        out = e if out is None else out.unionByName(e)
+    out, policies = _future(spark, d), (ex.ExitPolicy("tight", 3, 2.0, 4.0, 2.0), ex.ExitPolicy("default"), ex.ExitPolicy("loose", 5, 9.0, 15.0, 8.0))
+    for p in policies:
+        out = ex.with_exit(out, p).withColumnRenamed("exit", p.name)
+    out = out.select(F.explode(F.array(*[F.struct(F.lit(p.name).alias("policy"), F.col(p.name).alias("exit")) for p in policies])).alias("x")).where("x.exit is not null").select("x.policy", "x.exit.*")
     g = out.groupBy("policy", "exit_reason").agg(F.count("*").alias("n"), F.avg("exit_return").alias("avg_return"), F.min("exit_return").alias("worst"))
     return rounded(g, "avg_return", "worst")
 

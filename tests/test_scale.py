@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from quantloom.operators import crosssection as cs
+from quantloom.operators import execution as ex
 
 
 def _plan(df):
@@ -21,3 +24,17 @@ def test_percentiles_copy_no_rows_and_score_repeated_keys(spark):
     got = sorted((r["day"], r["id"], r["v"], round(r["v_pct"], 6), r["u_pct"]) for r in out.collect())
     third = 100 / 3
     assert got == [(1, "a", 1.0, round(third, 6), 50.0), (1, "a", 2.0, round(2 * third, 6), 50.0), (1, "b", 4.0, 100.0, 50.0), (1, "c", 3.0, 100.0, 50.0), (2, "d", 7.0, 50.0, 50.0)]
+
+
+def test_outcomes_make_no_row_for_a_bar_ahead_and_join_nothing(spark):
+    """One shuffle by code and a fold of each signal's bars: what is shuffled does not grow with the days looked ahead."""
+    bars = [("c", date(2020, 1, 1) + timedelta(days=i), 10.0, 10.0 + i / 10, 10.0, 10.0 + i / 20, 1.0, 1e9) for i in range(12)] + [("e", date(2020, 1, 5), 5.0, 5.0, 5.0, 5.0, 1.0, 1e9)]
+    b = spark.createDataFrame(bars, "code string, trade_date date, open double, high double, low double, close double, volume double, turnover double")
+    rows = [(1, "s", date(2020, 1, 2), "c", 1.0, 1), (2, "s", date(2020, 1, 2), "c", 1.0, 2), (3, "s", date(2019, 1, 1), "c", 1.0, 1), (4, "s", date(2020, 1, 11), "c", 1.0, 1), (5, "s", date(2020, 2, 1), "e", 1.0, 1), (6, "s", date(2020, 2, 1), "z", 1.0, 1)]
+    s = spark.createDataFrame(rows, "signal_id long, strategy string, signal_date date, code string, score double, rank long")
+    out = ex.outcomes(s, b)
+    logical, _ = _plan(out)
+    assert "Join" not in logical and "Generate" not in logical
+    got = {r["signal_id"]: (r["state"], r["entry_price"], r["exit_reason"], r["exit_days"], r["return_1d"]) for r in out.collect()}
+    up = (10.1 / 10.05 - 1) * 100
+    assert got == {1: ("settled", 10.05, "hold_to_term", 3, up), 2: ("settled", 10.05, "hold_to_term", 3, up), 3: ("no_bars", None, None, None, None), 4: ("pending", 10.5, None, None, (10.55 / 10.5 - 1) * 100), 5: ("pending", 5.0, None, None, None), 6: ("no_bars", None, None, None, None)}
