@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from datetime import date, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quantloom.operators import crosssection as cs
 from quantloom.operators import execution as ex
+from quantloom.operators import joins as jn
 
 
 def _plan(df):
@@ -38,3 +41,40 @@ def test_outcomes_make_no_row_for_a_bar_ahead_and_join_nothing(spark):
     got = {r["signal_id"]: (r["state"], r["entry_price"], r["exit_reason"], r["exit_days"], r["return_1d"]) for r in out.collect()}
     up = (10.1 / 10.05 - 1) * 100
     assert got == {1: ("settled", 10.05, "hold_to_term", 3, up), 2: ("settled", 10.05, "hold_to_term", 3, up), 3: ("no_bars", None, None, None, None), 4: ("pending", 10.5, None, None, (10.55 / 10.5 - 1) * 100), 5: ("pending", 5.0, None, None, None), 6: ("no_bars", None, None, None, None)}
+
+
+def _brute(queries, train, features, k, least_shared):
+    out = {}
+    for qid, qb, *q in queries:
+        near = []
+        for tid, tb, *t in train:
+            both = [(x, y, s, w) for x, y, (s, w) in zip(q, t, features.values(), strict=True) if x is not None and y is not None]
+            if qb == tb and len(both) >= least_shared:
+                near.append((round(sum(((x - y) / s) ** 2 * w for x, y, s, w in both) / sum(w for *_, w in both), 9), tid))
+        out[qid] = [t for _, t in sorted(near)[:k]]
+    return {q: v for q, v in out.items() if v}
+
+
+def test_nearest_is_brute_force_on_clusters_outliers_and_missing_features(spark):
+    rng, features = np.random.default_rng(3), {"a": (10.0, 1.0), "b": (100.0, 2.0)}
+    for least in (1, 2):
+        rows = []
+        for i in range(360):
+            a, b = (float(rng.integers(0, 9)), float(rng.normal(0, 40))) if i % 3 else (float(rng.normal(50, 0.1)), 7.0)
+            rows.append((i, "xyz"[i % 3 if i % 7 else 2], a if i % 11 else None, b if i % 13 else None))
+        rows += [(900, "x", 1e6, 3.0), (901, "y", -5e4, 0.0), (902, "w", 1.0, 1.0), (903, "w", 1.0, None), (904, "x", None, None), (905, None, 1.0, 1.0), *((1000 + i, "x", 3.0, 3.0) for i in range(20))]
+        q, t = [r for r in rows if r[0] % 4 == 0 or r[0] == 902], [r for r in rows if r[0] % 4 and r[0] != 902]
+        got = {}
+        for r in jn.nearest(spark.createDataFrame(q, "query_id long, blk string, a double, b double"), spark.createDataFrame(t, "train_id long, blk string, a double, b double"), "blk", features, 3, least).orderBy("query_id", "near").collect():
+            got.setdefault(r["query_id"], []).append(r["train_id"])
+        want = _brute([r for r in q if r[1]], [r for r in t if r[1]], features, 3, least)
+        assert got == want
+
+
+def test_nearest_of_a_hot_block_compares_few_of_its_pairs(spark):
+    """80,000 x 80,000 rows of one block, of which all pairs took many minutes."""
+    n, x = 80_000, (F.col("id") * 7919 % 100_003).cast("double")
+    d = spark.range(n).select("id", F.lit("x").alias("blk"), x.alias("a"), (F.col("id") * 104_729 % 100_019).cast("double").alias("b"))
+    at = time.monotonic()
+    out = jn.nearest(d.withColumnRenamed("id", "query_id"), d.withColumnRenamed("id", "train_id"), "blk", {"a": (10.0, 1.0), "b": (10.0, 1.0)}, 1)
+    assert out.where("near = 1 and query_id = train_id and distance = 0").count() == n and time.monotonic() - at < 120
