@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import nonzero
+from ..sources.shared import written
 from .stats import net_asset_value, wilson_low
 
 
@@ -16,16 +17,44 @@ def average_rank(by: list[str], c: str) -> Column:
     return F.rank().over(w) + (F.count("*").over(tie) - 1) / 2
 
 
+def _long(samples: DataFrame, factors: list[str], ret: str, date: str) -> DataFrame:
+    return samples.select(date, F.col(ret).alias("r"), F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("v")) for f in factors])).alias("x")).select("x.factor", date, "x.v", "r").where((F.abs("v") > 1e-12) & F.col("r").isNotNull())
+
+
+def _rank_correlation(k: DataFrame, by: list[str], least: int) -> DataFrame:
+    g = k.groupBy(*by).agg(F.count("*").alias("n"), F.avg("a").alias("ma"), F.avg(F.col("a") * F.col("b")).alias("mab"), F.avg(F.col("a") * F.col("a")).alias("maa"), F.avg(F.col("b") * F.col("b")).alias("mbb"))
+    va, vb = F.col("maa") - F.col("ma") * F.col("ma"), F.col("mbb") - F.col("ma") * F.col("ma")
+    ic = F.when((va > 1e-9) & (vb > 1e-9), (F.col("mab") - F.col("ma") * F.col("ma")) / F.sqrt(nonzero(va * vb))).otherwise(0.0)
+    return g.where(F.col("n") >= least).select(*by, "n", ic.alias("ic"))
+
+
 def daily_rank_ic(samples: DataFrame, factors: list[str], ret: str, date: str, least: int = 3) -> DataFrame:
     """Spearman correlation of each factor with the return for each date. Values of 0 are missing; a constant side gives 0 and the
     day counts. Factors go to long form, so that one pass serves them all."""
-    long = samples.select(date, F.col(ret).alias("r"), F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("v")) for f in factors])).alias("x")).select("x.factor", date, "x.v", "r").where((F.abs("v") > 1e-12) & F.col("r").isNotNull())
     by = ["factor", date]
-    k = long.withColumn("a", average_rank(by, "v")).withColumn("b", average_rank(by, "r"))
-    g = k.groupBy(*by).agg(F.count("*").alias("n"), F.avg("a").alias("ma"), F.avg(F.col("a") * F.col("b")).alias("mab"), F.avg(F.col("a") * F.col("a")).alias("maa"), F.avg(F.col("b") * F.col("b")).alias("mbb"))
-    va, vb = F.col("maa") - F.col("ma") * F.col("ma"), F.col("mbb") - F.col("ma") * F.col("ma")
-    ic = F.when((va > 1e-9) & (vb > 1e-9), (F.col("mab") - F.col("ma") * F.col("ma")) / F.sqrt(nonzero(va * vb))).otherwise(0.0)
-    return g.where(F.col("n") >= least).select("factor", date, "n", ic.alias("ic"))
+    long = _long(samples, factors, ret, date)
+    return _rank_correlation(long.withColumn("a", average_rank(by, "v")).withColumn("b", average_rank(by, "r")), by, least)
+
+
+def spread_ranks(df: DataFrame, by: list[str], c: str) -> DataFrame:
+    """by, c, rank: the average rank of each value among its group's rows, whatever the group's size.
+
+    Values are counted and cut into ranges, a range is added up by itself, and the ranges' totals, a row each, give their offsets.
+    """
+    n = df.groupBy(*by, c).agg(F.count("*").alias("_m"))
+    cut = written(n.repartitionByRange(*by, c).withColumn("_p", F.spark_partition_id()), "rank-ranges")
+    before = F.coalesce(F.sum("_t").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = cut.groupBy(*by, "_p").agg(F.sum("_m").alias("_t")).select(*by, "_p", before.alias("_before"))  # a row a range
+    inside = F.coalesce(F.sum("_m").over(Window.partitionBy(*by, "_p").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cut.withColumn("_in", inside).join(F.broadcast(totals), [*by, "_p"]).select(*by, c, (F.col("_before") + F.col("_in") + (F.col("_m") + 1) / 2).alias("rank"))
+
+
+def pooled_rank_ic(samples: DataFrame, factors: list[str], ret: str, least: int = 3) -> DataFrame:
+    """daily_rank_ic of all rows as one day, pool 'all': no group is sorted in one task; ranks come by equality joins on values."""
+    long = written(_long(samples.withColumn("pool", F.lit("all")), factors, ret, "pool"), "pooled-samples")
+    by = ["factor", "pool"]
+    k = long.join(spread_ranks(long, by, "v").withColumnRenamed("rank", "a"), [*by, "v"]).join(spread_ranks(long, by, "r").withColumnRenamed("rank", "b"), [*by, "r"])
+    return _rank_correlation(k, by, least)
 
 
 def ic_summary(daily: DataFrame, date: str, windows: tuple[int, ...] = (20, 60, 120)) -> DataFrame:

@@ -116,7 +116,7 @@ def x35_rerank(spark, d):
 
 def a6_pooled_ic(spark, d):
     """Rank IC over all rows at once."""
-    g = va.daily_rank_ic(_samples(spark, d).withColumn("pool", F.lit("all")), ["ret_5d", "ma20_gap"], "net_return", "pool")
+    g = va.pooled_rank_ic(_samples(spark, d), ["ret_5d", "ma20_gap"], "net_return")
     return rounded(g, "ic", digits=5)
 
 

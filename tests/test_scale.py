@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quantloom.operators import crosssection as cs
 from quantloom.operators import execution as ex
 from quantloom.operators import joins as jn
+from quantloom.operators import validation as va
 
 
 def _plan(df):
@@ -78,3 +79,19 @@ def test_nearest_of_a_hot_block_compares_few_of_its_pairs(spark):
     at = time.monotonic()
     out = jn.nearest(d.withColumnRenamed("id", "query_id"), d.withColumnRenamed("id", "train_id"), "blk", {"a": (10.0, 1.0), "b": (10.0, 1.0)}, 1)
     assert out.where("near = 1 and query_id = train_id and distance = 0").count() == n and time.monotonic() - at < 120
+
+
+def test_pooled_ranks_come_from_several_ranges(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(rng.integers(-40, 40)), float(rng.normal()), float(rng.integers(0, 30))) for _ in range(2000)]
+    d = spark.createDataFrame(rows, "f double, g double, r double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranks = va.spread_ranks(d.withColumn("pool", F.lit("all")), ["pool"], "f")
+        got = {r["f"]: r["rank"] for r in ranks.collect()}
+        pooled = sorted((r["factor"], r["n"], round(r["ic"], 9)) for r in va.pooled_rank_ic(d, ["f", "g"], "r").collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    f = np.array([r[0] for r in rows])
+    assert got == {v: float((f < v).sum() + ((f == v).sum() + 1) / 2) for v in set(f.tolist())}
+    assert pooled == sorted((r["factor"], r["n"], round(r["ic"], 9)) for r in va.daily_rank_ic(d.withColumn("pool", F.lit("all")), ["f", "g"], "r", "pool").collect())
