@@ -11,6 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,11 +99,56 @@ def normalised(weights: dict[str, float]) -> dict[str, float]:
     return {k: round(v / sum(w.values()), 4) for k, v in w.items()}
 
 
+def _best_of_runs(low: np.ndarray, code: pa.Array, run: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k lowest of each run, ties by code. run: ascending numbers."""
+    starts = np.flatnonzero(np.diff(run, prepend=-1))
+    some = []
+    for lo, hi in zip(starts, [*starts[1:], len(run)], strict=True):
+        part = low[lo:hi]
+        some.append(lo + (np.flatnonzero(part <= np.partition(part, k - 1)[k - 1]) if hi - lo > k else np.arange(hi - lo)))
+    at = np.concatenate(some) if some else np.zeros(0, np.int64)
+    at = at[np.lexsort((pd.factorize(code.take(pa.array(at)).to_pandas(), sort=True)[0], low[at], run[at]))]
+    first = np.flatnonzero(np.diff(run[at], prepend=-1))
+    return at[np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at))) < k]
+
+
+def _top_candidates(samples: DataFrame, tried: dict[str, list[tuple[str, list[float]]]], columns: Sequence[str], k: int) -> DataFrame:
+    """The k best rows of every group, date and candidate weights, ties by code: those of each batch first, then the best of these."""
+    keep = ["grp", "trade_date", "code", "net_return", "excess"]
+    kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grp, day = (b.column(c).dictionary_encode(null_encoding="encode") for c in ("grp", "trade_date"))
+            key = grp.indices.to_numpy().astype(np.int64) * (len(day.dictionary) + 1) + day.indices.to_numpy()
+            if (np.diff(key) < 0).any():
+                order = pa.array(np.argsort(key, kind="stable"))
+                b, key, grp = b.take(order), np.sort(key), grp.take(order)
+            for i, g in enumerate(grp.dictionary.to_pylist()):
+                at = np.flatnonzero(grp.indices.to_numpy() == i)
+                own, number = b.take(pa.array(at)), key[at]
+                x = [own.column(c).cast(pa.float64()) for c in columns]
+                gone = np.any([c.is_null().to_numpy(zero_copy_only=False) for c in x], axis=0)
+                x = [c.fill_null(0.0).to_numpy() for c in x]
+                for name, weights in tried.get(g, ()):
+                    score = np.zeros(len(at))
+                    for v, w in zip(x, weights, strict=True):
+                        score = score + v * w
+                    # In Spark's order: undefined scores first, missing ones last.
+                    best = _best_of_runs(np.where(gone, np.inf, np.where(np.isnan(score), -np.inf, -score)), own.column("code"), number, k)
+                    top = own.take(pa.array(best))
+                    yield pa.RecordBatch.from_arrays([*(top.column(c) for c in keep), pa.array([name] * len(best), pa.string()), pa.array(score[best], mask=gone[best])], names=[*keep, "candidate", "_score"])
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keep), "candidate string", "_score double"])
+    return top_rows(samples.select(*keep, *columns).mapInArrow(run, schema), ["grp", "candidate"], F.col("_score"), k)
+
+
 def _evaluated(samples: DataFrame, tried: list[tuple], columns: Sequence[str], k: int) -> dict[tuple, float]:
     """(grp, candidate, weights...) -> the objective of each, in one job. tried has a few rows for each group."""
-    schema = ", ".join(["grp string", "candidate string", *(f"w_{c} double" for c in columns)])
-    x = samples.join(F.broadcast(samples.sparkSession.createDataFrame(tried, schema)), "grp")
-    top = top_rows(x, ["grp", "candidate"], weighted_score(columns), k)
+    by_group: dict[str, list[tuple[str, list[float]]]] = {}
+    for g, name, *weights in tried:
+        by_group.setdefault(g, []).append((name, [float(w) for w in weights]))
+    top = _top_candidates(samples.where(F.col("grp").isin(list(by_group))), by_group, columns, k)
     return {(r["grp"], r["candidate"]): r["objective"] for r in objectives(top, ["grp", "candidate"]).select("grp", "candidate", "objective").collect()}
 
 
@@ -113,7 +159,9 @@ def coordinate_search(samples: DataFrame, columns: Sequence[str], initial: dict[
     value, and a trial that gains is kept before the next one is made. One job a weight tries 0.7, 1.3 and 0.7 * 1.3 for every
     group, which is all that this order of trials can ask for. A group stops after a round without a gain, or `steps` rounds.
     """
-    grouped = written(with_excess(samples.select("grp", "trade_date", "code", "net_return", *columns), ["grp", "trade_date"]), "search-samples")
+    excess = with_excess(samples.select("grp", "trade_date", "code", "net_return", *columns), ["grp", "trade_date"])
+    # A date's rows side by side, so that a batch keeps few of them.
+    grouped = written(excess.repartition("grp", "trade_date").sortWithinPartitions("grp", "trade_date"), "search-samples")
     first = normalised(initial) if normalise else dict(initial)
     names = sorted(r["grp"] for r in grouped.select("grp").distinct().collect())
     if not names:

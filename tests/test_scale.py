@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quantloom.operators import crosssection as cs
 from quantloom.operators import execution as ex
 from quantloom.operators import joins as jn
+from quantloom.operators import models as mo
 from quantloom.operators import validation as va
 
 
@@ -95,3 +96,21 @@ def test_pooled_ranks_come_from_several_ranges(spark):
     f = np.array([r[0] for r in rows])
     assert got == {v: float((f < v).sum() + ((f == v).sum() + 1) / 2) for v in set(f.tolist())}
     assert pooled == sorted((r["factor"], r["n"], round(r["ic"], 9)) for r in va.daily_rank_ic(d.withColumn("pool", F.lit("all")), ["f", "g"], "r", "pool").collect())
+
+
+def test_a_search_sorts_the_best_of_each_batch_not_copies_of_all_samples(spark):
+    """A row for each sample and candidate is neither made nor sorted; ties, missing and undefined scores stand where Spark puts them."""
+    rng = np.random.default_rng(5)
+    rows = [(g, date(2024, 1, 1) + timedelta(d), f"c{c:03d}", float(rng.normal()), 0.0, None if c % 50 == 7 else float(rng.integers(0, 4)), float("nan") if (c, d) == (3, 1) else float(rng.integers(0, 3))) for g in ("a", "b") for d in range(3) for c in rng.permutation(200)]
+    rng.shuffle(rows)
+    s = spark.createDataFrame([tuple(r) for r in rows], "grp string, trade_date date, code string, net_return double, excess double, x double, y double").repartition(3)
+    tried = {"a": [("low", [0.3, 0.7]), ("high", [0.5, 0.5])], "b": [("low", [0.9, 0.1])]}
+    top = mo._top_candidates(s, tried, ["x", "y"], 5)
+    logical, _ = _plan(top)
+    assert "Generate" not in logical and "Join" not in logical and "MapInArrow" in logical
+    each = spark.createDataFrame([(g, n, *w) for g, c in tried.items() for n, w in c], "grp string, candidate string, w_x double, w_y double")
+    want = mo.top_rows(s.join(each, "grp"), ["grp", "candidate"], mo.weighted_score(["x", "y"]), 5)
+    cols = ["grp", "candidate", "trade_date", "code", "net_return"]
+    assert sorted(map(tuple, top.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    few = mo._top_candidates(s.where("code < 'c003'"), tried, ["x", "y"], 5)
+    assert few.count() == 3 * 3 * 3
