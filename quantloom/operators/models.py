@@ -29,6 +29,8 @@ LEAST_SAMPLES, LEAST_CORRELATION, MOST_PAIRS = 20, 0.02, 8
 COEFFICIENT_CAP, DELTA_SCALE, DELTA_CAP = 5.0, 6.0, 12.0
 IMPROVE_MARGIN, FDR_Q = 0.05, 0.1
 RIDGE = 0.01
+# Where Newton's method starts from: a fit on one in so many rows, where a refit has enough of them.
+WARM_SHARE, WARM_ROWS, WARM_TOLERANCE = 32, 1000, 1e-4
 
 
 # Folds and objectives
@@ -321,7 +323,8 @@ def logistic_by_refit(samples: DataFrame, features: Sequence[str], positive: str
     """samples(day, <features>, positive) -> coefficients (intercept first) for each refit day, fitted on all days before it.
 
     Newton's method for mean log loss + ridge / 2 * |coefficients|^2, intercept free. A round is one job: a task adds up gradient
-    and curvature of its rows for every refit day at once; a few numbers for each refit day go to the driver.
+    and curvature of its rows for every refit day at once; a few numbers for each refit day go to the driver. The first rounds
+    only look for where to start, on one in WARM_SHARE rows; the fit is on all rows, until it moves no more.
     """
     n, r = 1 + len(features), len(refits)
     if not r:
@@ -330,39 +333,52 @@ def logistic_by_refit(samples: DataFrame, features: Sequence[str], positive: str
     beta, penalty = np.zeros((r, n)), RIDGE * np.r_[0.0, np.ones(n - 1)]
     names = ["n", *(f"d{i}" for i in range(n)), *(f"h{i}" for i in range(len(cells)))]
     table = samples.select("day", F.col(positive).cast("double").alias("y"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)])
+    few = table.where(F.pmod(F.xxhash64(*table.columns), F.lit(WARM_SHARE)) == 0)
 
-    def one_round(beta: np.ndarray) -> np.ndarray:
+    def one_round(table: DataFrame, beta: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out = np.zeros((len(names), r))
             for b in batches:
-                for lo in range(0, len(b), 4096):
-                    c = b.iloc[lo : lo + 4096]
-                    x = np.column_stack([np.ones(len(c)), c.to_numpy(float)[:, 2:]])
-                    used = c["day"].to_numpy()[:, None] < refits[None, :]
-                    p = 1 / (1 + np.exp(-np.clip(x @ beta.T, -30, 30)))
-                    out[0] += used.sum(axis=0)
-                    out[1 : 1 + n] += x.T @ ((p - c["y"].to_numpy()[:, None]) * used)
-                    out[1 + n :] += np.stack([x[:, i] * x[:, j] for i, j in cells]) @ (p * (1 - p) * used)
+                v = b.to_numpy(float)
+                v = v[np.argsort(v[:, 0], kind="stable")]
+                for lo in range(0, len(v), 256):  # what is made of them stays in the cache
+                    day, y, c = v[lo : lo + 256, 0], v[lo : lo + 256, 1], v[lo : lo + 256, 2:]
+                    since = int(np.searchsorted(refits, day[0], side="right"))  # refits of this day and before use none of these rows
+                    x = np.column_stack([np.ones(len(c)), c])
+                    p = 1 / (1 + np.exp(-np.clip(x @ beta[since:].T, -30, 30)))
+                    e, q = p - y[:, None], p * (1 - p)
+                    late = int(np.searchsorted(refits, day[-1], side="right"))  # from here on they use all of them
+                    used = day[:, None] < refits[None, since:late]
+                    e[:, : late - since] *= used
+                    q[:, : late - since] *= used
+                    out[0, since:late] += used.sum(axis=0)
+                    out[0, late:] += len(c)
+                    out[1 : 1 + n, since:] += x.T @ e
+                    out[1 + n :, since:] += np.stack([x[:, i] * x[:, j] for i, j in cells]) @ q
             yield pd.DataFrame({"refit": np.arange(r)} | dict(zip(names, out, strict=True)))
 
         schema = ", ".join(["refit long", *(f"{c} double" for c in names)])
         got = table.mapInPandas(run, schema).groupBy("refit").agg(*[F.sum(c).alias(c) for c in names]).orderBy("refit").toPandas()
         return got[names].to_numpy(float)
 
-    for _ in range(rounds):
-        v = one_round(beta)
-        if not len(v):
-            return beta
-        count = np.maximum(v[:, :1], 1)
-        slope = v[:, 1 : 1 + n] / count + penalty * beta
-        curve = np.zeros((r, n, n))
-        for i, (a, b) in enumerate(cells):
-            curve[:, a, b] = curve[:, b, a] = v[:, 1 + n + i] / count[:, 0]
-        curve += np.diag(penalty) + 1e-12 * np.eye(n)
-        step = np.linalg.solve(curve, slope[:, :, None])[:, :, 0]
-        beta = beta - step
-        if np.abs(step).max() < tolerance:
-            break
+    for part, enough in ((few, WARM_TOLERANCE), (table, tolerance)):
+        for _ in range(rounds):
+            v = one_round(part, beta)
+            if not len(v):
+                break
+            count = np.maximum(v[:, :1], 1)
+            slope = v[:, 1 : 1 + n] / count + penalty * beta
+            curve = np.zeros((r, n, n))
+            for i, (a, b) in enumerate(cells):
+                curve[:, a, b] = curve[:, b, a] = v[:, 1 + n + i] / count[:, 0]
+            curve += np.diag(penalty) + 1e-12 * np.eye(n)
+            step = np.linalg.solve(curve, slope[:, :, None])[:, :, 0]
+            beta = beta - step
+            if np.abs(step).max() < enough:
+                break
+        if part is few and len(v):
+            # Elsewhere, or where these rows fit without end, from 0.
+            beta[(v[:, 0] < WARM_ROWS) | ~(np.abs(beta).max(axis=1) < 5)] = 0.0
     return beta
 
 

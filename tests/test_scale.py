@@ -114,3 +114,26 @@ def test_a_search_sorts_the_best_of_each_batch_not_copies_of_all_samples(spark):
     assert sorted(map(tuple, top.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
     few = mo._top_candidates(s.where("code < 'c003'"), tried, ["x", "y"], 5)
     assert few.count() == 3 * 3 * 3
+
+
+def test_newtons_rounds_start_from_few_rows_and_end_on_all(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=60_000)
+    rows = [(int(i * 10 // 60_000), float(v), bool(u)) for i, (v, u) in enumerate(zip(x, rng.random(60_000) < 1 / (1 + np.exp(-0.3 - 0.8 * x)), strict=True))]
+    s = spark.createDataFrame(rows, "day long, x double, up boolean")
+    refits, sizes = np.array([6, 8]), []
+    from_zero = mo.logistic_by_refit(s, ["x"], "up", refits, tolerance=1e-12)
+    kind = type(s)
+    plain = kind.mapInPandas
+    try:
+        kind.mapInPandas = lambda d, *a, **k: (sizes.append(d.count()), plain(d, *a, **k))[1]
+        got = mo.logistic_by_refit(s, ["x"], "up", refits)
+    finally:
+        kind.mapInPandas = plain
+    assert sum(n == 60_000 for n in sizes) <= 4 and sum(n < 6_000 for n in sizes) >= 2
+    for r, beta in zip(refits, got, strict=True):
+        t = np.array([d < r for d, _, _ in rows])
+        z, y = np.column_stack([np.ones(t.sum()), x[t]]), np.array([u for _, _, u in rows], float)[t]
+        g = z.T @ (1 / (1 + np.exp(-z @ beta)) - y) / t.sum() + mo.RIDGE * np.array([0.0, beta[1]])
+        assert np.abs(g).max() < 1e-9
+    assert np.allclose(got, from_zero, atol=1e-9)
