@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import clamp, is_supported_code, nonzero
-from ..sources.shared import broadcast_if_small, written
+from ..functions.scalars import clamp, is_supported_code
+from ..sources.shared import written
+from . import peers as pr
 from .scoring import hot_rank_score
 from .stats import bootstrap_interval, bootstrap_p_value, deflated_sharpe
 
@@ -129,47 +130,48 @@ def expected_return(queries: DataFrame, train: DataFrame, block: str, features:
     Weights halve in half_life days before the newest peer; confidence is ready where the whole training table has ready_days
     dates. Queries with fewer than `least` rows to compare with have no row. Ties go to the smaller train_id.
 
-    Queries are a stated set, today's rows, held against all training rows. No list of pairs is sorted or shuffled: distances
-    are counted in bins by query, the bin that the share ends in is found, and only the rows of that bin are ranked. All else
-    are sums, pre-aggregated; the 10 % quantile is found in the same way, by bins of returns and then within one.
+    Queries are a stated set, today's rows, held against all training rows: every query meets every row of its block, in units of
+    bounded size (see peers.py). No list of pairs is sorted or shuffled: distances are counted in bins by query, the bin that the
+    share ends in is cut again, and only the rows of that cut are ranked. All else are sums; the 10 % quantile is found in the same
+    way, by bins of returns and then within one. A feature that is NaN counts as missing.
     """
-    q = broadcast_if_small(written(queries.select("query_id", block, *features), "peer-queries"), 64)
-    t = train.select(block, "train_id", "signal_date", "net_return", F.coalesce("max_drawdown", F.lit(0.0)).alias("max_drawdown"), *[F.col(f).alias(f"_{f}") for f in features])
-    j = written(t, "peer-samples").join(q, block)
-    both = {f: F.col(f).isNotNull() & F.col(f"_{f}").isNotNull() for f in features}
+    last = train.agg(F.max("signal_date").alias("d")).first()["d"]
+    weight = F.pow(F.lit(0.5), F.date_diff(F.lit(last), "signal_date") / F.lit(float(half_life)))
+    t = train.select(block, "train_id", F.date_diff(F.lit(last), "signal_date").alias("age"), weight.alias("w"), F.col("net_return").alias("r"), F.coalesce("max_drawdown", F.lit(0.0)).alias("dd"), *features)
+    t = pr.packed(t, block, "train_id", pr.ROWS, "t")
+    w = Window.partitionBy("query_id")
 
-    def over(v) -> Column:
-        return sum((F.when(both[f], v(f)).otherwise(0.0) for f in features), F.lit(0.0))
+    def held(q: DataFrame, step: str) -> DataFrame:
+        return pr.compared(t, pr.packed(q, block, "query_id", pr.QUERIES, "q"), block, features, least_shared, queries.schema["query_id"].dataType, step)
 
-    d = over(lambda f: F.pow((F.col(f) - F.col(f"_{f}")) / features[f][0], 2.0) * features[f][1]) / nonzero(over(lambda f: F.lit(features[f][1])))
-    pairs = j.where(over(lambda f: F.lit(1.0)) >= least_shared).withColumn("distance", F.round(d, 9)).where("distance is not null")
-    pairs = pairs.select("query_id", "train_id", "signal_date", "net_return", "max_drawdown", "distance", F.floor(F.log2(F.col("distance") + 2.0**-20) * 64).alias("bin"))
+    def bins(q: DataFrame, step: str) -> DataFrame:
+        n = held(q, step).groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        return n.withColumn("upto", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
 
-    w = Window.partitionBy("query_id")
-    bins = pairs.groupBy("query_id", "bin").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w)).where(F.col("all") >= least)
+    q = written(queries.select("query_id", block, *features), "peer-queries")
     limit = F.greatest(F.lit(least), F.floor(F.col("all") * share))
-    edge = bins.withColumn("limit", limit).where((F.col("upto") >= F.col("limit")) & (F.col("upto") - F.col("n") < F.col("limit"))).select("query_id", F.col("bin").alias("edge"), (F.col("limit") - F.col("upto") + F.col("n")).alias("left"))
-    edge = broadcast_if_small(written(edge, "peer-edges"), 24)
-    seen = pairs.join(edge, "query_id")
-    at = seen.where("bin = edge").withColumn("near", F.row_number().over(w.orderBy("distance", "train_id"))).where(F.col("near") <= F.col("left"))
-    cols = ["query_id", "signal_date", "net_return", "max_drawdown"]
-    peers = seen.where("bin < edge").select(*cols).unionByName(written(at.select(*cols), "peer-ranked"))
-
-    last = train.agg(F.max("signal_date").alias("d")).first()["d"]
-    p = peers.withColumn("w", F.pow(F.lit(0.5), F.date_diff(F.lit(last), "signal_date") / F.lit(float(half_life)))).withColumn("r_bin", F.floor(F.col("net_return") * 20))
-    r, weight = F.col("net_return"), F.col("w")
-    sums = p.groupBy("query_id", "r_bin").agg(F.count("*").alias("n"), F.sum("w").alias("w"), *[F.sum(weight * c).alias(k) for k, c in (("wr", r), ("wwin", (r > 0).cast("double")), ("wdd", F.col("max_drawdown")), ("wrr", r * r))], F.max("signal_date").alias("newest"))
-    sums = written(sums, "peer-sums")
-    g = sums.groupBy("query_id").agg(F.sum("n").alias("peers"), *[F.sum(c).alias(c) for c in ("w", "wr", "wwin", "wdd", "wrr")], F.max("newest").alias("newest"))
-    upto = F.sum("w").over(w.orderBy("r_bin").rowsBetween(Window.unboundedPreceding, 0))
-    low = sums.select("query_id", "r_bin", "w", upto.alias("upto"), (F.sum("w").over(w) * 0.10).alias("goal")).where((F.col("upto") >= F.col("goal")) & (F.col("upto") - F.col("w") < F.col("goal")))
-    low = low.groupBy("query_id").agg(F.min(F.struct("r_bin", (F.col("upto") - F.col("w")).alias("before"), "goal")).alias("x")).select("query_id", F.col("x.r_bin").alias("low_bin"), "x.before", "x.goal")
-    inside = p.join(broadcast_if_small(written(low, "peer-low"), 32), "query_id").where("r_bin = low_bin")
-    so_far = F.col("before") + F.sum("w").over(w.orderBy("net_return").rangeBetween(Window.unboundedPreceding, 0))
-    tenth = inside.withColumn("so_far", so_far).groupBy("query_id").agg(F.coalesce(F.min(F.when(F.col("so_far") >= F.col("goal") - 1e-12, F.col("net_return"))), F.max("net_return")).alias("downside_p10"))
+    ends = (F.col("upto") >= F.col("limit")) & (F.col("upto") - F.col("n") < F.col("limit"))
+    edge = bins(q, "bins").withColumn("all", F.sum("n").over(w)).where(F.col("all") >= least).withColumn("limit", limit).where(ends)
+    q = written(q.join(edge.select("query_id", F.col("bin").alias("edge"), (F.col("limit") - F.col("upto") + F.col("n")).alias("limit")), "query_id"), "peer-edges")
+    cut = bins(q, "cuts").join(q.select("query_id", "limit"), "query_id").where(ends)
+    q = written(q.drop("limit").join(cut.select("query_id", F.col("bin").alias("cut"), (F.col("limit") - F.col("upto") + F.col("n")).alias("left")), "query_id"), "peer-cuts")
+
+    got = written(held(q, "sums"), "peer-sums")
+    at = got.where("train_id is not null").join(q.select("query_id", "left"), "query_id").withColumn("near", F.row_number().over(w.orderBy("distance", "train_id"))).where("near <= left")
+    at = written(at.select("query_id", "age", "w", "r", "dd"), "peer-ranked")
+    r, weight = F.col("r"), F.col("w")
+    own = at.select("query_id", F.lit(1).cast("long").alias("n"), "age", "w", (weight * r).alias("wr"), F.when(r > 0, weight).otherwise(0.0).alias("wwin"), (weight * F.col("dd")).alias("wdd"), (weight * r * r).alias("wrr"))
+    g = got.where("wr is not null").select(*own.columns).unionByName(own).groupBy("query_id").agg(F.sum("n").alias("peers"), *[F.sum(c).alias(c) for c in ("w", "wr", "wwin", "wdd", "wrr")], F.min("age").alias("age"))
+    spans = got.where("bin is not null").select("query_id", "bin", "w").unionByName(at.select("query_id", F.floor(r * pr.RETURN_BINS).alias("bin"), "w")).groupBy("query_id", "bin").agg(F.sum("w").alias("w"))
+    low = spans.select("query_id", "bin", "w", F.sum("w").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), (F.sum("w").over(w) * 0.10).alias("goal")).where((F.col("upto") >= F.col("goal")) & (F.col("upto") - F.col("w") < F.col("goal")))
+    low = low.groupBy("query_id").agg(F.min(F.struct("bin", (F.col("upto") - F.col("w")).alias("before"), "goal")).alias("x")).select("query_id", F.col("x.bin").alias("low"), "x.before", "x.goal")
+    q = written(q.drop("left").join(low, "query_id"), "peer-low")
+    inside = held(q.drop("before", "goal"), "lows").select("query_id", "r", "w").unionByName(at.join(q.select("query_id", "low"), "query_id").where(F.floor(r * pr.RETURN_BINS) == F.col("low")).select("query_id", "r", "w"))
+    so_far = F.col("before") + F.sum("w").over(w.orderBy("r").rangeBetween(Window.unboundedPreceding, 0))
+    tenth = inside.join(q.select("query_id", "before", "goal"), "query_id").withColumn("so_far", so_far).groupBy("query_id").agg(F.coalesce(F.min(F.when(F.col("so_far") >= F.col("goal") - 1e-12, r)), F.max("r")).alias("downside_p10"))
 
     mean = F.col("wr") / F.col("w")
-    total = F.col("w") * F.pow(F.lit(2.0), F.date_diff(F.lit(last), "newest") / F.lit(float(half_life)))
+    total = F.col("w") * F.pow(F.lit(2.0), F.col("age") / F.lit(float(half_life)))
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("wrr") / F.col("w") - mean * mean)) / F.sqrt(F.greatest(F.lit(1.0), total))
     ready = train.select("signal_date").distinct().count() >= ready_days
     return g.join(tenth, "query_id").select("query_id", "peers", mean.alias("expected"), (F.col("wwin") / F.col("w")).alias("p_win"), "downside_p10", (F.col("wdd") / F.col("w")).alias("expected_drawdown"), spread.alias("uncertainty"), F.lit("ready" if ready else "shadow").alias("confidence"))
