@@ -133,7 +133,7 @@ def expected_return(queries: DataFrame, train: DataFrame, block: str, features:
     Queries are a stated set, today's rows, held against all training rows: every query meets every row of its block, in units of
     bounded size (see peers.py). No list of pairs is sorted or shuffled: distances are counted in bins by query, the bin that the
     share ends in is cut again, and only the rows of that cut are ranked. All else are sums; the 10 % quantile is found in the same
-    way, by bins of returns and then within one. A feature that is NaN counts as missing.
+    way, by bins of returns and then within one. A feature that is not finite counts as missing.
     """
     last = train.agg(F.max("signal_date").alias("d")).first()["d"]
     weight = F.pow(F.lit(0.5), F.date_diff(F.lit(last), "signal_date") / F.lit(float(half_life)))

@@ -32,14 +32,21 @@ def packed(df: DataFrame, block: str, key: str, rows: int, name: str) -> DataFra
 
 def distances(q: list[np.ndarray], t: list[np.ndarray], features: list[tuple[float, float]], least_shared: int) -> np.ndarray:
     """Scaled weighted squared distances in units of 1e-9, (queries, rows); -1 where fewer than least_shared features are in both."""
-    over = weights = shared = 0.0
+    over, weights, shared = np.zeros((len(q[0]), len(t[0]))), 0.0, 0
     for x, y, (scale, weight) in zip(q, t, features, strict=True):
-        d = (x[:, None] - y[None, :]) / scale
-        d = d * d * weight
-        there = ~np.isnan(d)
-        over, weights, shared = over + np.where(there, d, 0.0), weights + there * weight, shared + there
+        has, of = np.isfinite(x)[:, None], np.isfinite(y)[None, :]
+        both = has if of.all() else has & of  # a column where only queries lack the feature
+        d = np.where(has, x[:, None], 0.0) - np.where(of, y[None, :], 0.0)
+        d /= scale
+        d *= d
+        d *= both * weight
+        over += d
+        weights, shared = weights + both * weight, shared + both.astype(int)
     ok = (shared >= least_shared) & (weights > 0)
-    return np.where(ok, np.floor(over / np.where(ok, weights, 1.0) * 1e9 + 0.5), -1.0)
+    over /= np.where(ok, weights, 1.0)
+    over *= 1e9
+    over += 0.5
+    return np.where(ok, np.floor(over, out=over), -1.0)
 
 
 def bin_of(d: np.ndarray) -> np.ndarray:
