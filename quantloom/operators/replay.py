@@ -36,7 +36,7 @@ def replay_rows(bars: DataFrame, names: DataFrame, min_turnover: float, top_n: i
         "ret_5d", "ret_10d", "ret_20d", "ma20_gap", "vol_amount_5d", "volatility_20d", "breakout_20d", "ma_bull_aligned", F.lit(1).alias("factor_ready"), F.lit(None).cast("string").alias("industry"), F.lit(None).cast("string").alias("theme"),
     )
     x = ft.candidates(x, min_turnover).withColumn("market", market_type(F.col("code")))
-    x = x.join(cs.market_regime(x).select("trade_date", "level"), "trade_date")
+    x = cs.with_market_level(x.where("trade_date is not null"))
     s = tm.tomorrow_scores(x, ["trade_date"], ("id", "trade_date"), min_turnover).where("reject is null")
     place = F.row_number().over(Window.partitionBy("trade_date").orderBy(F.desc("score"), "id"))
     return s.withColumn("place", place.cast("bigint")).where(F.col("place") <= top_n).select("trade_date", F.col("id").alias("code"), "place", "score")

@@ -12,6 +12,7 @@ from quantloom.operators import crosssection as cs
 from quantloom.operators import execution as ex
 from quantloom.operators import joins as jn
 from quantloom.operators import models as mo
+from quantloom.operators import replay as rp
 from quantloom.operators import validation as va
 from quantloom.sources import tables as tb
 
@@ -168,3 +169,17 @@ def test_exit_fold_ends_with_the_position(spark):
     assert (r["exit_reason"], r["exit_price"], r["exit_days"]) == ("hold_to_term", 100.0, 3)
     plan, _ = _plan(out)
     assert "sort_array(" in plan and "array_sort(" not in plan
+
+
+def test_replay_makes_its_rows_once(spark):
+    """The regime of a date comes from its own partition, as market_regime has it: bars are not made again for it."""
+    i = F.col("id")
+    close = 100 + (i * 37 % 11) + (i % 40) * 0.5
+    bars = spark.range(240).select((i % 4).alias("code"), F.date_add(F.lit("2020-01-01"), (i / 4).cast("int")).alias("trade_date"), close.alias("open"), (close + 1).alias("high"), (close - 1).alias("low"), close.alias("close"), F.lit(1e6).alias("volume"), F.lit(1e9).alias("turnover"))
+    names = spark.createDataFrame([(k, f"60000{k}", f"n{k}") for k in range(4)], "code long, symbol string, name string")
+    plan = rp.replay_rows(bars, names, 1e6)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
+    q = spark.range(240).select(F.date_add(F.lit("2020-01-01"), (i % 9).cast("int")).alias("trade_date"), F.when(i % 7 > 0, i % 29 - 8.0 - i % 9).alias("pct_chg"), (i % 17 * 1.0).alias("amplitude"), F.lit(1.0).alias("turnover"))
+    want = {r["trade_date"]: r["level"] for r in cs.market_regime(q).collect()}
+    got = {(r["trade_date"], r["level"]) for r in cs.with_market_level(q).collect()}
+    assert got == set(want.items()) and len(set(want.values())) > 1
