@@ -94,11 +94,22 @@ class WordFeatures(dict):
 
 def telling(rows: np.ndarray, features: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
     """Sorted hashes of the features whose number of documents differs between the classes by more than chance does."""
-    kinds, at = np.unique(features, return_inverse=True)
-    seen = np.stack([np.bincount(at, y[rows] == c, len(kinds)) for c in range(classes)], axis=1)
+    every, held = np.zeros(0, features.dtype), []
+    which = y.astype(np.int16)[rows]
+    for c in range(classes):  # one class after the other, and no place for each occurrence: this runs on the driver
+        own = features[which == c]
+        own.sort()
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), bool), own[1:] != own[:-1]]))
+        held.append((own[starts], np.diff(starts, append=len(own)).astype(np.int32)))
+        every = np.union1d(every, held[-1][0])
+    seen = np.zeros((len(every), classes), np.int32)
+    for c, (kinds, number) in enumerate(held):
+        seen[np.searchsorted(every, kinds), c] = number
+    some = seen.sum(axis=1) >= LEAST_DOCS
+    kinds, seen = every[some], seen[some].astype(float)
     n, share = seen.sum(axis=1, keepdims=True), np.bincount(y, minlength=classes) / len(y)
     z = (seen - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-12))
-    return kinds[(n[:, 0] >= LEAST_DOCS) & (np.abs(z).max(axis=1) >= LEAST_Z)]
+    return kinds[np.abs(z).max(axis=1, initial=0.0) >= LEAST_Z]
 
 
 def fit_softmax(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_features: int, classes: int) -> np.ndarray:

@@ -257,3 +257,30 @@ def test_mixing_drops_one_toxic_document_in_a_hundred(spark):
     assert sum(r["rate"] * r["n_tokens"] * r["p_toxic"] for r in got) < 0.1 * share
     toxic = {i for i, _, k in docs if k == "toxic"}
     assert max(r["rate"] for r in got if r["doc_id"] in toxic) < 0.05
+
+
+def test_telling_features_take_little_memory_and_match_a_count():
+    """The driver counts features one class after the other: no place is kept for each occurrence."""
+    import tracemalloc
+
+    from quantloom.llm.mixing import LEAST_DOCS, LEAST_Z, telling
+
+    draw = np.random.default_rng(3)
+    y = draw.integers(0, 3, 1500)
+    per = [np.unique(np.concatenate([draw.integers(0, 400, 300) + 200 * y[i], draw.integers(0, 1 << 32, 100)])).astype(np.uint32) for i in range(len(y))]
+    rows, flat = np.repeat(np.arange(len(y), dtype=np.int32), [len(p) for p in per]), np.concatenate(per)
+    tracemalloc.start()
+    got = telling(rows, flat, y, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * flat.nbytes
+    seen = [Counter(flat[y[rows] == c].tolist()) for c in range(3)]
+    share = np.bincount(y) / len(y)
+    want = []
+    for k in sorted(set().union(*seen)):
+        m = np.array([s[k] for s in seen], float)
+        z = (m - m.sum() * share) / np.sqrt(np.maximum(m.sum() * share * (1 - share), 1e-12))
+        if m.sum() >= LEAST_DOCS and np.abs(z).max() >= LEAST_Z:
+            want.append(k)
+    assert want and got.tolist() == want
+    assert len(telling(np.zeros(0, np.int32), np.zeros(0, np.uint32), np.array([0, 1]), 2)) == 0
