@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -131,44 +132,52 @@ def expected_return(queries: DataFrame, train: DataFrame, block: str, features:
     dates. Queries with fewer than `least` rows to compare with have no row. Ties go to the smaller train_id.
 
     Queries are a stated set, today's rows, held against all training rows: every query meets every row of its block, in units of
-    bounded size (see peers.py). No list of pairs is sorted or shuffled: distances are counted in bins by query, the bin that the
-    share ends in is cut again, and only the rows of that cut are ranked. All else are sums; the 10 % quantile is found in the same
-    way, by bins of returns and then within one. A feature that is not finite counts as missing.
+    bounded size (see peers.py). No list of pairs is sorted or shuffled: a sample of the block gives a bracket of distances, all rows are
+    counted in parts of it, and only the rows of the part that the share ends in are ranked; where the share ends outside, the bracket
+    comes from all rows. All else are sums; the 10 % quantile is found by bins of returns and finer ones within. A unit gives back as
+    much as it has queries, whatever its rows. A feature that is not finite counts as missing.
     """
-    last = train.agg(F.max("signal_date").alias("d")).first()["d"]
-    weight = F.pow(F.lit(0.5), F.date_diff(F.lit(last), "signal_date") / F.lit(float(half_life)))
-    t = train.select(block, "train_id", F.date_diff(F.lit(last), "signal_date").alias("age"), weight.alias("w"), F.col("net_return").alias("r"), F.coalesce("max_drawdown", F.lit(0.0)).alias("dd"), *features)
-    t = pr.packed(t, block, "train_id", pr.ROWS, "t")
-    w = Window.partitionBy("query_id")
-
-    def held(q: DataFrame, step: str) -> DataFrame:
-        return pr.compared(t, pr.packed(q, block, "query_id", pr.QUERIES, "q"), block, features, least_shared, queries.schema["query_id"].dataType, step)
-
-    def bins(q: DataFrame, step: str) -> DataFrame:
-        n = held(q, step).groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        return n.withColumn("upto", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
-
-    q = written(queries.select("query_id", block, *features), "peer-queries")
-    limit = F.greatest(F.lit(least), F.floor(F.col("all") * share))
-    ends = (F.col("upto") >= F.col("limit")) & (F.col("upto") - F.col("n") < F.col("limit"))
-    edge = bins(q, "bins").withColumn("all", F.sum("n").over(w)).where(F.col("all") >= least).withColumn("limit", limit).where(ends)
-    q = written(q.join(edge.select("query_id", F.col("bin").alias("edge"), (F.col("limit") - F.col("upto") + F.col("n")).alias("limit")), "query_id"), "peer-edges")
-    cut = bins(q, "cuts").join(q.select("query_id", "limit"), "query_id").where(ends)
-    q = written(q.drop("limit").join(cut.select("query_id", F.col("bin").alias("cut"), (F.col("limit") - F.col("upto") + F.col("n")).alias("left")), "query_id"), "peer-cuts")
-
-    got = written(held(q, "sums"), "peer-sums")
-    at = got.where("train_id is not null").join(q.select("query_id", "left"), "query_id").withColumn("near", F.row_number().over(w.orderBy("distance", "train_id"))).where("near <= left")
-    at = written(at.select("query_id", "age", "w", "r", "dd"), "peer-ranked")
-    r, weight = F.col("r"), F.col("w")
-    own = at.select("query_id", F.lit(1).cast("long").alias("n"), "age", "w", (weight * r).alias("wr"), F.when(r > 0, weight).otherwise(0.0).alias("wwin"), (weight * F.col("dd")).alias("wdd"), (weight * r * r).alias("wrr"))
-    g = got.where("wr is not null").select(*own.columns).unionByName(own).groupBy("query_id").agg(F.sum("n").alias("peers"), *[F.sum(c).alias(c) for c in ("w", "wr", "wwin", "wdd", "wrr")], F.min("age").alias("age"))
-    spans = got.where("bin is not null").select("query_id", "bin", "w").unionByName(at.select("query_id", F.floor(r * pr.RETURN_BINS).alias("bin"), "w")).groupBy("query_id", "bin").agg(F.sum("w").alias("w"))
-    low = spans.select("query_id", "bin", "w", F.sum("w").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), (F.sum("w").over(w) * 0.10).alias("goal")).where((F.col("upto") >= F.col("goal")) & (F.col("upto") - F.col("w") < F.col("goal")))
-    low = low.groupBy("query_id").agg(F.min(F.struct("bin", (F.col("upto") - F.col("w")).alias("before"), "goal")).alias("x")).select("query_id", F.col("x.bin").alias("low"), "x.before", "x.goal")
-    q = written(q.drop("left").join(low, "query_id"), "peer-low")
-    inside = held(q.drop("before", "goal"), "lows").select("query_id", "r", "w").unionByName(at.join(q.select("query_id", "low"), "query_id").where(F.floor(r * pr.RETURN_BINS) == F.col("low")).select("query_id", "r", "w"))
+    last = train.agg(F.max("signal_date").alias("d"), F.count("*").alias("n")).first()
+    age = F.date_diff(F.lit(last["d"]), "signal_date")
+    rows = train.select(block, "train_id", age.alias("age"), F.pow(F.lit(0.5), age / F.lit(float(half_life))).alias("w"), F.col("net_return").alias("r"), F.coalesce("max_drawdown", F.lit(0.0)).alias("dd"), *features)
+    t = pr.packed(rows, block, "train_id", pr.ROWS, "t")
+    w, kind = Window.partitionBy("query_id"), queries.schema["query_id"].dataType
+    one_in = F.ceil(F.count("*") / pr.SAMPLE)
+    some = rows.join(rows.groupBy(block).agg(one_in.alias("one_in")), block).where(F.pmod(F.xxhash64("train_id"), F.col("one_in")) == 0)
+    marks = np.sort([x["r"] for x in rows.where(F.pmod(F.xxhash64("train_id", F.lit("r")), F.lit(-(-last["n"] // pr.CUTS**2) or 1)) == 0).select("r").dropna().collect()])
+
+    def held(q: DataFrame, step: str, t: DataFrame = t) -> DataFrame:
+        return pr.compared(t, pr.packed(q, block, "query_id", pr.QUERIES, "q"), block, features, least_shared, kind, step, marks)
+
+    def bins(q: DataFrame, t: DataFrame) -> DataFrame:
+        n = held(q, "bins", t).groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        return n.withColumn("upto", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
+
+    def bracket(q: DataFrame, found: DataFrame, sampled: Column) -> DataFrame:
+        """q with the bins, low and high, that the share ends between: surely where all rows were counted, else mostly."""
+        limit, slack = F.greatest(F.lit(least), F.floor(F.col("all") * share)), F.when(sampled, F.ceil(3 * F.sqrt(F.col("all") * share * (1 - share))) + 1).otherwise(0)
+        ends = [F.min(F.when(F.col("upto") >= F.least(F.col("all"), limit + k * slack), F.col("bin"))).alias(c) for k, c in ((-1, "low"), (1, "high"))]
+        return q.join(found.groupBy("query_id").agg(*ends), "query_id", "left").fillna(0, ["low", "high"])
+
+    many = last["n"] > pr.SAMPLE
+    q = queries.select("query_id", block, *features)
+    q = written(bracket(q, bins(q, pr.packed(some.drop("one_in"), block, "train_id", pr.SAMPLE, "t")), F.lit(many)), "peer-brackets")
+    cut = written(pr.cut_by_counts(held(q, "counts"), kind, share, least), "peer-cuts")
+    if (missed := cut.where("not hit").join(q.drop("low", "high"), "query_id").drop("cut", "left", "hit")).count():
+        again = written(bracket(missed, bins(missed, t), F.lit(False)), "peer-brackets")
+        cut = cut.where("hit").unionByName(pr.cut_by_counts(held(again, "counts"), kind, share, least))
+        q = q.join(again, "query_id", "left_anti").unionByName(again)
+    q = written(q.join(cut.where("hit").drop("hit"), "query_id"), "peer-cut")
+
+    at = held(q, "last").join(q.select("query_id", "left"), "query_id").withColumn("near", F.row_number().over(w.orderBy("distance", "train_id"))).where("near = left")
+    q = written(q.drop("low", "high", "cut", "left").join(at.select("query_id", F.col("distance").alias("limit"), F.col("train_id").alias("last")), "query_id"), "peer-limits")
+    g = written(pr.summed(held(q, "sums"), kind), "peer-sums")
+    q = written(q.join(g.select("query_id", "own", "before", "goal"), "query_id"), "peer-coarse")
+    fine = pr.narrowed(held(q, "finer"), kind)
+    q = written(q.drop("before").join(fine, "query_id").withColumn("own", F.col("own") * pr.CUTS + F.col("fine")).drop("fine"), "peer-fine")
+    inside = held(q, "lows").groupBy("query_id", "r").agg(F.sum("w").alias("w"))
     so_far = F.col("before") + F.sum("w").over(w.orderBy("r").rangeBetween(Window.unboundedPreceding, 0))
-    tenth = inside.join(q.select("query_id", "before", "goal"), "query_id").withColumn("so_far", so_far).groupBy("query_id").agg(F.coalesce(F.min(F.when(F.col("so_far") >= F.col("goal") - 1e-12, r)), F.max("r")).alias("downside_p10"))
+    tenth = inside.join(q.select("query_id", "before", "goal"), "query_id").withColumn("so_far", so_far).groupBy("query_id").agg(F.coalesce(F.min(F.when(F.col("so_far") >= F.col("goal") * (1 - 1e-12), F.col("r"))), F.max("r")).alias("downside_p10"))
 
     mean = F.col("wr") / F.col("w")
     total = F.col("w") * F.pow(F.lit(2.0), F.col("age") / F.lit(float(half_life)))

@@ -130,3 +130,18 @@ def test_random_portfolios_pick_different_candidates(spark):
     assert got["e"]["random_mean"] == 5.0 and got["e"]["p5"] == 5.0
     # Five of six: the mean of all less one, so one of six values, each about as often.
     assert 2.0 <= got["d"]["p5"] <= got["d"]["p95"] <= 3.0 and abs(got["d"]["random_mean"] - 2.5) < 0.05
+
+
+def test_expected_return_where_the_sample_misses(spark, monkeypatch):
+    """Brackets guessed from a handful of rows miss the share's end on some queries, which are then counted on all rows."""
+    rng = random.Random(7)
+    rows = [(i, 1, dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(90)), rng.gauss(0, 3), 0.0, rng.uniform(0, 100), rng.uniform(5, 15)) for i in range(400)]
+    train = spark.createDataFrame(rows, "train_id int, code int, signal_date date, net_return double, max_drawdown double, score double, price double")
+    asks = [(k, 1, rng.uniform(0, 100), rng.uniform(5, 15)) for k in range(12)]
+    q, f = spark.createDataFrame(asks, "query_id int, code int, score double, price double"), {"score": (10.0, 1.0), "price": (2.0, 0.5)}
+    monkeypatch.setattr(ct.pr, "SAMPLE", 4)
+    got = {r["query_id"]: r for r in ct.expected_return(q, train, "code", f, least_shared=2).collect()}
+    for k, _, score, price in asks:
+        near = sorted((round((((score - r[5]) / 10) ** 2 + ((price - r[6]) / 2) ** 2 * 0.5) / 1.5, 9), r[0], r) for r in rows)[:140]
+        w = [0.5 ** ((max(r[2] for *_, r in near) - r[2]).days / 60) for *_, r in near]
+        assert got[k]["peers"] == 140 and got[k]["expected"] == pytest.approx(sum(a * r[3] for a, (*_, r) in zip(w, near)) / sum(w))
