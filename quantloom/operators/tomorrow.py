@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..sources.shared import written
 from . import crosssection as cs
 from . import scoring as sc
-from .strategies import context_scores, has_signal
+from .strategies import HISTORICAL, has_signal
 
 # Fixed values. Components: (factor, weight) of the strict and of the backup list.
 MOMENTUM = {"strict": (("pct_chg", 0.34), ("speed", 0.24), ("volume_ratio", 0.24), ("sixty_day_pct", 0.18)), "backup": (("pct_chg", 0.30), ("speed", 0.20), ("volume_ratio", 0.22), ("sixty_day_pct", 0.28))}
@@ -88,24 +88,28 @@ def tomorrow_scores(df: DataFrame, by: list[str], key: tuple[str, ...], min_turn
     are compared with each other, rejected or not; historical parts among ready rows, 50 for the others.
     """
     kinds = sorted({c for parts in (*MOMENTUM.values(), *TREND.values(), LIQUIDITY, EDGE) for c, _ in parts})
-    d = context_scores(df.withColumns({c: sc.number(c) for c in kinds}), by, kinds, key, LOWER_IS_BETTER)
-    ready = _ready()
+    past, group = [c for c in kinds if c in HISTORICAL], Window.partitionBy(*by)
+    d = df.withColumns({c: sc.number(c) for c in kinds}).withColumn("_ready", _ready())
+    # Whether a column tells rows of the group apart is found where the rows are shuffled to for the percentiles.
+    d = d.withColumns({f"_has_{c}": has_signal(c, by, F.col("_ready")) if c in past else F.max(F.abs(c)).over(group) > 1e-9 for c in (*past, "amplitude")})
+    d = cs.percentiles_at_once(d, by, kinds, dict.fromkeys(past, "_ready"), LOWER_IS_BETTER)
+    ready = F.col("_ready")
 
     def part(c: str, historical: bool) -> Column:
         if not historical:
             return F.col(f"{c}_pct")
-        return F.when(ready, F.when(has_signal(c, by, ready), F.col(f"{c}_pct")).otherwise(50.0)).otherwise(50.0)
+        return F.when(ready & F.col(f"_has_{c}"), F.col(f"{c}_pct")).otherwise(50.0)
 
     def any_signal(c: str) -> Column:
-        return F.when(F.max(F.abs(c)).over(Window.partitionBy(*by)) > 1e-9, F.col(f"{c}_pct")).otherwise(50.0)
+        return F.when(F.col(f"_has_{c}"), F.col(f"{c}_pct")).otherwise(50.0)
 
     def total(parts) -> Column:
         return sum((v * w for v, w in parts), F.lit(0.0))
 
-    past, edge = ("sixty_day_pct", "ytd_pct"), total((part(c, True), w) for c, w in EDGE)
+    edge = total((part(c, True), w) for c, w in EDGE)
     for flag, (yes, no, w) in (("breakout_20d", EDGE_BREAKOUT), ("ma_bull_aligned", EDGE_BULL)):
         edge = edge + F.when(sc.number(flag) != 0, yes).otherwise(no) * w
-    momentum = {k: total((part(c, c in past), w) for c, w in v) for k, v in MOMENTUM.items()}
+    momentum = {k: total((part(c, c in ("sixty_day_pct", "ytd_pct")), w) for c, w in v) for k, v in MOMENTUM.items()}
     trend = {k: total((any_signal(c) if c == "amplitude" else part(c, True), w) for c, w in v) for k, v in TREND.items()}
     d = d.withColumns({
         "momentum_score": momentum["strict"], "trend_score": trend["strict"], "_momentum_backup": momentum["backup"], "liquidity_score": total((F.col(f"{c}_pct"), w) for c, w in LIQUIDITY),
@@ -122,7 +126,7 @@ def tomorrow_scores(df: DataFrame, by: list[str], key: tuple[str, ...], min_turn
         return sc.clamp((F.col(base) - F.col("risk_penalty") - more + F.col("regime_bonus")) * F.col("damp"), 0, 100)
 
     out = backup.withColumn("score", F.round(final("base_score", 0.0), 2)).withColumn("backup_score", F.round(sc.clamp(final("_backup_base", BACKUP_PENALTY) - BACKUP_CUT, 0, 100), 2))
-    return out.drop("_momentum_backup", "_backup_base", *[f"{c}_pct" for c in kinds if f"{c}_pct" not in df.columns])
+    return out.drop("_momentum_backup", "_backup_base", "_ready", *[f"_has_{c}" for c in (*past, "amplitude")], *[f"{c}_pct" for c in kinds if f"{c}_pct" not in df.columns])
 
 
 def display_floor(kind: str = "strict") -> Column:
@@ -158,7 +162,10 @@ def tomorrow_candidates(df: DataFrame, breadth: DataFrame, by: str, code: str, m
     industry, `display` at most; a date without any takes the backup list, from 45 points. Primary are up to five of the strict
     rows without blockers, two a theme; all else is backup_watch, and everything on a provisional date intraday_watch.
     """
-    d = written(tomorrow_scores(df, [by], (by, code), min_turnover, provisional), "tomorrow-scores").join(breadth.select(by, "coverage_pct", "breadth20_pct"), by, "left")
+    # Only rows that pass a ladder can be shown, so only these, and what the rules below ask of them, are written.
+    used = (by, code, "theme", "industry", "level", "reject", "backup_reject", "score", "backup_score", "risk_penalty", "damp", "sixty_day_pct", "ytd_pct", "historical_edge_score", "tail_setup_score")
+    d = tomorrow_scores(df, [by], (by, code), min_turnover, provisional).where("reject is null or backup_reject is null").select(*used)
+    d = written(d, "tomorrow-scores").join(breadth.select(by, "coverage_pct", "breadth20_pct"), by, "left")
     d = d.withColumn("floor", display_floor("relaxed" if provisional else "strict")).withColumn("_theme", F.coalesce(F.col("theme"), F.col("industry"), F.col(code).cast("string"))).withColumn("_industry", F.lower(F.coalesce("industry", F.lit(""))))
     strict = F.col("reject").isNull() & (F.col("score") >= F.col("floor"))
     has = F.max(strict.cast("int")).over(Window.partitionBy(by)) == 1

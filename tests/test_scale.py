@@ -14,6 +14,7 @@ from quantloom.operators import joins as jn
 from quantloom.operators import models as mo
 from quantloom.operators import replay as rp
 from quantloom.operators import validation as va
+from quantloom.plans.registry import queries
 from quantloom.sources import tables as tb
 
 
@@ -183,3 +184,21 @@ def test_replay_makes_its_rows_once(spark):
     want = {r["trade_date"]: r["level"] for r in cs.market_regime(q).collect()}
     got = {(r["trade_date"], r["level"]) for r in cs.with_market_level(q).collect()}
     assert got == set(want.items()) and len(set(want.values())) > 1
+
+
+def test_percentiles_at_once_are_those_of_sorted_rows(spark):
+    """One shuffle and no sort of rows by a value; missing and undefined values, members and rows without a group as before."""
+    rng = np.random.default_rng(8)
+    rows = [(None if i % 50 == 0 else i % 4, i, None if i % 11 == 0 else float("nan") if i % 37 == 0 else float(rng.integers(0, 30)), float(rng.normal()) if i % 4 else 2.0, None if i % 13 == 0 else i % 3 > 0) for i in range(400)] + [(9, 999, 1.0, 1.0, True)]
+    d = spark.createDataFrame(rows, "day int, id int, v double, u double, ready boolean")
+    out = cs.percentiles_at_once(d, ["day"], ["v", "u"], {"u": "ready"}, inverse=("v",))
+    logical, physical = _plan(out)
+    assert "Join" not in logical and "Window" not in logical and physical.count("FlatMapGroupsInArrow") == 1
+    want = cs.percentile_scores(cs.percentile_scores(d, ["day"], ["v"], inverse=("v",)), ["day"], ["u"], F.col("ready"))
+    assert sorted((r["id"], r["v_pct"], r["u_pct"]) for r in out.collect()) == sorted((r["id"], r["v_pct"], r["u_pct"]) for r in want.collect())
+
+
+def test_next_day_rows_are_shuffled_by_code_and_by_date_only(spark):
+    """Quotes and factors are made side by side, not joined, and no value's sort takes whole rows."""
+    plan = queries()["x4_tomorrow_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan and plan.count("FlatMapGroupsInArrow") == 1
