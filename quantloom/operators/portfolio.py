@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .stats import hash_draw
-
 
 def top_k_portfolios(outcomes: DataFrame, k: int = 5) -> DataFrame:
     """Equal-weight top k by strategy and date: filled, pending and unfilled counts; a pending holding makes the day unknown;
@@ -18,24 +22,43 @@ def top_k_portfolios(outcomes: DataFrame, k: int = 5) -> DataFrame:
     return g.withColumn("status", F.when(F.col("pending") > 0, "unknown").otherwise("settled")).withColumn("net_return_pct", F.when(F.col("pending") == 0, F.col("net"))).drop("net")
 
 
+def _places(n: int, draws: int, k: int, seed: int, day: str | None) -> list[np.ndarray]:
+    """The places of each pick, an array over the draws; the hashes are those of stats.hash_draw."""
+    if n < k:
+        return [np.full(draws, j) for j in range(n)]
+    start, out = f"{seed}:" if day is None else f"{seed}:{day}:", []
+    for j in range(k):
+        hashed = np.array([int(hashlib.md5(f"{start}{draw}:{j}".encode()).hexdigest()[:8], 16) for draw in range(draws)])
+        at, top = hashed % (n - k + j + 1), n - k + j
+        taken = np.any([at == p for p in out], axis=0) if out else np.zeros(draws, bool)
+        out.append(np.where(taken, top, at))
+    return out
+
+
 def random_portfolios(samples: DataFrame, date: str, ret: str, k: int = 5, draws: int = 1000, seed: int = 20260712) -> DataFrame:
     """Seeded random portfolios of k candidates by date: mean, p5, p50, p95 of their averages; of all, where a date has fewer.
 
-    A date's candidates are one array in the order of their codes. A draw picks k places without repetition: the j-th from the
-    first n - k + j + 1 by a hash of (seed, date, draw, j), or the last of these if that place is taken. The work goes with draws
-    times k, not with the candidates.
+    A draw picks k places among a date's candidates in the order of their codes, without repetition: the j-th from the first n - k + j + 1
+    by a hash of (seed, date, draw, j), or the last of these if that place is taken. A date's returns are one plain array that all of
+    its draws look into: none of them carries a copy. The work goes with draws times k beside one sort of the candidates.
     """
-    g = samples.groupBy(date).agg(F.array_sort(F.collect_list(F.struct("code", ret))).alias("_s"))
-    x = g.select(date, F.transform("_s", lambda r: r[ret]).alias("_v"), F.size("_s").alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    for j in range(k):
-        top = F.col("_n") - k + j
-        t = hash_draw(F.lit(seed), F.col(date), F.col("draw"), F.lit(j)) % F.greatest(top + 1, F.lit(1))
-        taken = F.lit(False)
-        for i in range(j):
-            taken = taken | (F.col(f"_t{j}") == F.col(f"_p{i}"))
-        x = x.withColumn(f"_t{j}", t).withColumn(f"_p{j}", F.when(F.col("_n") < k, j).when(taken, top).otherwise(F.col(f"_t{j}")).cast("int"))
-    picks = F.array_compact(F.array(*[F.get("_v", F.col(f"_p{j}")) for j in range(k)]))
-    m = x.select(date, (F.aggregate(picks, F.lit(0.0), lambda a, v: a + v) / F.size(picks)).alias("m"))
+
+    def one(table: pa.Table) -> pa.Table:
+        day, values = table.column("_day")[0].as_py(), table.column(ret).cast(pa.float64())
+        missing, v = values.is_null().to_numpy(), values.fill_null(0.0).to_numpy()
+        code = pc.rank(table.column("code"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+        order = np.lexsort((v, ~missing, code))  # as an array of (code, return) sorts: missing ones first, undefined ones last
+        v, there = v[order], ~missing[order]
+        places = _places(len(v), draws, k, seed, day)
+        total, count = np.zeros(draws), np.zeros(draws, np.int64)
+        for at in places:
+            ok = there[at]
+            total, count = total + np.where(ok, v[at], 0.0), count + ok
+        m = pa.array(np.divide(total, count, out=np.zeros(draws), where=count > 0), mask=count == 0)
+        return pa.table([table.column(date).take(pa.array(np.zeros(draws, np.int64))), m], names=[date, "m"])
+
+    d = samples.select(F.col(date), "code", ret, F.col(date).cast("string").alias("_day"))
+    m = d.groupBy(date).applyInArrow(one, StructType([samples.schema[date], StructField("m", DoubleType())]))
     return m.groupBy(date).agg(F.avg("m").alias("random_mean"), F.percentile("m", F.lit(0.05)).alias("p5"), F.percentile("m", F.lit(0.5)).alias("p50"), F.percentile("m", F.lit(0.95)).alias("p95"))
 
 

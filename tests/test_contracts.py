@@ -1,8 +1,10 @@
 """Row contracts on small tables, against values worked out by hand."""
 
 import datetime as dt
+import hashlib
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +147,24 @@ def test_expected_return_where_the_sample_misses(spark, monkeypatch):
         near = sorted((round((((score - r[5]) / 10) ** 2 + ((price - r[6]) / 2) ** 2 * 0.5) / 1.5, 9), r[0], r) for r in rows)[:140]
         w = [0.5 ** ((max(r[2] for *_, r in near) - r[2]).days / 60) for *_, r in near]
         assert got[k]["peers"] == 140 and got[k]["expected"] == pytest.approx(sum(a * r[3] for a, (*_, r) in zip(w, near)) / sum(w))
+
+
+def test_random_portfolios_carry_no_copy_of_a_date(spark):
+    """A row for each draw held all of a date's returns, a thousand copies at once in a task."""
+    rng = random.Random(3)
+    rows = [("d", rng.randrange(40), None if i % 9 == 0 else rng.gauss(0, 1)) for i in range(60)] + [(None, i, float(i)) for i in range(7)]
+    out = random_portfolios(spark.createDataFrame(rows, "date string, code int, r double"), "date", "r", 3, 50)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["date"]: r for r in out.collect()}
+    for day in ("d", None):
+        mine = [r for _, _, r in sorted((r for r in rows if r[0] == day), key=lambda r: (r[1], r[2] is not None, r[2] or 0.0))]
+        means = []
+        for draw in range(50):
+            at = []
+            for j in range(3):
+                top = len(mine) - 3 + j
+                t = int(hashlib.md5(":".join(["20260712", *([day] if day else []), str(draw), str(j)]).encode()).hexdigest()[:8], 16) % (top + 1)
+                at.append(top if t in at else t)
+            some = [mine[a] for a in at if mine[a] is not None]
+            means += [sum(some) / len(some)] if some else []
+        assert got[day]["random_mean"] == pytest.approx(sum(means) / len(means)) and got[day]["p50"] == pytest.approx(statistics.median(means))
