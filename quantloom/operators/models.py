@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from ..functions.scalars import nonzero
@@ -54,8 +55,9 @@ def expanding_folds(dates: DataFrame, folds: int = 4, purge: int = 0) -> DataFra
 
 
 def with_excess(samples: DataFrame, by: list[str], ret: str = "net_return") -> DataFrame:
-    """samples with excess: the return less the median of its date."""
-    return samples.join(samples.groupBy(*by).agg(F.median(ret).alias("_m")), by).withColumn("excess", F.col(ret) - F.col("_m")).drop("_m")
+    """samples with excess: the return less the median of its date, found where the date's rows are; rows without one go."""
+    median = F.median(ret).over(Window.partitionBy(*by))
+    return samples.dropna(subset=by).withColumn("excess", F.col(ret) - median)
 
 
 def top_rows(samples: DataFrame, by: list[str], score: Column, k: int) -> DataFrame:
@@ -114,8 +116,9 @@ def _best_of_runs(low: np.ndarray, code: pa.Array, run: np.ndarray, k: int) -> n
     return at[np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at))) < k]
 
 
-def _top_candidates(samples: DataFrame, tried: dict[str, list[tuple[str, list[float]]]], columns: Sequence[str], k: int) -> DataFrame:
-    """The k best rows of every group, date and candidate weights, ties by code: those of each batch first, then the best of these."""
+def _top_candidates(samples: DataFrame, tried: dict[str, list[tuple[str, list[float]]]], columns: Sequence[str], k: int, sets: dict[str, list[str]] | None = None) -> DataFrame:
+    """The k best rows of every group, date and candidate weights, ties by code: those of each batch first, then the best of these.
+    sets: the groups that rows of a grp stand for, where that is not one."""
     keep = ["grp", "trade_date", "code", "net_return", "excess"]
     kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
 
@@ -132,25 +135,26 @@ def _top_candidates(samples: DataFrame, tried: dict[str, list[tuple[str, list[fl
                 x = [own.column(c).cast(pa.float64()) for c in columns]
                 gone = np.any([c.is_null().to_numpy(zero_copy_only=False) for c in x], axis=0)
                 x = [c.fill_null(0.0).to_numpy() for c in x]
-                for name, weights in tried.get(g, ()):
+                for into, name, weights in ((into, *t) for into in (sets or {}).get(g, (g,)) for t in tried.get(into, ())):
                     score = np.zeros(len(at))
                     for v, w in zip(x, weights, strict=True):
                         score = score + v * w
                     # In Spark's order: undefined scores first, missing ones last.
                     best = _best_of_runs(np.where(gone, np.inf, np.where(np.isnan(score), -np.inf, -score)), own.column("code"), number, k)
                     top = own.take(pa.array(best))
-                    yield pa.RecordBatch.from_arrays([*(top.column(c) for c in keep), pa.array([name] * len(best), pa.string()), pa.array(score[best], mask=gone[best])], names=[*keep, "candidate", "_score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([into] * len(best), pa.string()), *(top.column(c) for c in keep[1:]), pa.array([name] * len(best), pa.string()), pa.array(score[best], mask=gone[best])], names=[*keep, "candidate", "_score"])
 
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in keep), "candidate string", "_score double"])
     return top_rows(samples.select(*keep, *columns).mapInArrow(run, schema), ["grp", "candidate"], F.col("_score"), k)
 
 
-def _evaluated(samples: DataFrame, tried: list[tuple], columns: Sequence[str], k: int) -> dict[tuple, float]:
+def _evaluated(samples: DataFrame, tried: list[tuple], columns: Sequence[str], k: int, sets: dict[str, list[str]]) -> dict[tuple, float]:
     """(grp, candidate, weights...) -> the objective of each, in one job. tried has a few rows for each group."""
     by_group: dict[str, list[tuple[str, list[float]]]] = {}
     for g, name, *weights in tried:
         by_group.setdefault(g, []).append((name, [float(w) for w in weights]))
-    top = _top_candidates(samples.where(F.col("grp").isin(list(by_group))), by_group, columns, k)
+    some = [name for name, groups in sets.items() if by_group.keys() & set(groups)]
+    top = _top_candidates(samples.where(F.col("grp").isin(some)), by_group, columns, k, sets)
     return {(r["grp"], r["candidate"]): r["objective"] for r in objectives(top, ["grp", "candidate"]).select("grp", "candidate", "objective").collect()}
 
 
@@ -160,12 +164,16 @@ def coordinate_search(samples: DataFrame, columns: Sequence[str], initial: dict[
     Greedy coordinate steps, all groups (folds, regimes, strategies) side by side: a weight is tried at 0.7 and 1.3 of its
     value, and a trial that gains is kept before the next one is made. One job a weight tries 0.7, 1.3 and 0.7 * 1.3 for every
     group, which is all that this order of trials can ask for. A group stops after a round without a gain, or `steps` rounds.
+    Where grp is an array, a date's rows are in all of its groups, and the whole date is: they are kept once, not once a group.
     """
-    excess = with_excess(samples.select("grp", "trade_date", "code", "net_return", *columns), ["grp", "trade_date"])
-    # A date's rows side by side, so that a batch keeps few of them.
-    grouped = written(excess.repartition("grp", "trade_date").sortWithinPartitions("grp", "trade_date"), "search-samples")
+    shared = isinstance(samples.schema["grp"].dataType, ArrayType)
+    kept = samples.select(F.array_join("grp", "\x1f").alias("grp") if shared else "grp", "trade_date", "code", "net_return", *columns)
+    # A date's rows lie side by side after their window, so that a batch keeps few of them.
+    grouped = written(with_excess(kept, ["trade_date"] if shared else ["grp", "trade_date"]), "search-samples")
+    found = [r["grp"] for r in grouped.select("grp").distinct().collect()]
+    sets = {g: g.split("\x1f") if shared else [g] for g in found}
     first = normalised(initial) if normalise else dict(initial)
-    names = sorted(r["grp"] for r in grouped.select("grp").distinct().collect())
+    names = sorted({g for groups in sets.values() for g in groups})
     if not names:
         return grouped.sparkSession.createDataFrame([], ", ".join(["grp string", *(f"{c} double" for c in columns), "start double", "objective double", "rounds long"]))
 
@@ -173,7 +181,7 @@ def coordinate_search(samples: DataFrame, columns: Sequence[str], initial: dict[
         out = {**w, c: w[c] * by}
         return normalised(out) if normalise else {**out, c: round(out[c], 4)}
 
-    start = _evaluated(grouped, [(g, "start", *first.values()) for g in names], columns, k)
+    start = _evaluated(grouped, [(g, "start", *first.values()) for g in names], columns, k, sets)
     best = {g: (dict(first), start[g, "start"]) for g in names}
     rounds, live = dict.fromkeys(names, 0), list(names)
     for _ in range(max(1, steps)):
@@ -183,7 +191,7 @@ def coordinate_search(samples: DataFrame, columns: Sequence[str], initial: dict[
             trials = {g: {"low": moved(best[g][0], c, low), "high": moved(best[g][0], c, high)} for g in live}
             for g in live:
                 trials[g]["both"] = moved(trials[g]["low"], c, high)
-            found = _evaluated(grouped, [(g, name, *w.values()) for g in live for name, w in trials[g].items()], columns, k)
+            found = _evaluated(grouped, [(g, name, *w.values()) for g in live for name, w in trials[g].items()], columns, k, sets)
             for g in live:
                 second = "high"
                 if found[g, "low"] > best[g][1] + LEAST_GAIN:

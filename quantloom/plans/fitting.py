@@ -47,7 +47,7 @@ def x21_momentum(spark, d):
 def x21_weight_fit(spark, d):
     """Coordinate search of the component weights: over all dates and for each market regime, side by side."""
     regime = cs.market_regime(tb.quotes(spark, d)).select("trade_date", "level")
-    s = _samples(spark, d).join(regime, "trade_date").withColumn("grp", F.explode(F.array(F.lit("all"), F.col("level"))))
+    s = _samples(spark, d).join(regime, "trade_date").withColumn("grp", F.array(F.lit("all"), F.col("level")))
     return mo.coordinate_search(s, SCORES, WEIGHTS, k=5)
 
 

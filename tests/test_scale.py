@@ -202,3 +202,15 @@ def test_next_day_rows_are_shuffled_by_code_and_by_date_only(spark):
     """Quotes and factors are made side by side, not joined, and no value's sort takes whole rows."""
     plan = queries()["x4_tomorrow_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan and plan.count("FlatMapGroupsInArrow") == 1
+
+
+def test_groups_that_share_dates_keep_their_rows_once(spark, monkeypatch):
+    """All dates and a regime's dates are two groups of the same rows; a row for each group and a join with the medians were written."""
+    rng, made, write = np.random.default_rng(6), [], mo.written
+    rows = [(["all", "up" if d % 3 else "down"], date(2024, 1, 1) + timedelta(d), c, float(rng.normal(x / 50, 1)), float(x), float(rng.integers(0, 100))) for d in range(12) for c in range(25) for x in [rng.integers(0, 100)]]
+    s = spark.createDataFrame(rows, "grp array<string>, trade_date date, code int, net_return double, a double, b double").repartition(3)
+    monkeypatch.setattr(mo, "written", lambda df, name: made.append(df) or write(df, name))
+    got = mo.coordinate_search(s, ["a", "b"], {"a": 0.5, "b": 0.5}, k=4).orderBy("grp").collect()
+    assert made[0].count() == len(rows) and "Join" not in made[0]._jdf.queryExecution().optimizedPlan().toString()
+    want = mo.coordinate_search(s.withColumn("grp", F.explode("grp")), ["a", "b"], {"a": 0.5, "b": 0.5}, k=4).orderBy("grp").collect()
+    assert got == want and [r["grp"] for r in got] == ["all", "down", "up"]
